@@ -843,14 +843,15 @@ CTES["contrib"] = " UNION ALL ".join(
 _NEEDS["contrib"] = ["frame", "bg"]
 sql("linear_attribution", ["contrib"], f"SELECT loan_identifier, feature, {r6('contribution')} FROM contrib")
 _LABEL = "CASE feature " + " ".join(f"WHEN '{c}' THEN '{t}'" for c, t in S.FEATURE_LABELS.items()) + " ELSE feature END"
-sql(
-    "attribution_rollup", ["contrib"],
-    f"""SELECT loan_identifier, "rank", feature, {_LABEL} AS label, round_even(score, 4) AS "value",
-    CASE WHEN score >= 0 THEN 'increases estimate' ELSE 'decreases estimate' END AS direction FROM (
-      SELECT *, CAST(row_number() OVER (PARTITION BY loan_identifier ORDER BY abs(score) DESC, feature) AS INTEGER) AS "rank" FROM (
-        SELECT loan_identifier, split_part(feature, '__', 1) AS feature, sum(contribution) AS score FROM contrib GROUP BY ALL) s) t
-    WHERE "rank" <= 5""",
-)
+for _name in ("attribution_rollup", "attribution_rollup_long"):
+    sql(
+        _name, ["contrib"],
+        f"""SELECT loan_identifier, "rank", feature, {_LABEL} AS label, round_even(score, 4) AS "value",
+        CASE WHEN score >= 0 THEN 'increases estimate' ELSE 'decreases estimate' END AS direction FROM (
+          SELECT *, CAST(row_number() OVER (PARTITION BY loan_identifier ORDER BY abs(score) DESC, feature) AS INTEGER) AS "rank" FROM (
+            SELECT loan_identifier, split_part(feature, '__', 1) AS feature, sum(contribution) AS score FROM contrib GROUP BY ALL) s) t
+        WHERE "rank" <= 5""",
+    )
 
 # --- quality ---------------------------------------------------------------------------------------------------------------
 

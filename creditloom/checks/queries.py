@@ -871,22 +871,26 @@ def pdp_curve(spark, sf):
     return _four_digits(explain.pdp_curve(lending_frame(spark, sf), scorer, ["ltv", "cltv"], grid), ["value", "prediction"])
 
 
-def _attributions(spark, sf) -> DataFrame:
-    intercept, slopes, effects = LINEAR_MODELS["model_a", "loan_amount"]
-    scorer = explain.LinearScorer(intercept, slopes, effects)
+def _explained(spark, sf) -> tuple[DataFrame, explain.LinearScorer, DataFrame]:
     frame = lending_frame(spark, sf)
-    background = ranking.sample_cap(frame, [ID], 100)
-    return explain.linear_attribution(frame, scorer, background, [ID])
+    scorer = explain.LinearScorer(*LINEAR_MODELS["model_a", "loan_amount"])
+    return frame, scorer, ranking.sample_cap(frame, [ID], 100)
 
 
 @query
 def linear_attribution(spark, sf):
-    return rounded(_attributions(spark, sf))
+    return rounded(explain.linear_attribution(*_explained(spark, sf), [ID]))
 
 
 @query
 def attribution_rollup(spark, sf):
-    return explain.attribution_rollup(_attributions(spark, sf), [ID], 5)
+    return explain.linear_drivers(*_explained(spark, sf), [ID], 5)
+
+
+@query
+def attribution_rollup_long(spark, sf):
+    """The same ranking from a table of contributions, as fitted models produce it."""
+    return explain.attribution_rollup(explain.linear_attribution(*_explained(spark, sf), [ID]), [ID], 5)
 
 
 # --- quality -------------------------------------------------------------------------------------------
@@ -1001,6 +1005,25 @@ def feature_importance(spark, sf):
     return M.train_tree_regressor(splits["train"], splits["valid"], ROUNDS, DEPTH).feature_importance()
 
 
+@query
+def model_attribution(spark, sf):
+    splits = lending_splits(spark, sf, "loan_amount")
+    bundle = M.train_tree_regressor(splits["train"], None, ROUNDS, DEPTH)
+    background = ranking.sample_cap(splits["train"], [ID], 5)
+    names = S.LENDING_FEATURES
+    contributions = explain.sampled_attribution(splits["test"], background, bundle.predict, "prediction", names, [ID])
+    return explain.attribution_rollup(contributions, [ID], 5)
+
+
+@query
+def model_pdp_curve(spark, sf):
+    splits = lending_splits(spark, sf, "loan_amount")
+    bundle = M.train_linear_regressor(splits["train"])
+    scorer = bundle.linear_scorer()
+    scorer.link = F.expm1
+    return explain.pdp_curve(bundle.filled(splits["test"]), scorer, ["ltv", "cltv"], explain.linear_grid(20, 100, 50))
+
+
 @query
 def model_permutation_impact(spark, sf):
     splits = lending_splits(spark, sf, "loan_amount")

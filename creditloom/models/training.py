@@ -14,7 +14,7 @@ from pyspark.ml.classification import (
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from creditloom import schemas as S
@@ -23,6 +23,7 @@ from creditloom.functions.rules import (
     interaction_features, non_numeric_columns, numeric_columns, prepare_frame,
 )
 from creditloom.operators.encoders import TabularPreprocessor, TargetEncoder, class_weights, positive_weight
+from creditloom.operators.explain import LinearScorer
 from creditloom.runtime import checkpoint_root, local_table
 
 
@@ -49,15 +50,28 @@ class Bundle:
             F.desc("importance_pct"), "feature"
         )
 
+    def linear_scorer(self) -> LinearScorer:
+        """A fitted linear model as a column expression over filled numbers and category texts."""
+        prep, scaler = self.preprocessor, self.preprocessor.scaler
+        weights = dict(zip(prep.feature_names, self.model.coefficients.toArray().tolist()))
+        slopes = {c: weights[c] / scaler.stds[c] for c in prep.numeric}
+        shift = sum(slopes[c] * scaler.means[c] for c in prep.numeric)
+        effects = {c: {v: weights[f"{c}__{v}"] for v in prep.categories[c]} for c in prep.categorical}
+        return LinearScorer(self.model.intercept - shift, slopes, effects)
+
+    def filled(self, df: DataFrame) -> DataFrame:
+        """The frame a :meth:`linear_scorer` reads."""
+        other = [c for c in df.columns if c not in self.preprocessor.raw_columns]
+        frame = prepare_frame(df, self.preprocessor.numeric, self.preprocessor.categorical, keep=other)
+        return frame.withColumns({c: self.preprocessor.scaler.filled(c) for c in self.preprocessor.numeric})
+
     def coefficients(self) -> DataFrame:
         names = self.preprocessor.feature_names
         rows = list(zip(names, self.model.coefficients.toArray().tolist()))
         return _session().createDataFrame(rows, "feature string, coefficient double")
 
 
-def _session():
-    from pyspark.sql import SparkSession
-
+def _session() -> SparkSession:
     return SparkSession.getActiveSession()
 
 

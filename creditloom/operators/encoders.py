@@ -107,14 +107,12 @@ def category_lists(frame: DataFrame, columns: list[str], min_count: int = 1) ->
 
 def _indexed(df: DataFrame, categories: dict[str, list[str]], suffix: str) -> DataFrame:
     """Position of each value in its category list; values outside it get the list's length."""
-    columns = [c for c in categories if categories[c]]
-    if columns:
-        model = StringIndexerModel.from_arrays_of_labels(
-            [categories[c] for c in columns], inputCols=columns,
-            outputCols=[c + suffix for c in columns], handleInvalid="keep",
-        )
-        df = model.transform(df)
-    return df.withColumns({c + suffix: F.lit(0.0) for c in categories if not categories[c]})
+    for c, values in categories.items():
+        if values:
+            df = StringIndexerModel.from_labels(
+                values, inputCol=c, outputCol=c + suffix, handleInvalid="keep"
+            ).transform(df)
+    return df.withColumns({c + suffix: F.lit(0.0) for c, values in categories.items() if not values})
 
 
 def ordinal_encode(
@@ -170,8 +168,12 @@ class TabularPreprocessor:
         if self.mode not in ("linear", "tree"):
             raise ValueError("mode must be either 'linear' or 'tree'")
 
+    @property
+    def raw_columns(self) -> list[str]:
+        return [*self.numeric, *self.categorical]
+
     def _frame(self, df: DataFrame) -> DataFrame:
-        other = [c for c in df.columns if c not in (*self.numeric, *self.categorical)]
+        other = [c for c in df.columns if c not in self.raw_columns]
         return prepare_frame(df, self.numeric, self.categorical, keep=other)
 
     def fit(self, train: DataFrame) -> "TabularPreprocessor":
@@ -184,7 +186,7 @@ class TabularPreprocessor:
     @property
     def feature_names(self) -> list[str]:
         if self.mode == "tree":
-            return [*self.numeric, *self.categorical]
+            return self.raw_columns
         return [*self.numeric, *[f"{c}__{v}" for c in self.categorical for v in self.categories[c]]]
 
     def transform(self, df: DataFrame) -> DataFrame:
@@ -210,9 +212,8 @@ class TabularPreprocessor:
 
     def assemble(self, df: DataFrame, output: str = "features") -> DataFrame:
         """Add the model vector and leave every column as it was; indicators stay sparse."""
-        raw = [*self.numeric, *self.categorical]
-        other = [c for c in df.columns if c not in raw]
-        done = self.transform(df.withColumn("__raw", F.struct(*raw)))
+        other = [c for c in df.columns if c not in self.raw_columns]
+        done = self.transform(df.withColumn("__raw", F.struct(*self.raw_columns)))
         if self.mode == "tree":
             inputs = self.feature_names
         else:

@@ -157,38 +157,52 @@ def pdp_curve(
 # --- additive attributions ---------------------------------------------------------------------
 
 
-def linear_attribution(
-    df: DataFrame, scorer: LinearScorer, background: DataFrame, keep: list[str]
-) -> DataFrame:
+def linear_contributions(scorer: LinearScorer, background: DataFrame) -> dict[str, Column]:
     """Contribution of each feature against a background sample: slope * (x - background mean).
 
     Numeric features give one entry, categories one entry per indicator ``column__value``.
     """
-    means = [F.avg(F.col(c).cast("double")).alias(f"n_{c}") for c in scorer.slopes]
-    shares = [
-        F.avg(F.coalesce((F.col(c) == v).cast("double"), F.lit(0.0))).alias(f"c_{i}_{j}")
-        for i, (c, effects) in enumerate(scorer.effects.items()) for j, v in enumerate(effects)
-    ]
-    stats = background.agg(*means, *shares).first()
+
+    def active(c: str, value: str) -> Column:
+        return F.coalesce((F.col(c) == value).cast("double"), F.lit(0.0))
+
+    terms = {c: (slope, F.col(c).cast("double")) for c, slope in scorer.slopes.items()}
+    for c, effects in scorer.effects.items():
+        for value, effect in effects.items():
+            terms[f"{c}__{value}"] = (effect, active(c, value))
+    stats = background.agg(*[F.avg(x).alias(str(i)) for i, (_, x) in enumerate(terms.values())]).first()
+    return {
+        name: F.lit(weight) * (x - F.lit(stats[i])) for i, (name, (weight, x)) in enumerate(terms.items())
+    }
+
+
+def linear_attribution(
+    df: DataFrame, scorer: LinearScorer, background: DataFrame, keep: list[str]
+) -> DataFrame:
+    """Contributions of a linear model, one row per (row, encoded feature)."""
     parts = [
-        F.struct(
-            F.lit(c).alias("feature"),
-            (F.lit(slope) * (F.col(c).cast("double") - F.lit(stats[f"n_{c}"]))).alias("contribution"),
-        )
-        for c, slope in scorer.slopes.items()
+        F.struct(F.lit(name).alias("feature"), value.alias("contribution"))
+        for name, value in linear_contributions(scorer, background).items()
     ]
-    for i, (c, effects) in enumerate(scorer.effects.items()):
-        for j, (value, effect) in enumerate(effects.items()):
-            active = F.coalesce((F.col(c) == value).cast("double"), F.lit(0.0))
-            parts.append(
-                F.struct(
-                    F.lit(f"{c}__{value}").alias("feature"),
-                    (F.lit(effect) * (active - F.lit(stats[f"c_{i}_{j}"]))).alias("contribution"),
-                )
-            )
     return df.select(*keep, F.inline(F.array(*parts)))
 
 
+def linear_drivers(
+    df: DataFrame, scorer: LinearScorer, background: DataFrame, keep: list[str], k: int = 5
+) -> DataFrame:
+    """Strongest ``k`` base features per row of a linear model, found inside the row: no shuffle."""
+    summed: dict[str, Column] = {}
+    for name, value in linear_contributions(scorer, background).items():
+        base = name.split("__", 1)[0].removesuffix("_encoded")
+        summed[base] = summed[base] + value if base in summed else value
+    # ascending on (-|score|, feature) puts the strongest first and breaks ties by name
+    parts = [
+        F.struct((-F.abs(v)).alias("weight"), F.lit(n).alias("feature"), v.alias("score")) for n, v in summed.items()
+    ]
+    ranked = df.select(*keep, F.posexplode(F.slice(F.array_sort(F.array(*parts)), 1, k)).alias("pos", "d"))
+    return _described(ranked.select(*keep, (F.col("pos") + 1).alias("rank"), "d.feature", "d.score"), keep)
+
+
 def base_feature(name: Column) -> Column:
     """Feature behind an encoded column: the part before ``__``, without an ``_encoded`` ending."""
     return F.when(name.contains("__"), F.split_part(name, F.lit("__"), F.lit(1))).otherwise(
@@ -202,11 +216,15 @@ def attribution_rollup(contributions: DataFrame, key: list[str], k: int = 5) ->
         F.sum("contribution").alias("score")
     )
     ranked = top_per_group(summed, key, [F.abs("score").desc(), F.asc("feature")], k)
+    return _described(ranked, key)
+
+
+def _described(ranked: DataFrame, keep: list[str]) -> DataFrame:
     label = F.initcap(F.regexp_replace("feature", "_", " "))
     for name, text in S.FEATURE_LABELS.items():
         label = F.when(F.col("feature") == name, F.lit(text)).otherwise(label)
     return ranked.select(
-        *key, "rank", "feature", label.alias("label"), F.bround("score", 4).alias("value"),
+        *keep, "rank", "feature", label.alias("label"), F.bround("score", 4).alias("value"),
         F.when(F.col("score") >= 0, "increases estimate").otherwise("decreases estimate").alias("direction"),
     )
 

@@ -38,7 +38,8 @@ def exact_quantiles(
     """Linearly interpolated quantiles of the non-null values, per group and column.
 
     Returns one entry per (group, column, probability), ordered by probability within a column;
-    ``value`` is None where a group has no values. ``df`` is scanned three times.
+    ``value`` is None where a group has no values. Columns of few distinct values are settled by one
+    scan; the others take two more.
     """
     by = list(by)
     sketches = _sketch(df, columns, probs, by, max_groups)
@@ -53,6 +54,10 @@ def exact_quantiles(
                     exact[group, c, 0] = stats["min"]
                 elif rank == stats["n"] - 1:
                     exact[group, c, rank] = stats["max"]
+                elif stats["n"]:
+                    low, high = _bracket(stats, p, 0)
+                    if low is not None and low == high:
+                        exact[group, c, rank] = low  # the bracket holds a single value
             if stats["n"] and any((group, c, r) not in exact for r in ranks):
                 wanted[group, c, p] = ranks
     width = 0

@@ -625,24 +625,23 @@ sql(
 sql("sample_cap", ["orig"], f"SELECT loan_identifier, original_upb FROM (SELECT *, {_ORDER} AS p FROM orig) o WHERE p <= 1000")
 
 
-def permuted(c: str) -> str:
-    """The value of the next row in the column's own hash order, wrapping around within its group."""
-    order = f"PARTITION BY __g ORDER BY md5('{{seed}}:{c}|' || CAST(loan_identifier AS VARCHAR))"
-    return (
-        f"""CASE WHEN lead(1) OVER ({order}) IS NULL THEN first_value("{c}") OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) """
-        f"""ELSE lead("{c}") OVER ({order}) END AS "{c}__permuted" """
-    )
-
-
-def grouped(source: str, seed: int) -> str:
-    h = f"CAST('0x' || substr(md5('{seed}:group|' || CAST(loan_identifier AS VARCHAR)), 1, 8) AS BIGINT)"
-    return f"SELECT *, {h} % (SELECT greatest(1, CAST(ceil(count(*) / 1000000.0) AS BIGINT)) FROM {source}) AS __g FROM {source}"
+def permuted(source: str, columns: list[str], seed: int) -> dict[str, str]:
+    """Tables that give each column the value found 1, 2, ... places further on in its random group."""
+    h = f"md5('{seed}|' || CAST(loan_identifier AS VARCHAR))"
+    group = f"CAST('0x' || substr({h}, 1, 8) AS BIGINT) % (SELECT greatest(1, CAST(ceil(count(*) / 2000.0) AS BIGINT)) FROM {source})"
+    return {
+        "g": f"SELECT *, {group} AS __g, {h} AS __h FROM {source}",
+        "o": "SELECT *, row_number() OVER (PARTITION BY __g ORDER BY __h) - 1 AS __p, count(*) OVER (PARTITION BY __g) AS __n FROM g",
+        # one number per place, so that no two copies can be joined on the group alone
+        "k": "SELECT __g * 1000000 + __p AS __k, * FROM o",
+        "mixed": "SELECT o.*, " + ", ".join(f't{i}."{c}" AS "{c}__permuted"' for i, c in enumerate(columns, 1)) + " FROM o "
+        + " ".join(f"JOIN k t{i} ON t{i}.__k = o.__g * 1000000 + (o.__p + {i}) % o.__n" for i in range(1, len(columns) + 1)),
+    }
 
 
 sql(
-    "permute_column", ["orig"],
-    "SELECT loan_identifier, msa, credit_score, " + ", ".join(permuted(c).format(seed=42) for c in ("msa", "credit_score")) + " FROM g",
-    {"g": grouped("orig", 42)},
+    "permute_column", ["orig"], "SELECT loan_identifier, msa, credit_score, msa__permuted, credit_score__permuted FROM mixed",
+    permuted("orig", ["msa", "credit_score"], 42),
 )
 
 # --- preparation --------------------------------------------------------------------------------------------------------
@@ -793,10 +792,7 @@ def linear(model: str, target: str, swap: dict[str, str] | None = None) -> str:
     return f"(exp({total}) - 1)" if target == "loan_amount" else f"least(greatest({total}, 0.0::DOUBLE), 20.0::DOUBLE)"
 
 
-_MIXED = {
-    "g": grouped("frame", 2027),
-    "mixed": "SELECT *, " + ", ".join(permuted(c).format(seed=2027) for c in S.LENDING_FEATURES) + " FROM g",
-}
+_MIXED = permuted("frame", S.LENDING_FEATURES, 2027)
 
 
 def impact_rows(columns: str) -> str:

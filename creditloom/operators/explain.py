@@ -33,19 +33,20 @@ class LinearScorer:
     def features(self) -> list[str]:
         return [*self.slopes, *self.effects]
 
-    def effect(self, name: str, value: Column) -> Column:
+    def term(self, name: str, value: Column) -> Column:
+        """What one feature adds to the total."""
+        if name in self.slopes:
+            return F.lit(self.slopes[name]) * value.cast("double")
         out = F.lit(0.0)
         for category, effect in self.effects[name].items():
             out = F.when(value == category, F.lit(effect)).otherwise(out)
         return out
 
+    def total(self, columns: dict[str, Column]) -> Column:
+        return reduce(lambda a, b: a + b, [self.term(n, columns[n]) for n in self.features], F.lit(self.intercept))
+
     def __call__(self, columns: dict[str, Column]) -> Column:
-        total = F.lit(self.intercept)
-        for name, slope in self.slopes.items():
-            total = total + F.lit(slope) * columns[name].cast("double")
-        for name in self.effects:
-            total = total + self.effect(name, columns[name])
-        return self.link(total)
+        return self.link(self.total(columns))
 
 
 def _versions(features: list[str], names: list[str | None]) -> Column:
@@ -63,40 +64,42 @@ def _versions(features: list[str], names: list[str | None]) -> Column:
 
 def permutation_impact(
     df: DataFrame,
-    scorers: dict[tuple[str, str], Scorer],
+    scorers: dict[tuple[str, str], LinearScorer],
     features: list[str],
     key: list[str],
     units: dict[str, str] | None = None,
     seed: int = 2027,
-    rows_per_group: int = 1_000_000,
+    rows_per_group: int = 2_000,
 ) -> DataFrame:
     """Mean absolute and mean signed change of each (model, target) prediction when one feature is
-    permuted. All models and features share one shuffle; expanded rows are averaged map-side."""
+    permuted. All models and features share one shuffle and one aggregation.
+
+    In a linear model one feature changes one term, so each row's total is computed once.
+    """
     mixed = permute_columns(df, features, key, seed, rows_per_group)
     plain = {c: F.col(c) for c in features}
-    bases = [s(plain).alias(f"__base_{m}") for m, s in enumerate(scorers.values())]
-    expanded = mixed.select(*bases, F.inline(_versions(features, features)))
-    deltas = [s(plain) - F.col(f"__base_{m}") for m, s in enumerate(scorers.values())]
-    averaged = (
-        expanded.select("feature", *[d.alias(f"__delta_{m}") for m, d in enumerate(deltas)])
-        .groupBy("feature")
-        .agg(
-            *[F.avg(F.abs(f"__delta_{m}")).alias(f"abs_{m}") for m in range(len(scorers))],
-            *[F.avg(f"__delta_{m}").alias(f"signed_{m}") for m in range(len(scorers))],
-        )
-    )
-    label = F.col("feature")
-    for name in features:
-        label = F.when(F.col("feature") == name, F.lit(S.FEATURE_LABELS.get(name, name))).otherwise(label)
-    rows = [
-        F.struct(
-            F.lit(model).alias("model_key"), F.lit(target).alias("target"),
-            F.col(f"abs_{m}").alias("mean_absolute_impact"), F.col(f"signed_{m}").alias("mean_signed_impact"),
-            F.lit((units or {}).get(target, "")).alias("unit"),
-        )
-        for m, (model, target) in enumerate(scorers)
-    ]
-    return averaged.select("feature", label.alias("feature_label"), F.inline(F.array(*rows)))
+    totals = mixed.withColumns({f"__total_{m}": s.total(plain) for m, s in enumerate(scorers.values())})
+    changes, aggregates, records = {}, [], []
+    for m, ((model, target), scorer) in enumerate(scorers.items()):
+        total = F.col(f"__total_{m}")
+        for f, feature in enumerate(features):
+            name = f"{m}_{f}"
+            used = feature in scorer.features
+            if used:
+                step = scorer.term(feature, F.col(f"{feature}__permuted")) - scorer.term(feature, F.col(feature))
+                changes[f"__delta_{name}"] = scorer.link(total + step) - scorer.link(total)
+                delta = F.col(f"__delta_{name}")
+                aggregates += [F.avg(F.abs(delta)).alias(f"abs_{name}"), F.avg(delta).alias(f"signed_{name}")]
+            records.append(
+                {
+                    "model_key": F.lit(model), "target": F.lit(target), "feature": F.lit(feature),
+                    "feature_label": F.lit(S.FEATURE_LABELS.get(feature, feature)),
+                    "mean_absolute_impact": F.col(f"abs_{name}") if used else F.lit(0.0),
+                    "mean_signed_impact": F.col(f"signed_{name}") if used else F.lit(0.0),
+                    "unit": F.lit((units or {}).get(target, "")),
+                }
+            )
+    return to_long(totals.select(*[c.alias(n) for n, c in changes.items()]).agg(*aggregates), records)
 
 
 def model_permutation_impact(
@@ -106,7 +109,7 @@ def model_permutation_impact(
     features: list[str],
     key: list[str],
     seed: int = 2027,
-    rows_per_group: int = 1_000_000,
+    rows_per_group: int = 2_000,
 ) -> DataFrame:
     """Permutation impact of a fitted model: every row is scored once per permuted feature."""
     mixed = permute_columns(df, features, key, seed, rows_per_group)

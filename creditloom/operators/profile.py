@@ -12,8 +12,8 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from creditloom.functions.rules import non_numeric_columns, numeric_columns
-from creditloom.operators.quantiles import exact_quantiles
-from creditloom.runtime import local_table, to_long
+from creditloom.operators.quantiles import exact_quantiles, sketch_columns
+from creditloom.runtime import to_long
 
 QUARTILES = [0.25, 0.5, 0.75]
 
@@ -43,36 +43,20 @@ def missing_values(df: DataFrame) -> DataFrame:
 
 def numeric_summary(df: DataFrame, columns: list[str] | None = None, by: list[str] = ()) -> DataFrame:
     """count, mean, sample std, min, quartiles and max of each numeric column, optionally per group."""
-    columns = columns or [c for c in numeric_columns(df) if c not in by]
     by = list(by)
-    aggregates, records = [], []
-    for i, c in enumerate(columns):
-        x = F.col(c).cast("double")
-        aggregates += [
-            F.count(x).alias(f"n{i}"), F.avg(x).alias(f"mean{i}"), F.stddev_samp(x).alias(f"std{i}"),
-            F.min(x).alias(f"min{i}"), F.max(x).alias(f"max{i}"),
-        ]
-        records.append(
-            F.struct(
-                F.lit(c).alias("column"),
-                *[F.col(f"{a}{i}").alias(b) for a, b in
-                  (("n", "count"), ("mean", "mean"), ("std", "std"), ("min", "min"), ("max", "max"))],
-            )
-        )
-    moments = df.groupBy(*by).agg(*aggregates).select(*by, F.inline(F.array(*records)))
-    cells: dict[tuple, list] = {}
-    for q in exact_quantiles(df, columns, QUARTILES, by):
-        cells.setdefault((*q.group, q.column), []).append(q.value)
-    schema = df.select(*by).schema.add("column", T.StringType())
-    for name in ("q25", "q50", "q75"):
+    columns = columns or [c for c in numeric_columns(df) if c not in by]
+    sketches = sketch_columns(df, columns, QUARTILES, by)
+    quartiles: dict[tuple, list] = {}
+    for q in exact_quantiles(df, columns, QUARTILES, by, sketches=sketches):
+        quartiles.setdefault((q.group, q.column), []).append(q.value)
+    rows = [
+        (*group, c, s["n"], s["mean"], s["std"], s["min"], *quartiles[group, c], s["max"])
+        for (group, c), s in sketches.items()
+    ]
+    schema = df.select(*by).schema.add("column", T.StringType()).add("count", T.LongType())
+    for name in ("mean", "std", "min", "q25", "q50", "q75", "max"):
         schema = schema.add(name, T.DoubleType())
-    quartiles = local_table(df.sparkSession, [(*k, *v) for k, v in cells.items()], schema)
-    same = reduce(
-        lambda a, b: a & b, [moments[k].eqNullSafe(quartiles[k]) for k in [*by, "column"]]
-    )
-    return moments.join(quartiles, same).select(
-        *[moments[b] for b in by], moments["column"], "count", "mean", "std", "min", "q25", "q50", "q75", "max"
-    )
+    return df.sparkSession.createDataFrame(rows, schema)
 
 
 def cardinality(df: DataFrame, columns: list[str] | None = None) -> DataFrame:

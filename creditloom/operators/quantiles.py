@@ -34,6 +34,7 @@ def exact_quantiles(
     probs: list[float],
     by: list[str] = (),
     max_groups: int = MAX_GROUPS,
+    sketches: dict[tuple, dict] | None = None,
 ) -> list[Quantile]:
     """Linearly interpolated quantiles of the non-null values, per group and column.
 
@@ -42,7 +43,7 @@ def exact_quantiles(
     scan; the others take two more.
     """
     by = list(by)
-    sketches = _sketch(df, columns, probs, by, max_groups)
+    sketches = sketches or sketch_columns(df, columns, probs, by, max_groups)
     exact: dict[tuple, float] = {}
     wanted: dict[tuple, dict[str, tuple[int, int]]] = {}
     for (group, c), stats in sketches.items():
@@ -88,13 +89,17 @@ def _interpolate(exact: dict, group: tuple, column: str, n: int, p: float) -> fl
     return low + (high - low) * (position - math.floor(position))
 
 
-def _sketch(df, columns, probs, by, max_groups) -> dict[tuple, dict]:
+def sketch_columns(
+    df: DataFrame, columns: list[str], probs: list[float], by: list[str] = (), max_groups: int = MAX_GROUPS
+) -> dict[tuple, dict]:
+    """(group, column) -> count, moments, range and approximate quantiles around ``probs``: one scan."""
     marks = sorted({min(max(p + s * w, 0.0), 1.0) for p in probs for w in _WIDTHS for s in (-1, 1)})
     aggregates = []
     for i, c in enumerate(columns):
         value = F.col(c).cast("double")
         aggregates += [
             F.count(value).alias(f"n{i}"), F.min(value).alias(f"min{i}"), F.max(value).alias(f"max{i}"),
+            F.avg(value).alias(f"mean{i}"), F.stddev_samp(value).alias(f"std{i}"),
             F.percentile_approx(value, marks, ACCURACY).alias(f"marks{i}"),
         ]
     rows = df.groupBy(*by).agg(*aggregates).limit(max_groups + 1).collect()
@@ -104,7 +109,7 @@ def _sketch(df, columns, probs, by, max_groups) -> dict[tuple, dict]:
     for row in rows:
         for i, c in enumerate(columns):
             out[tuple(row[b] for b in by), c] = {
-                "n": row[f"n{i}"], "min": row[f"min{i}"], "max": row[f"max{i}"],
+                **{s: row[f"{s}{i}"] for s in ("n", "mean", "std", "min", "max")},
                 "marks": dict(zip(marks, row[f"marks{i}"] or [])),
             }
     return out

@@ -111,28 +111,30 @@ def permute_columns(
     columns: list[str],
     key: list[str],
     seed: int = 42,
-    rows_per_group: int = 1_000_000,
+    rows_per_group: int = 2_000,
     suffix: str = "__permuted",
 ) -> DataFrame:
     """Add a permuted copy of each column, every other column staying where it is.
 
-    Rows fall into random groups of about ``rows_per_group``; within its group each column is handed
-    on by one place in a random order of its own. All columns share one shuffle, and no group grows
-    with the table.
+    Rows fall into random groups of about ``rows_per_group`` and into a random order within their
+    group. The first column is handed on by one place, the second by two and so on, around the group.
+    All columns share one shuffle and one order, and no group grows with the table.
     """
     groups = max(1, math.ceil(df.count() / rows_per_group))
-    group = F.pmod(F.conv(F.substring(row_hash(key, f"{seed}:group"), 1, 8), 16, 10).cast("bigint"), F.lit(groups))
-    order = {c: f"__order_{i}" for i, c in enumerate(columns)}
-    tagged = df.withColumn("__group", group).withColumns(
-        {o: row_hash(key, f"{seed}:{c}") for c, o in order.items()}
+    hashed = row_hash(key, seed)
+    group = F.pmod(F.conv(F.substring(hashed, 1, 8), 16, 10).cast("bigint"), F.lit(groups))
+    placed = (
+        df.withColumn("__group", group).withColumn("__hash", hashed)
+        .withColumn("__place", F.row_number().over(Window.partitionBy("__group").orderBy("__hash")))
+        .withColumn("__size", F.count("*").over(Window.partitionBy("__group")))
+    )
+    # the first rows of a group are repeated behind its last one, so that a plain lead goes around
+    circle = placed.withColumn(
+        "__at", F.explode(F.sequence("__place", F.col("__size") + len(columns), F.col("__size")))
     )
-    out = {}
-    for c, o in order.items():
-        walk = Window.partitionBy("__group").orderBy(o)
-        whole = walk.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        is_last = F.lead(F.lit(1)).over(walk).isNull()
-        out[c + suffix] = F.when(is_last, F.first(c).over(whole)).otherwise(F.lead(c).over(walk))
-    return tagged.withColumns(out).drop("__group", *order.values())
+    walk = Window.partitionBy("__group").orderBy("__at")
+    moved = circle.withColumns({c + suffix: F.lead(c, i).over(walk) for i, c in enumerate(columns, 1)})
+    return moved.where(F.col("__at") == F.col("__place")).drop("__group", "__hash", "__place", "__size", "__at")
 
 
 # --- running totals --------------------------------------------------------------------------

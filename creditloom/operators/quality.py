@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from creditloom import schemas as S
@@ -73,12 +73,20 @@ def domain_check(df: DataFrame, allowed: dict[str, list]) -> DataFrame:
     )
 
 
+def _corr(a: Column, b: Column) -> Column:
+    """Pairwise-complete correlation, null where a side has no spread."""
+    a, b = a.cast("double"), b.cast("double")
+    both = a.isNotNull() & b.isNotNull()
+    spread = F.stddev_pop(F.when(both, a)) * F.stddev_pop(F.when(both, b))
+    return F.try_divide(F.covar_pop(a, b), spread)
+
+
 def leakage_check(
     df: DataFrame, target: str, candidates: list[str] = S.LEAKAGE_CANDIDATES
 ) -> DataFrame:
     """Which suspect columns a store still holds, and how strongly each follows the target."""
     have = present(df, candidates)
-    row = df.agg(F.count("*").alias("__n"), *[F.abs(F.corr(F.col(c).cast("double"), F.col(target).cast("double"))).alias(c) for c in have])
+    row = df.agg(F.count("*").alias("__n"), *[F.abs(_corr(F.col(c), F.col(target))).alias(c) for c in have])
     return to_long(
         row,
         [

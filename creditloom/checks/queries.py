@@ -10,7 +10,6 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from creditloom import runtime
 from creditloom import schemas as S
@@ -46,12 +45,7 @@ def query(fn: Query) -> Query:
 
 def rounded(df: DataFrame) -> DataFrame:
     """Six digits for every double; the tiny shift keeps exact halves from depending on the last bit."""
-    return df.select(
-        *[
-            F.round(F.col(f.name) + 1e-9, 6).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f.name)
-            for f in df.schema
-        ]
-    )
+    return df.selectExpr(*[f"round(`{n}` + 1e-9D, 6) AS `{n}`" if t == "double" else f"`{n}`" for n, t in df.dtypes])
 
 
 # --- inputs ----------------------------------------------------------------------------------------

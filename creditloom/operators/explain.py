@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 from creditloom import schemas as S
 from creditloom.operators.profile import top_per_group
 from creditloom.operators.ranking import permute_columns
-from creditloom.runtime import local_table, to_long
+from creditloom.runtime import local_table, quoted, to_long
 
 # a model as a column expression: feature name -> Column  =>  prediction
 Scorer = Callable[[dict[str, Column]], Column]
@@ -80,6 +80,7 @@ def permutation_impact(
     plain = {c: F.col(c) for c in features}
     totals = mixed.withColumns({f"__total_{m}": s.total(plain) for m, s in enumerate(scorers.values())})
     changes, aggregates, records = {}, [], []
+    unit = units or {}
     for m, ((model, target), scorer) in enumerate(scorers.items()):
         total = F.col(f"__total_{m}")
         for f, feature in enumerate(features):
@@ -88,18 +89,17 @@ def permutation_impact(
             if used:
                 step = scorer.term(feature, F.col(f"{feature}__permuted")) - scorer.term(feature, F.col(feature))
                 changes[f"__delta_{name}"] = scorer.link(total + step) - scorer.link(total)
-                delta = F.col(f"__delta_{name}")
-                aggregates += [F.avg(F.abs(delta)).alias(f"abs_{name}"), F.avg(delta).alias(f"signed_{name}")]
+                aggregates += [f"avg(abs(__delta_{name})) AS abs_{name}", f"avg(__delta_{name}) AS signed_{name}"]
             records.append(
                 {
-                    "model_key": F.lit(model), "target": F.lit(target), "feature": F.lit(feature),
-                    "feature_label": F.lit(S.FEATURE_LABELS.get(feature, feature)),
-                    "mean_absolute_impact": F.col(f"abs_{name}") if used else F.lit(0.0),
-                    "mean_signed_impact": F.col(f"signed_{name}") if used else F.lit(0.0),
-                    "unit": F.lit((units or {}).get(target, "")),
+                    "model_key": quoted(model), "target": quoted(target), "feature": quoted(feature),
+                    "feature_label": quoted(S.FEATURE_LABELS.get(feature, feature)),
+                    "mean_absolute_impact": f"abs_{name}" if used else "0D",
+                    "mean_signed_impact": f"signed_{name}" if used else "0D",
+                    "unit": quoted(unit.get(target, "")),
                 }
             )
-    return to_long(totals.select(*[c.alias(n) for n, c in changes.items()]).agg(*aggregates), records)
+    return to_long(totals.select(*[c.alias(n) for n, c in changes.items()]).selectExpr(*aggregates), records)
 
 
 def model_permutation_impact(

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from creditloom.operators.ranking import running_totals
-from creditloom.runtime import to_long
+from creditloom.runtime import ident, quoted, to_long
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -142,7 +142,7 @@ def classification_report(df: DataFrame, y: str, prediction: str) -> DataFrame:
 
 def metric_rows(df: DataFrame) -> DataFrame:
     """One-row metric table as (metric, value) rows."""
-    return to_long(df, [{"metric": F.lit(c), "value": F.col(c).cast("double")} for c in df.columns])
+    return to_long(df, [{"metric": quoted(c), "value": f"CAST({ident(c)} AS DOUBLE)"} for c in df.columns])
 
 
 def model_comparison(scored: list[tuple[dict[str, str], DataFrame]], y: str, prediction: str) -> DataFrame:

@@ -13,32 +13,32 @@ from pyspark.sql.window import Window
 
 from creditloom.functions.rules import non_numeric_columns, numeric_columns
 from creditloom.operators.quantiles import exact_quantiles, sketch_columns
-from creditloom.runtime import to_long
+from creditloom.runtime import ident, number, quoted, to_long
 
 QUARTILES = [0.25, 0.5, 0.75]
 
 
 def dataset_summary(df: DataFrame) -> DataFrame:
-    missing = reduce(lambda a, b: a + b, [F.count_if(F.col(c).isNull()) for c in df.columns])
-    row = df.agg(F.count("*").alias("rows"), missing.alias("missing"))
+    missing = " + ".join(f"count_if({ident(c)} IS NULL)" for c in df.columns)
+    row = df.selectExpr("count(*) AS rows", f"{missing} AS missing")
     numeric = len(numeric_columns(df))
     values = {
-        "Rows": F.col("rows"),
-        "Columns": F.lit(len(df.columns)),
-        "Numeric Columns": F.lit(numeric),
-        "Categorical Columns": F.lit(len(df.columns) - numeric),
-        "Missing Cells": F.col("missing"),
+        "Rows": "rows",
+        "Columns": str(len(df.columns)),
+        "Numeric Columns": str(numeric),
+        "Categorical Columns": str(len(df.columns) - numeric),
+        "Missing Cells": "missing",
     }
-    return to_long(row, [{"metric": F.lit(m), "value": v.cast("bigint")} for m, v in values.items()])
+    return to_long(row, [{"metric": quoted(m), "value": f"CAST({v} AS BIGINT)"} for m, v in values.items()])
 
 
 def missing_values(df: DataFrame) -> DataFrame:
-    row = df.agg(F.count("*").alias("__n"), *[F.count_if(F.col(c).isNull()).alias(c) for c in df.columns])
-    share = {c: F.try_divide(F.col(c) * 100.0, F.col("__n")) for c in df.columns}
-    return to_long(
-        row,
-        [{"column": F.lit(c), "missing_count": F.col(c), "missing_pct": share[c]} for c in df.columns],
-    ).orderBy(F.desc("missing_pct"), "column")
+    row = df.selectExpr("count(*) AS __n", *[f"count_if({ident(c)} IS NULL) AS {ident(c)}" for c in df.columns])
+    records = [
+        {"column": quoted(c), "missing_count": ident(c), "missing_pct": f"try_divide({ident(c)} * 100D, __n)"}
+        for c in df.columns
+    ]
+    return to_long(row, records).orderBy(F.desc("missing_pct"), "column")
 
 
 def numeric_summary(df: DataFrame, columns: list[str] | None = None, by: list[str] = ()) -> DataFrame:
@@ -62,8 +62,8 @@ def numeric_summary(df: DataFrame, columns: list[str] | None = None, by: list[st
 def cardinality(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Exact distinct non-null values per column."""
     columns = columns or non_numeric_columns(df)
-    row = df.agg(*[F.count_distinct(c).alias(c) for c in columns])
-    return to_long(row, [{"column": F.lit(c), "unique_values": F.col(c)} for c in columns])
+    row = df.selectExpr(*[f"count(DISTINCT {ident(c)}) AS {ident(c)}" for c in columns])
+    return to_long(row, [{"column": quoted(c), "unique_values": ident(c)} for c in columns])
 
 
 def constant_features(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -71,19 +71,15 @@ def constant_features(df: DataFrame, columns: list[str] | None = None) -> DataFr
 
 
 def column_inventory(df: DataFrame) -> DataFrame:
-    types = dict(df.dtypes)
-    row = df.agg(
-        *[F.count(c).alias(f"{c}__n") for c in df.columns],
-        *[F.count_distinct(c).alias(f"{c}__d") for c in df.columns],
+    row = df.selectExpr(
+        *[f"count({ident(c)}) AS n{i}" for i, c in enumerate(df.columns)],
+        *[f"count(DISTINCT {ident(c)}) AS d{i}" for i, c in enumerate(df.columns)],
     )
     return to_long(
         row,
         [
-            {
-                "column": F.lit(c), "dtype": F.lit(types[c]),
-                "non_null": F.col(f"{c}__n"), "distinct_values": F.col(f"{c}__d"),
-            }
-            for c in df.columns
+            {"column": quoted(c), "dtype": quoted(t), "non_null": f"n{i}", "distinct_values": f"d{i}"}
+            for i, (c, t) in enumerate(df.dtypes)
         ],
     )
 
@@ -174,18 +170,18 @@ def outlier_summary(df: DataFrame, columns: list[str] | None = None) -> DataFram
     for c in columns:
         low, high = quartiles[c]
         if low is None:
-            outside = F.lit(False)
+            outside = "false"
         else:
             reach = 1.5 * (high - low)
-            outside = (F.col(c) < F.lit(low - reach)) | (F.col(c) > F.lit(high + reach))
-        aggregates.append(F.count_if(outside).alias(c))
-    row = df.agg(F.count("*").alias("__n"), *aggregates)
+            outside = f"{ident(c)} < {number(low - reach)} OR {ident(c)} > {number(high + reach)}"
+        aggregates.append(f"count_if({outside}) AS {ident(c)}")
+    row = df.selectExpr("count(*) AS __n", *aggregates)
     return to_long(
         row,
         [
             {
-                "column": F.lit(c), "outlier_count": F.col(c),
-                "outlier_pct": F.round(F.try_divide(F.col(c) * 100.0, F.col("__n")), 2),
+                "column": quoted(c), "outlier_count": ident(c),
+                "outlier_pct": f"round(try_divide({ident(c)} * 100D, __n), 2)",
             }
             for c in columns
         ],
@@ -277,5 +273,5 @@ def risk_ratio(df: DataFrame, segment: str, high_risk, low_risk, flag: str) -> D
 
 
 def event_totals(df: DataFrame, flags: list[str]) -> DataFrame:
-    row = df.agg(*[F.count_if(F.col(c)).alias(c) for c in flags])
-    return to_long(row, [{"event": F.lit(c), "loans": F.col(c)} for c in flags])
+    row = df.selectExpr(*[f"count_if({ident(c)}) AS {ident(c)}" for c in flags])
+    return to_long(row, [{"event": quoted(c), "loans": ident(c)} for c in flags])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from creditloom import schemas as S
 from creditloom.functions.rules import present
-from creditloom.runtime import to_long
+from creditloom.runtime import ident, quoted, to_long
 
 
 def reconcile_keys(left: DataFrame, right: DataFrame, key: str = S.ID_COLUMN) -> DataFrame:
@@ -91,8 +91,8 @@ def leakage_check(
         row,
         [
             {
-                "feature": F.lit(c), "present": F.lit(c in have),
-                "abs_corr": F.col(c) if c in have else F.lit(None).cast("double"),
+                "feature": quoted(c), "present": "true" if c in have else "false",
+                "abs_corr": ident(c) if c in have else "CAST(NULL AS DOUBLE)",
             }
             for c in candidates
         ],
@@ -105,8 +105,8 @@ def sentinel_census(df: DataFrame, sentinels: dict[str, int] = S.SENTINELS) -> D
         row,
         [
             {
-                "column": F.lit(c), "sentinel_count": F.col(c),
-                "sentinel_pct": F.try_divide(F.col(c) * 100.0, F.col("__n")),
+                "column": quoted(c), "sentinel_count": ident(c),
+                "sentinel_pct": f"try_divide({ident(c)} * 100D, __n)",
             }
             for c in sentinels
         ],

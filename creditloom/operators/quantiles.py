@@ -12,12 +12,12 @@ import math
 from collections import namedtuple
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from creditloom.runtime import local_table
+from creditloom.runtime import ident, local_table, number
 
 Quantile = namedtuple("Quantile", "group column prob value n")
 
@@ -89,29 +89,34 @@ def _interpolate(exact: dict, group: tuple, column: str, n: int, p: float) -> fl
     return low + (high - low) * (position - math.floor(position))
 
 
+def _value(column: str) -> str:
+    return f"CAST({ident(column)} AS DOUBLE)"
+
+
 def sketch_columns(
     df: DataFrame, columns: list[str], probs: list[float], by: list[str] = (), max_groups: int = MAX_GROUPS
 ) -> dict[tuple, dict]:
     """(group, column) -> count, moments, range and approximate quantiles around ``probs``: one scan."""
     marks = sorted({min(max(p + s * w, 0.0), 1.0) for p in probs for w in _WIDTHS for s in (-1, 1)})
+    wanted_marks = "array(" + ", ".join(number(m) for m in marks) + ")"
     aggregates = []
     for i, c in enumerate(columns):
-        value = F.col(c).cast("double")
-        aggregates += [
-            F.count(value).alias(f"n{i}"), F.min(value).alias(f"min{i}"), F.max(value).alias(f"max{i}"),
-            F.avg(value).alias(f"mean{i}"), F.stddev_samp(value).alias(f"std{i}"),
-            F.percentile_approx(value, marks, ACCURACY).alias(f"marks{i}"),
-        ]
+        v = _value(c)
+        aggregates.append(
+            F.expr(
+                f"named_struct('n', count({v}), 'mean', avg({v}), 'std', stddev_samp({v}), 'min', min({v}), "
+                f"'max', max({v}), 'marks', percentile_approx({v}, {wanted_marks}, {ACCURACY}))"
+            ).alias(f"s{i}")
+        )
     rows = df.groupBy(*by).agg(*aggregates).limit(max_groups + 1).collect()
     if len(rows) > max_groups:
         raise ValueError(f"{by} has more than {max_groups} groups")
     out = {}
     for row in rows:
         for i, c in enumerate(columns):
-            out[tuple(row[b] for b in by), c] = {
-                **{s: row[f"{s}{i}"] for s in ("n", "mean", "std", "min", "max")},
-                "marks": dict(zip(marks, row[f"marks{i}"] or [])),
-            }
+            stats = row[f"s{i}"].asDict()
+            stats["marks"] = dict(zip(marks, stats["marks"] or []))
+            out[tuple(row[b] for b in by), c] = stats
     return out
 
 
@@ -147,32 +152,34 @@ def _select(df, by, columns, probs, sketches, wanted, width) -> dict[tuple, floa
         keyed = df.join(table, match).select(
             *by, *set(columns), *[f"__{n}{i}" for i in range(len(slots)) for n in ("on", "low", "high")]
         )
-
-        def bound(name: str, i: int) -> Column:
-            return F.col(f"__{name}{i}")
     else:
-        keyed, only = df, rows[0]
-
-        def bound(name: str, i: int) -> Column:
-            value = only[3 * i + ("on", "low", "high").index(name)]
-            return F.lit(value).cast("boolean" if name == "on" else "double")
+        keyed = df
 
     inside, below = [], []
     for i, (c, _) in enumerate(slots):
-        v, low, high = F.col(c).cast("double"), bound("low", i), bound("high", i)
-        fits = bound("on", i) & v.isNotNull() & (low.isNull() | (v >= low)) & (high.isNull() | (v <= high))
-        inside.append(F.when(fits, F.struct(F.lit(i).alias("slot"), v.alias("v"))))
-        below.append(F.struct(F.lit(i).alias("slot"), F.count_if(v < low).alias("below")))
+        v = _value(c)
+        if by:
+            fits = f"__on{i} AND (__low{i} IS NULL OR {v} >= __low{i}) AND (__high{i} IS NULL OR {v} <= __high{i})"
+            under = f"{v} < __low{i}"
+        else:  # a single group: its bounds are constants
+            _, low, high = rows[0][3 * i : 3 * i + 3]
+            fits = " AND ".join(
+                ["true"] + ([f"{v} >= {number(low)}"] if low is not None else [])
+                + ([f"{v} <= {number(high)}"] if high is not None else [])
+            )
+            under = f"{v} < {number(low)}" if low is not None else "false"
+        inside.append(f"CASE WHEN {v} IS NOT NULL AND {fits} THEN named_struct('slot', {i}, 'v', {v}) END")
+        below.append(f"named_struct('slot', {i}, 'below', count_if({under}))")
     names = [f"__g{j}" for j in range(len(by))]
     groups = [F.col(b).alias(n) for b, n in zip(by, names)]
     counted = (
-        keyed.select(*groups, F.explode(F.array_compact(F.array(*inside))).alias("e"))
+        keyed.select(*groups, F.expr(f"explode(array_compact(array({', '.join(inside)})))").alias("e"))
         .groupBy(*names, F.col("e.slot").alias("slot"), F.col("e.v").alias("v"))
         .count()
     )
     running = Window.partitionBy(*names, "slot").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     ranked = counted.withColumn("upto", F.sum("count").over(running))
-    offsets = keyed.groupBy(*groups).agg(F.array(*below).alias("b")).select(*names, F.inline("b"))
+    offsets = keyed.groupBy(*groups).agg(F.expr(f"array({', '.join(below)})").alias("b")).select(*names, F.inline("b"))
 
     ranks = [
         (*group, slots.index((c, p)), rank)

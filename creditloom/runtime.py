@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -72,7 +72,26 @@ def lookup_table(df: DataFrame, label: str, max_rows: int = BROADCAST_ROWS) -> D
     return F.broadcast(stored) if stored.count() <= max_rows else stored
 
 
-def to_long(df: DataFrame, records: list[dict[str, Column]]) -> DataFrame:
-    """Turn a one-row wide result into one row per record."""
-    structs = [F.struct(*[c.alias(n) for n, c in rec.items()]) for rec in records]
-    return df.select(F.inline(F.array(*structs)))
+# Wide reports hold hundreds of expressions. They are written as SQL text: one call per expression
+# instead of one per operator.
+
+
+def ident(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def number(value: float) -> str:
+    return f"{float(value)!r}D"
+
+
+def to_long(df: DataFrame, records: list[dict[str, str]]) -> DataFrame:
+    """Turn a one-row wide result into one row per record; record values are SQL expressions."""
+    structs = [
+        "named_struct(" + ", ".join(f"{quoted(n)}, {expr}" for n, expr in record.items()) + ")"
+        for record in records
+    ]
+    return df.selectExpr(f"inline(array({', '.join(structs)}))")

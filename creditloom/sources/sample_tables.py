@@ -5,97 +5,85 @@ The recipes are integer arithmetic, so any engine reproduces them bit for bit.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+ORIGINATION = {
+    "credit_score": "CAST(IF(k % 97 = 0, 9999, 500 + (k * 31) % 351) AS INT)",
+    "first_payment_date": "y * 100 + m",
+    "first_time_homebuyer_indicator": "IF(k % 5 = 0, 'Y', 'N')",
+    "maturity_date": "CAST((last_month DIV 12) * 100 + last_month % 12 + 1 AS INT)",
+    "msa": "CAST(IF(k % 11 = 0, NULL, 10000 + (o_custkey % 40) * 100) AS INT)",
+    "mortgage_insurance_pct": "IF(ltv BETWEEN 81 AND 998, 25, 0)",
+    "num_units": "IF(k % 37 = 0, 2, 1)",
+    "occupancy_status": "CASE o_orderstatus WHEN 'F' THEN 'P' WHEN 'O' THEN 'S' ELSE 'I' END",
+    "cltv": "CAST(IF(k % 211 = 0, 999, ltv + (k % 4) * 5) AS INT)",
+    "dti": "CAST(IF(k % 53 = 0, 999, 1 + (k * 17) % 50) AS INT)",
+    "original_upb": "CAST(FLOOR(o_totalprice / 1000) AS BIGINT) * 1000",
+    "ltv": "ltv",
+    "interest_rate": "CAST(240 + (k * 7) % 200 AS DOUBLE) / 80",
+    "channel": "SUBSTRING(o_orderpriority, 1, 1)",
+    "prepayment_penalty_indicator": "'N'",
+    "amortization_type": "'FRM'",
+    "property_state": "n_name",
+    "property_type": "c_mktsegment",
+    "postal_code": "CAST((o_custkey % 999) * 100 AS INT)",
+    "loan_identifier": "k",
+    "loan_purpose": "CASE k % 3 WHEN 0 THEN 'P' WHEN 1 THEN 'C' ELSE 'N' END",
+    "original_loan_term": "term",
+    "num_borrowers": "1 + IF(k % 3 = 0, 1, 0) + IF(k % 41 = 0, 1, 0)",
+    "seller_name": "CONCAT('Seller_', k % 25)",
+    "servicer_name": "CONCAT('Servicer_', k % 24)",
+    "super_conforming_flag": "IF(k % 31 = 0, 'Y', NULL)",
+    "pre_harp_loan_sequence_number": "CAST(NULL AS STRING)",
+    "program_indicator": "CASE WHEN k % 9 = 0 THEN 'H' WHEN k % 200 = 0 THEN 'F' ELSE '9' END",
+    "harp_indicator": "IF(k % 77 = 0, 'Y', NULL)",
+    "property_valuation_method": "IF(k % 37 = 0, 1, 7)",
+    "interest_only_indicator": "'N'",
+    "mortgage_insurance_cancellation_indicator": "CASE k % 3 WHEN 0 THEN '7' WHEN 1 THEN 'N' ELSE 'Y' END",
+    "quarter": "CONCAT(y, 'Q', QUARTER(o_orderdate))",
+}
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+PERFORMANCE = {
+    "loan_identifier": "l_orderkey",
+    "reporting_period": "YEAR(l_shipdate) * 100 + MONTH(l_shipdate)",
+    "current_loan_delinquency_status": """CASE WHEN l_returnflag = 'R' AND l_linestatus = 'F' AND l_quantity >= 49 THEN 'RA'
+        WHEN l_quantity >= 46 THEN CAST(CAST((l_quantity - 45) * 2 AS INT) AS STRING) ELSE '0' END""",
+    "loan_age": "CAST(r % 92 AS INT)",
+    "remaining_months_to_maturity": "CAST(360 - r % 92 AS INT)",
+    "modification_flag": "IF(r % 61 = 0, 'Y', NULL)",
+    "zero_balance_code": "IF(l_returnflag = 'A' AND l_linestatus = 'F', '01', NULL)",
+    "current_interest_rate": "CAST(240 + (l_orderkey * 7) % 200 - r % 5 AS DOUBLE) / 80",
+    "estimated_ltv": "CASE WHEN r % 13 = 0 THEN '999' WHEN r % 29 = 0 THEN '' ELSE CAST(20 + r % 130 AS STRING) END",
+    "borrower_assistance_status": "IF(r % 17 = 0, 'F', NULL)",
+}
 
 
-def _yes_when(condition: Column, otherwise: str | None = None) -> Column:
-    return F.when(condition, "Y").otherwise(F.lit(otherwise))
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def loan_origination(spark: SparkSession, sf_dir: str, columns: list[str] | None = None) -> DataFrame:
     """One loan per order. The customer join is left out when no requested column needs it."""
+    columns = columns or list(ORIGINATION)
     orders = _table(spark, sf_dir, "orders")
-    needs_customer = columns is None or {"property_state", "property_type"} & set(columns)
-    if needs_customer:
+    if {"property_state", "property_type"} & set(columns):
         customer = _table(spark, sf_dir, "customer")
         nation = _table(spark, sf_dir, "nation")
         orders = orders.join(
             customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")),
             F.col("o_custkey") == F.col("c_custkey"),
         )
-    k = F.col("o_orderkey")
-    cust = F.col("o_custkey")
-    year, month = F.year("o_orderdate"), F.month("o_orderdate")
-    ltv = F.when(k % 211 == 0, F.lit(999)).otherwise(30 + (k * 13) % 71).cast("int")
-    term = (
-        F.when(k % 10 == 0, 120).when(k % 10 == 1, 240).when(k % 10 == 2, 300)
-        .when((k % 10).isin(3, 4), 180).otherwise(360)
-    )
-    last_month = year * 12 + month - 1 + term
-    recipe: dict[str, Column] = {
-        "credit_score": F.when(k % 97 == 0, F.lit(9999)).otherwise(500 + (k * 31) % 351).cast("int"),
-        "first_payment_date": year * 100 + month,
-        "first_time_homebuyer_indicator": _yes_when(k % 5 == 0, "N"),
-        "maturity_date": (F.floor(last_month / 12) * 100 + last_month % 12 + 1).cast("int"),
-        "msa": F.when(k % 11 != 0, 10000 + (cust % 40) * 100).cast("int"),
-        "mortgage_insurance_pct": F.when(ltv.between(81, 998), 25).otherwise(0),
-        "num_units": F.when(k % 37 == 0, 2).otherwise(1),
-        "occupancy_status": F.when(F.col("o_orderstatus") == "F", "P")
-        .when(F.col("o_orderstatus") == "O", "S").otherwise("I"),
-        "cltv": F.when(k % 211 == 0, F.lit(999)).otherwise(30 + (k * 13) % 71 + (k % 4) * 5).cast("int"),
-        "dti": F.when(k % 53 == 0, F.lit(999)).otherwise(1 + (k * 17) % 50).cast("int"),
-        "original_upb": F.floor(F.col("o_totalprice") / 1000) * 1000,
-        "ltv": ltv,
-        "interest_rate": (240 + (k * 7) % 200).cast("double") / 80,
-        "channel": F.substring("o_orderpriority", 1, 1),
-        "prepayment_penalty_indicator": F.lit("N"),
-        "amortization_type": F.lit("FRM"),
-        "property_state": F.col("n_name") if needs_customer else F.lit(None),
-        "property_type": F.col("c_mktsegment") if needs_customer else F.lit(None),
-        "postal_code": ((cust % 999) * 100).cast("int"),
-        "loan_identifier": k,
-        "loan_purpose": F.when(k % 3 == 0, "P").when(k % 3 == 1, "C").otherwise("N"),
-        "original_loan_term": term,
-        "num_borrowers": 1 + (k % 3 == 0).cast("int") + (k % 41 == 0).cast("int"),
-        "seller_name": F.concat(F.lit("Seller_"), (k % 25).cast("string")),
-        "servicer_name": F.concat(F.lit("Servicer_"), (k % 24).cast("string")),
-        "super_conforming_flag": _yes_when(k % 31 == 0),
-        "pre_harp_loan_sequence_number": F.lit(None).cast("string"),
-        "program_indicator": F.when(k % 9 == 0, "H").when(k % 200 == 0, "F").otherwise("9"),
-        "harp_indicator": _yes_when(k % 77 == 0),
-        "property_valuation_method": F.when(k % 37 == 0, 1).otherwise(7),
-        "interest_only_indicator": F.lit("N"),
-        "mortgage_insurance_cancellation_indicator": F.when(k % 3 == 0, "7")
-        .when(k % 3 == 1, "N").otherwise("Y"),
-        "quarter": F.concat(year.cast("string"), F.lit("Q"), F.quarter("o_orderdate").cast("string")),
-    }
-    return orders.select(*[recipe[c].alias(c) for c in (columns or recipe)])
+    base = orders.selectExpr(
+        "*", "o_orderkey AS k", "YEAR(o_orderdate) AS y", "MONTH(o_orderdate) AS m",
+        "CAST(IF(o_orderkey % 211 = 0, 999, 30 + (o_orderkey * 13) % 71) AS INT) AS ltv",
+        """CASE o_orderkey % 10 WHEN 0 THEN 120 WHEN 1 THEN 240 WHEN 2 THEN 300 WHEN 3 THEN 180 WHEN 4 THEN 180
+        ELSE 360 END AS term""",
+    ).selectExpr("*", "y * 12 + m - 1 + term AS last_month")
+    return base.selectExpr(*[f"{ORIGINATION[c]} AS {c}" for c in columns])
 
 
 def loan_performance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One performance record per line item."""
-    r = F.col("l_partkey") * 7 + F.col("l_suppkey") * 3 + F.col("l_linenumber")
-    quantity, returned, status = F.col("l_quantity"), F.col("l_returnflag"), F.col("l_linestatus")
-    recipe: dict[str, Column] = {
-        "loan_identifier": F.col("l_orderkey"),
-        "reporting_period": F.year("l_shipdate") * 100 + F.month("l_shipdate"),
-        "current_loan_delinquency_status": F.when(
-            (returned == "R") & (status == "F") & (quantity >= 49), "RA"
-        )
-        .when(quantity >= 46, ((quantity - 45) * 2).cast("int").cast("string"))
-        .otherwise("0"),
-        "loan_age": (r % 92).cast("int"),
-        "remaining_months_to_maturity": (360 - r % 92).cast("int"),
-        "modification_flag": _yes_when(r % 61 == 0),
-        "zero_balance_code": F.when((returned == "A") & (status == "F"), "01"),
-        "current_interest_rate": (240 + (F.col("l_orderkey") * 7) % 200 - (r % 5)).cast("double") / 80,
-        "estimated_ltv": F.when(r % 13 == 0, "999").when(r % 29 == 0, "")
-        .otherwise((20 + r % 130).cast("string")),
-        "borrower_assistance_status": F.when(r % 17 == 0, "F"),
-    }
-    return _table(spark, sf_dir, "lineitem").select(*[c.alias(n) for n, c in recipe.items()])
+    items = _table(spark, sf_dir, "lineitem").selectExpr("*", "l_partkey * 7 + l_suppkey * 3 + l_linenumber AS r")
+    return items.selectExpr(*[f"{expr} AS {c}" for c, expr in PERFORMANCE.items()])

@@ -5,7 +5,6 @@ Doubles are rounded here, not in the operators, so that engines that add in anot
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -103,20 +102,16 @@ def wide_numeric(df: DataFrame) -> list[str]:
 # --- sources ---------------------------------------------------------------------------------------
 
 
-def _scratch(spark: SparkSession, label: str) -> str:
-    return f"{runtime.checkpoint_root(spark)}/{label}-{uuid.uuid4().hex}"
-
-
 @query
 def read_origination(spark, sf):
-    path = _scratch(spark, "origination")
+    path = runtime.work_path(spark, "origination")
     raw_text.write_raw(loan_origination(spark, sf), S.ORIGINATION_FIELDS, path)
     return raw_text.read_origination(spark, path)
 
 
 @query
 def read_performance(spark, sf):
-    path = _scratch(spark, "performance")
+    path = runtime.work_path(spark, "performance")
     raw_text.write_raw(loan_performance(spark, sf), S.PERFORMANCE_FIELDS, path)
     return raw_text.read_performance(spark, path)
 
@@ -131,7 +126,7 @@ def quarter_columns(spark, sf):
 
 @query
 def feature_store_manifest(spark, sf):
-    root = _scratch(spark, "stores")
+    root = runtime.work_path(spark, "stores")
     entry = store.write_feature_store(runtime.materialize(master(spark, sf), "master"), root, "v1", "master.parquet", "check")
     manifest = store.read_json(spark, f"{root}/version_manifest.json")
     parts = []

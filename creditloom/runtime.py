@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -28,6 +30,7 @@ def checkpoint_root(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
     root = tempfile.mkdtemp(prefix="creditloom-")
+    atexit.register(shutil.rmtree, root, ignore_errors=True)
     spark.sparkContext.setCheckpointDir(root)
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
@@ -39,7 +42,7 @@ def materialize(df: DataFrame, label: str, partition_by: list[str] | None = None
     loss of executors, keeps column pruning and filter pushdown, and gives the optimizer real sizes.
     """
     spark = df.sparkSession
-    path = f"{_work_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    path = work_path(spark, label)
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -49,8 +52,13 @@ def _work_folder(spark: SparkSession) -> str:
     return f"{checkpoint_root(spark)}/creditloom/{spark.sparkContext.applicationId}"
 
 
+def work_path(spark: SparkSession, label: str) -> str:
+    """A fresh path for this application's intermediates."""
+    return f"{_work_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
 def drop_intermediates(spark: SparkSession) -> None:
-    """Remove every table written by :func:`materialize` in this application."""
+    """Remove everything this application wrote under :func:`work_path`."""
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(_work_folder(spark))
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

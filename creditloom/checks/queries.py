@@ -609,9 +609,10 @@ def topk_coefficients(spark, sf):
 
 @query
 def union_quarters(spark, sf):
-    df = labelled(spark, sf, [ID, "quarter", "credit_score"])
+    df = clean(spark, sf, [ID, "quarter", "credit_score"])
     years = ["1995", "1996", "1997", "1998", "1999", "2000", "2001"]
-    return loans.union_quarters([df.where(F.col("quarter").startswith(y)) for y in years])
+    united = loans.union_quarters([df.where(F.col("quarter").startswith(y)) for y in years])
+    return loans.join_labels(united, labels(spark, sf))
 
 
 # --- splits and samples --------------------------------------------------------------------------------

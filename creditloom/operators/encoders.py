@@ -128,22 +128,24 @@ def ordinal_encode(
     )
 
 
+def _active_indicators(categories: dict[str, list[str]], index: str) -> list[Column]:
+    """Per indexed column the entry ``column__value`` -> 1, or null for a value outside its list."""
+    return [
+        F.when(
+            F.col(c + index) < len(values),
+            F.struct(F.concat_ws("__", F.lit(c), F.col(c).cast("string")).alias("feature"), F.lit(1.0).alias("value")),
+        )
+        for c, values in categories.items()
+    ]
+
+
 def one_hot_long(
     df: DataFrame, categories: dict[str, list[str]], keep: list[str]
 ) -> DataFrame:
     """One row per active indicator ``column__value``; unknown values have none."""
-    spark = df.sparkSession
-    pairs = F.array(
-        *[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("category")) for c in categories]
-    )
-    # the lists were size-checked when they were collected
-    known = local_table(
-        spark, [(c, v) for c, values in categories.items() for v in values], "column string, category string"
-    )
-    return (
-        df.select(*keep, F.inline(pairs)).join(known, ["column", "category"])
-        .select(*keep, F.concat_ws("__", "column", "category").alias("feature"), F.lit(1.0).alias("value"))
-    )
+    indexed = _indexed(df, categories, "__index")
+    entries = F.array_compact(F.array(*_active_indicators(categories, "__index")))
+    return indexed.select(*keep, F.inline(entries))
 
 
 # --- tabular preprocessor ----------------------------------------------------------------------
@@ -204,11 +206,11 @@ class TabularPreprocessor:
         """Non-zero entries of the encoded matrix as (row key, feature, value)."""
         done = self.transform(df)
         names = self.numeric if self.mode == "linear" else self.feature_names
-        numbers = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("value")) for c in names])
-        out = done.select(*keep, F.inline(numbers))
+        entries = [F.struct(F.lit(c).alias("feature"), F.col(c).alias("value")) for c in names]
         if self.mode == "linear":
-            out = out.unionByName(one_hot_long(self._frame(df), self.categories, keep))
-        return out
+            done = _indexed(done, self.categories, "__index")
+            entries += _active_indicators(self.categories, "__index")
+        return done.select(*keep, F.inline(F.array_compact(F.array(*entries))))
 
     def assemble(self, df: DataFrame, output: str = "features") -> DataFrame:
         """Add the model vector and leave every column as it was; indicators stay sparse."""

@@ -126,13 +126,15 @@ def union_quarters(frames: list[DataFrame]) -> DataFrame:
 # --- portfolio-relative score ----------------------------------------------------------------
 
 
-def _per_group_table(df: DataFrame, by: list[str], aggregates: list[Column]) -> DataFrame:
-    """Small per-group statistics as a broadcast, or an error if the groups are not few."""
-    summary = df.groupBy(*by).agg(*aggregates)
-    rows = summary.limit(BROADCAST_ROWS + 1).collect()
-    if len(rows) > BROADCAST_ROWS:
-        raise ValueError(f"{by} has more than {BROADCAST_ROWS} groups")
-    return local_table(df.sparkSession, rows, summary.schema)
+def _attach(df: DataFrame, by: list[str], rows: list[tuple], fields: list[T.StructField]) -> DataFrame:
+    """Add per-group values (group columns first in each row) to every row of their group."""
+    if not by:  # a single group: its values are constants
+        values = rows[0] if rows else [None] * len(fields)
+        return df.withColumns({f.name: F.lit(v).cast(f.dataType) for f, v in zip(fields, values)})
+    keys = [T.StructField(f"__by_{f.name}", f.dataType) for f in df.select(*by).schema]
+    table = local_table(df.sparkSession, rows, T.StructType([*keys, *fields]))
+    match = reduce(lambda a, b: a & b, [df[c].eqNullSafe(table[f"__by_{c}"]) for c in by])
+    return df.join(table, match, "left").drop(*[k.name for k in keys])
 
 
 def add_norms(df: DataFrame, by: list[str] = ("quarter",)) -> DataFrame:
@@ -141,24 +143,19 @@ def add_norms(df: DataFrame, by: list[str] = ("quarter",)) -> DataFrame:
     A constant component has no spread and gets a null norm.
     """
     by = list(by)
-    bounds = _per_group_table(
-        df, by,
-        [f(c).alias(f"__{f.__name__}_{c}") for c in S.BSS_COMPONENTS for f in (F.min, F.max)],
+    bounds = df.groupBy(*by).agg(
+        *[f(c).alias(f"__{f.__name__}_{c}") for c in S.BSS_COMPONENTS for f in (F.min, F.max)]
     )
-    out = _join_groups(df, bounds, by)
+    rows = bounds.limit(BROADCAST_ROWS + 1).collect()
+    if len(rows) > BROADCAST_ROWS:
+        raise ValueError(f"{by} has more than {BROADCAST_ROWS} groups")
+    fields = bounds.schema.fields[len(by) :]
+    out = _attach(df, by, [tuple(r) for r in rows], fields)
     for c, (_, inverted) in S.BSS_COMPONENTS.items():
         low, high = F.col(f"__min_{c}"), F.col(f"__max_{c}")
         norm = F.try_divide((F.col(c) - low).cast("double"), (high - low).cast("double"))
         out = out.withColumn(f"{c}_norm", 1 - norm if inverted else norm)
-    return out.drop(*[c for c in bounds.columns if c.startswith("__")])
-
-
-def _join_groups(df: DataFrame, table: DataFrame, by: list[str]) -> DataFrame:
-    if not by:
-        return df.join(table)  # a single row
-    renamed = table.withColumnsRenamed({c: f"__by_{c}" for c in by})
-    match = reduce(lambda a, b: a & b, [df[c].eqNullSafe(renamed[f"__by_{c}"]) for c in by])
-    return df.join(renamed, match, "left").drop(*[f"__by_{c}" for c in by])
+    return out.drop(*[f.name for f in fields])
 
 
 def quantile_buckets(
@@ -187,10 +184,8 @@ def quantile_buckets(
         if len(set(values)) != len(values):
             raise ValueError(f"bucket edges of {column} must be unique, group {group}: {values}")
         rows.append((*group, *values[1:q]))
-    schema = df.select(*by).schema
-    for i in range(1, q):
-        schema = schema.add(f"__edge_{i}", T.DoubleType())
-    out = _join_groups(df, local_table(df.sparkSession, rows, schema), by)
+    fields = [T.StructField(f"__edge_{i}", T.DoubleType()) for i in range(1, q)]
+    out = _attach(df, by, rows, fields)
     value, number = F.col(column), F.lit(q)
     for i in reversed(range(1, q)):
         number = F.when(value <= F.col(f"__edge_{i}"), F.lit(i)).otherwise(number)

@@ -38,13 +38,17 @@ def require_same_keys(left: DataFrame, right: DataFrame, key: str = S.ID_COLUMN,
 
 
 def unseen_categories(train: DataFrame, other: DataFrame, columns: list[str]) -> DataFrame:
-    """Category values of ``other`` that ``train`` does not have, per column."""
+    """Category values of ``other`` that ``train`` does not have, per column: one shuffle of distinct values."""
 
-    def values(df: DataFrame) -> DataFrame:
-        pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns])
-        return df.select(F.inline(pairs)).where(F.col("value").isNotNull()).distinct()
-
-    return values(other).join(values(train), ["column", "value"], "left_anti")
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns])
+    tagged = train.select(F.lit(1).alias("known"), F.inline(pairs)).unionByName(
+        other.select(F.lit(0).alias("known"), F.inline(pairs))
+    )
+    return (
+        tagged.where(F.col("value").isNotNull())
+        .groupBy("column", "value").agg(F.max("known").alias("known"))
+        .where(F.col("known") == 0).drop("known")
+    )
 
 
 def validate_master(df: DataFrame, required: list[str] = S.MASTER_REQUIRED) -> DataFrame:

@@ -12,6 +12,7 @@ from creditloom import schemas as S
 from creditloom.functions import rules as R
 from creditloom.models import training as M
 from creditloom.operators import loans, metrics, profile, quality, ranking
+from creditloom.runtime import materialize
 from creditloom.sources import feature_store as store
 from creditloom.sources.raw_text import quarter_paths, read_origination, read_performance
 
@@ -71,7 +72,8 @@ def run_diagnostics(spark: SparkSession, root: str, version: str, report_root: s
 
 def stress_report(bundle: M.Bundle, test: DataFrame) -> dict[str, DataFrame]:
     """Headline metrics, AUC and per-class report of a stress model."""
-    scored = M.stress_scores(bundle, test)
+    # label, class and score are all the reports need, so the model runs over the test set once
+    scored = materialize(M.stress_scores(bundle, test), "stress-scores")
     return {
         "metrics": metrics.binary_metrics(scored, "label", "prediction"),
         "auc": metrics.roc_auc(scored, "label", "score"),

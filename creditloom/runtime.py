@@ -35,7 +35,7 @@ def checkpoint_root(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
-def materialize(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
+def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet under the checkpoint folder and read it back.
 
     Used where several passes need the same expensive input. Unlike a cached table it survives the
@@ -43,8 +43,7 @@ def materialize(df: DataFrame, label: str, partition_by: list[str] | None = None
     """
     spark = df.sparkSession
     path = work_path(spark, label)
-    writer = df.write.partitionBy(*partition_by) if partition_by else df.write
-    writer.parquet(path)
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

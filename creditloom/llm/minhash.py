@@ -9,6 +9,9 @@ import numpy as np
 from creditloom.llm.text import mix
 
 
+_CACHED = 1 << 15
+
+
 class MinHash:
     """``size`` hash functions x -> a * x + b on 32-bit shingle hashes; a signature is the minimum of each."""
 
@@ -25,11 +28,17 @@ class MinHash:
     def signatures(self, shingles: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """One row for each set; set i is shingles[starts[i] : starts[i + 1]] (the last to the end), none is empty."""
         out = np.empty((len(starts), len(self.a)), np.uint32)
-        if len(starts):
-            x = narrow(shingles)
-            buffer = np.empty_like(x)
+        if not len(starts):
+            return out
+        x = narrow(shingles)
+        # blocks of whole sets that stay in a core's cache while all functions pass over them
+        cuts = np.flatnonzero(np.diff(starts // _CACHED, prepend=-1))
+        for first, last in zip(cuts, np.append(cuts[1:], len(starts))):
+            low, high = starts[first], starts[last] if last < len(starts) else len(x)
+            part, inner = x[low:high], starts[first:last] - low
+            buffer = np.empty_like(part)
             for k in range(len(self.a)):
-                out[:, k] = np.minimum.reduceat(self.values(k, x, buffer), starts)
+                out[first:last, k] = np.minimum.reduceat(self.values(k, part, buffer), inner)
         return out
 
 

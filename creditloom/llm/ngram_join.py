@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from creditloom.llm.common import components, documents_only, rank_within, store
+from creditloom.llm.filters import collect, contains
 from creditloom.llm.minhash import MinHash, band_keys, prune
 from creditloom.llm.text import SPACED, Texts, mix, run_starts, signed, slices, window_hashes
 
@@ -31,7 +32,6 @@ THRESHOLD = 0.8
 TOLERANCE = 1e-6
 ROWS, BANDS = 6, 48  # a pair at 0.8 shares no band once in 2 million cases
 BLOCK = 256
-FILTER_WORDS = 1 << 22
 _LAST = (1 << 63) - 1
 
 
@@ -98,24 +98,17 @@ def _mixed(node: np.ndarray, d: np.ndarray) -> np.ndarray:
 
 
 def _wanted(reps: DataFrame) -> np.ndarray:
-    """Bitmap of fixed size of the (node, d) whose shingles are needed; what it lets through more is joined away."""
+    """Filter of the (node, d) whose shingles are needed; what it lets through more is joined away."""
 
-    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            h = _mixed(batch.column("node").to_numpy(), batch.column("d").to_numpy())
-            place = h % np.uint64(FILTER_WORDS * 64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array((place >> np.uint64(6)).astype(np.int64)), pa.array(signed(np.uint64(1) << (place & np.uint64(63))))], ["word", "bits"]
-            )
-
-    table = reps.select("node", "d").mapInArrow(bits, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
-    out = np.zeros(FILTER_WORDS, np.uint64)
-    out[table.column("word").to_numpy()] = table.column("bits").to_numpy().view(np.uint64)
-    return out
+            yield pa.RecordBatch.from_arrays([pa.array(signed(_mixed(batch.column("node").to_numpy(), batch.column("d").to_numpy())))], ["h"])
+
+    return collect(reps.select("node", "d").mapInArrow(run, "h long"))
 
 
 def _payloads(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
-    """node, d, shingles and signature of the documents in the bitmap."""
+    """node, d, shingles and signature of the documents in the filter."""
     sent = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,8 +119,7 @@ def _payloads(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
                 s = Shingles(rows.column("text"))
                 nodes = s.nodes()
                 d = rows.column("d").to_numpy(zero_copy_only=False)[s.kept]
-                place = _mixed(signed(nodes), d) % np.uint64(FILTER_WORDS * 64)
-                mine = np.flatnonzero(table[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63)) & np.uint64(1))
+                mine = np.flatnonzero(contains(table, _mixed(signed(nodes), d)))
                 sets = [s.grams[s.starts[i] : s.starts[i] + s.sizes[i]] for i in mine]
                 starts = np.cumsum([0, *(len(x) for x in sets)])[:-1]
                 found = hashes.signatures(np.concatenate(sets) if sets else np.empty(0, np.uint64), starts[: len(sets)])

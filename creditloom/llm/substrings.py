@@ -6,8 +6,7 @@ modulo ``PERIOD`` lies in the difference cover {0, 1, 3}: for any two places som
 onto the cover, so two equal windows always share an aligned anchor. Anchors that occur once are settled; around the
 others the match is extended to whole windows, which are then compared exactly (64-bit hashes of 13 words).
 
-The shared anchors go to the second scan as a blocked Bloom filter of fixed size (``FILTER_WORDS`` 64-bit words, 32 MB,
-however large the corpus). What it lets through by mistake costs a row and changes nothing; when far more anchors are
+The shared anchors go to the second scan as a Bloom filter of fixed size, however large the corpus. What it lets through by mistake costs a row and changes nothing; when far more anchors are
 shared than it has room for, the second scan simply hashes more windows.
 
 Results for special rows: null and empty texts have no words; a null doc_id counts as the largest; rows that repeat a
@@ -27,13 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from creditloom.llm.common import documents_only
+from creditloom.llm.filters import collect, contains
 from creditloom.llm.text import SPACED, Spans, Texts, ranges, run_starts, signed, slices, window_hashes
 
 WINDOW = 13
 PERIOD = 7
 COVER = (0, 1, 3)
 ANCHOR = WINDOW - PERIOD + 1
-FILTER_WORDS = 1 << 22
 _LAST = (1 << 63) - 1
 
 
@@ -45,19 +44,6 @@ def _anchors(words: Spans, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return window_hashes(h, ANCHOR)[at], at
 
 
-def _filter_bits(h: np.ndarray) -> np.ndarray:
-    """Four bits of a 64-bit word."""
-    one, six = np.uint64(1), np.uint64(63)
-    bits = np.zeros(len(h), np.uint64)
-    for shift in (0, 6, 12, 18):
-        bits |= one << ((h >> np.uint64(shift)) & six)
-    return bits
-
-
-def _filter_word(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(40)).astype(np.int64) % FILTER_WORDS
-
-
 def shared_anchors(docs: DataFrame) -> np.ndarray:
     """Bloom filter of the anchors that stand in two texts or more."""
 
@@ -76,16 +62,7 @@ def shared_anchors(docs: DataFrame) -> np.ndarray:
                 out = np.concatenate([h[first], h[first[twice]]])
                 yield pa.RecordBatch.from_arrays([pa.array(signed(out))], ["h"])
 
-    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            h = batch.column("h").to_numpy(zero_copy_only=False).view(np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(_filter_word(h)), pa.array(signed(_filter_bits(h)))], ["word", "bits"])
-
-    shared = docs.select("text").mapInArrow(run, "h long").groupBy("h").count().where("count > 1").select("h")
-    table = shared.mapInArrow(bits, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
-    out = np.zeros(FILTER_WORDS, np.uint64)
-    out[table.column("word").to_numpy()] = table.column("bits").to_numpy().view(np.uint64)
-    return out
+    return collect(docs.select("text").mapInArrow(run, "h long").groupBy("h").count().where("count > 1").select("h"))
 
 
 def candidate_windows(docs: DataFrame, shared: np.ndarray) -> DataFrame:
@@ -99,8 +76,7 @@ def candidate_windows(docs: DataFrame, shared: np.ndarray) -> DataFrame:
                 words = Texts(rows.column("text")).runs(SPACED)
                 h = words.hashes()
                 anchor, at = _anchors(words, h)
-                bits = _filter_bits(anchor)
-                at = at[(table[_filter_word(anchor)] & bits) == bits]
+                at = at[contains(table, anchor)]
                 near = np.zeros(len(words) + 1, np.int64)
                 # the windows that begin up to PERIOD - 1 words before an anchor hold it
                 np.add.at(near, np.maximum(at - PERIOD + 1, words.bounds[words.owner[at]]), 1)

@@ -2,8 +2,9 @@
 
 Two models, ``quality`` and ``toxic``, are trained on labelled documents, calibrated by Platt's method on a part of
 the sample kept apart, and applied in Arrow batches against fixed thresholds. Features: presence of word 1- and
-2-grams (lower-cased runs of ASCII letters, digits and non-ASCII characters), and shares of byte 3- and 4-grams.
-Word features of fewer than ``LEAST`` documents of the sample are left out. Training uses at most about ``SAMPLE``
+2-grams (lower-cased runs of ASCII letters, digits and non-ASCII characters) and of the byte 4- and 6-grams that begin
+a word, and shares of all byte 3- and 4-grams.
+Presence features of fewer than ``LEAST`` documents of the sample are left out. Training uses at most about ``SAMPLE``
 labelled documents, drawn by a hash of doc_id over the whole table.
 
 Results for special rows: a null or empty text has zero counts and fails the base rules. Rows that repeat a doc_id are
@@ -29,6 +30,7 @@ SAMPLE = 6000
 LEAST = 5
 WORD_BITS, CHAR_BITS = 18, 15
 CHAR_SIZES = (3, 4)
+PREFIXES = (4, 6)  # bytes
 WIDTH = (1 << WORD_BITS) + (len(CHAR_SIZES) << CHAR_BITS)
 MIN_WORDS = 50
 REPEAT_PERCENT = 50
@@ -66,12 +68,18 @@ def base_counts(column: pa.Array) -> dict[str, np.ndarray]:
 
 
 def _word_features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(text, feature) of the distinct word 1- and 2-grams, ordered by text."""
+    """(text, feature) of the distinct word 1- and 2-grams and word beginnings, ordered by text."""
     words = Texts(column, lower=True).runs(ALNUM)
     h = words.hashes()
     two, first = words.windows(h, 2)
-    owner = np.concatenate([words.owner, words.owner[first]])
-    feature = np.concatenate([h, two]) >> np.uint64(64 - WORD_BITS)
+    owners, features = [words.owner, words.owner[first]], [h, two]
+    eight = np.ndarray((words.texts.n,), "<u8", words.texts.bytes, 0, (1,))
+    for n in PREFIXES:
+        at = np.flatnonzero(words.end - words.start >= n)
+        owners.append(words.owner[at])
+        features.append(mix((eight[words.start[at]] & np.uint64((1 << 8 * n) - 1)) * np.uint64(2 * n + 1)))
+    owner = np.concatenate(owners)
+    feature = np.concatenate(features) >> np.uint64(64 - WORD_BITS)
     both = np.unique((owner.astype(np.uint64) << np.uint64(WORD_BITS)) | feature)
     return (both >> np.uint64(WORD_BITS)).astype(np.int64), (both & np.uint64((1 << WORD_BITS) - 1)).astype(np.int64)
 

@@ -132,10 +132,10 @@ SELECT doc_id, license, max(held) AS containment, min(p)::BIGINT - 1 AS first_wo
 
 _JOIN = f"""
 WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER}, {_SPACED}) AS w FROM documents),
-g AS (SELECT doc_id, unnest(list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), p -> array_to_string(w[p:p + 4], ' ')))) AS g FROM d WHERE len(w) > 0),
+g AS (SELECT DISTINCT doc_id, array_to_string(w[p:p + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS p FROM d WHERE len(w) > 0)),
 size AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
-both AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM g a JOIN g b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
-link AS (SELECT a, b, both.n = x.n AND both.n = y.n AS same FROM both JOIN size x ON a = x.doc_id JOIN size y ON b = y.doc_id WHERE 10 * both.n >= 8 * (x.n + y.n - both.n)),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM g a JOIN g b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+link AS (SELECT a, b, shared.n = x.n AND shared.n = y.n AS same FROM shared JOIN size x ON a = x.doc_id JOIN size y ON b = y.doc_id WHERE 10 * shared.n >= 8 * (x.n + y.n - shared.n)),
 reach AS (SELECT a, b FROM link UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a),
 class AS (SELECT a AS doc_id, min(b) AS c FROM reach GROUP BY a),
 links AS (SELECT a AS doc_id, count(*) AS n, min(b) FILTER (same) AS copy, count(*) FILTER (same) AS copies FROM link GROUP BY a)

@@ -43,19 +43,24 @@ def plan(counts: dict[int, int], size: int = SIZE) -> list[tuple[int, int, int,
         while left:
             while free <= size and not room[free]:
                 free += 1
-            if free > size:
-                first, number, at = opened, left, size
-                opened += left
-            else:
-                (first, number), at = room[free].pop(), free
-            taken = min(number, left)
-            slots.append((length, rank, taken, first, size - at))
-            room[at - length].append((first, taken))
-            if taken < number:
-                room[at].append((first + taken, number - taken))
-            left, rank = left - taken, rank + taken
-            # what was just filled may have room for one more of this length
-            free = length if at - length >= length else min(free, at)
+            at = min(free, size)
+            each = at // length
+            # the fullest sequence with room takes pieces until it has none for this length, then the next one does
+            first, number = room[at].pop() if room[at] else (opened, -(-left // each))
+            if first == opened:
+                opened += number
+            whole = min(number, left // each)
+            last = left - whole * each if whole < number and left < (whole + 1) * each else 0
+            for sequences, start, share in ((whole, first, each), (1 if last else 0, first + whole, last)):
+                if sequences:
+                    for k in range(share):
+                        slots.append((length, rank + k * sequences, sequences, start, size - at + k * length))
+                    rank += sequences * share
+                    room[at - share * length].append((start, sequences))
+            left -= whole * each + last
+            used = whole + (1 if last else 0)
+            if used < number:
+                room[at].append((first + used, number - used))
     return slots
 
 

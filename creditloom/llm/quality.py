@@ -159,7 +159,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         pdf = pdf[pdf["y"].notna() & (pdf["index"].map(len) > 0)].sort_values("doc_id")
         y = np.where(pdf["y"].to_numpy() == 1, 1.0, -1.0)
         if len(set(y)) < 2:
-            return pd.DataFrame({"model": [], "weights": [], "bias": [], "scale": [], "shift": []})
+            return pd.DataFrame({"model": ["none"], "weights": [None], "bias": [0.0], "scale": [1.0], "shift": [0.0]})
         index, value = [np.frombuffer(x, np.int32) for x in pdf["index"]], [np.frombuffer(x, np.float32) for x in pdf["value"]]
         apart = np.arange(len(y)) % 5 == 0
         pick = lambda mask: Rows([index[i] for i in np.flatnonzero(mask)], [value[i] for i in np.flatnonzero(mask)], WIDTH)
@@ -175,7 +175,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         text.mapInArrow(features, "model string, doc_id long, y int, index binary, value binary")
         .groupBy("model").applyInPandas(one, "model string, weights binary, bias double, scale double, shift double").collect()
     )
-    return Model({r["model"]: (np.frombuffer(r["weights"], np.float32), r["bias"], r["scale"], r["shift"]) for r in sorted(fitted, key=lambda r: r["model"])})
+    return Model({r["model"]: (np.frombuffer(r["weights"], np.float32), r["bias"], r["scale"], r["shift"]) for r in sorted(fitted, key=lambda r: r["model"]) if r["weights"]})
 
 
 def judge(docs: DataFrame, model: Model) -> DataFrame:

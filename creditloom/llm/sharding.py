@@ -42,18 +42,26 @@ def propagate(groups: DataFrame, shards: int, capacity: int, rounds: int = ROUND
         rank = F.struct((F.col("room") > 0).cast("int"), F.col("n"), F.xxhash64("g", "shard"))
         votes = voted.groupBy("g").agg(F.max_by("shard", rank).alias("to"), F.max_by("n", rank).alias("most"))
         asked = state.join(votes, "g").withColumn("asks", (F.col("shard") != F.col("to")) & (F.col("n") <= F.col("most")))
-        wanted = {r["to"]: r["n"] for r in asked.where("asks").groupBy("to").agg(F.sum("n").alias("n")).collect()}
-        if not wanted:
+        asks = {(r["shard"], r["to"]): r["n"] for r in asked.where("asks").groupBy("shard", "to").agg(F.sum("n").alias("n")).collect()}
+        if not asks:
             break
-        odds = spark.createDataFrame(
-            [(s, min(1.0, max(0, capacity - load.get(s, 0)) / wanted[s]) if wanted.get(s) else 0.0) for s in range(shards)], "to int, odds double"
-        )
+        odds = spark.createDataFrame(list(_odds(asks, load, shards, capacity).items()), "to int, odds double")
         draw = F.pmod(F.xxhash64("g", "shard", F.lit(turn)), F.lit(1 << 30)) / float(1 << 30)
         moved = asked.join(F.broadcast(odds), "to").withColumn("shard", F.when(F.col("asks") & (draw < F.col("odds")), F.col("to")).otherwise(F.col("shard")))
         state = store(moved.groupBy("g", "shard").agg(F.sum("n").alias("n")), "labels")
     return state
 
 
+def _odds(asks: dict[tuple[int, int], int], load: dict[int, int], shards: int, capacity: int) -> dict[int, float]:
+    """For each shard, the share of those who want in that its room lets in, counting the room that others leave."""
+    odds = dict.fromkeys(range(shards), 1.0)
+    wanted = {s: sum(n for (_, to), n in asks.items() if to == s) for s in odds}
+    for _ in range(30):
+        out = {s: sum(n * odds[to] for (at, to), n in asks.items() if at == s) for s in odds}
+        odds = {s: min(1.0, max(0.0, capacity - load.get(s, 0) + out[s]) / wanted[s]) if wanted[s] else 0.0 for s in odds}
+    return odds
+
+
 def _fitted(state: DataFrame, target: dict[int, int]) -> DataFrame:
     """(g, shard, first, last): which members (by rank in their group) each shard takes, within its target."""
     spark = state.sparkSession

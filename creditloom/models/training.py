@@ -212,7 +212,7 @@ def train_term_forest(train: DataFrame, trees: int = 160, depth: int = 10) -> Bu
     """Tree-ensemble classifier of the loan term (classes are the distinct targets)."""
     labelled = train.withColumn("target", F.col("target").cast("int"))
     prep = TabularPreprocessor("tree").fit(labelled)
-    terms = sorted(r[0] for r in labelled.select("target").distinct().limit(1000).collect())
+    terms = sorted(r[0] for r in labelled.groupBy("target").count().where("target is not null").collect())
     model = RandomForestClassifier(labelCol="label", numTrees=trees, maxDepth=depth, seed=42, cacheNodeIds=True, checkpointInterval=10)
     ready = _term_frame(prep, labelled, terms).select("features", "label")
     return TermBundle(prep, _cached_fit(model, ready), "smart_tree", terms)
@@ -220,7 +220,9 @@ def train_term_forest(train: DataFrame, trees: int = 160, depth: int = 10) -> Bu
 
 def _term_frame(prep: TabularPreprocessor, df: DataFrame, terms: list[int]) -> DataFrame:
     position = F.array_position(F.array(*[F.lit(t) for t in terms]), F.col("target").cast("int")) - 1
-    return prep.assemble(df).withColumn("label", position.cast("double"))
+    # the number of classes travels with the label; otherwise it would be guessed, up to a hundred
+    nominal = {"ml_attr": {"type": "nominal", "name": "label", "vals": [str(t) for t in terms]}}
+    return prep.assemble(df).withColumn("label", position.cast("double").alias("label", metadata=nominal))
 
 
 @dataclass

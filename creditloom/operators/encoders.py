@@ -168,7 +168,7 @@ class TabularPreprocessor:
 
     def __post_init__(self) -> None:
         if self.mode not in ("linear", "tree"):
-            raise ValueError("mode must be either 'linear' or 'tree'")
+            raise ValueError(f"unknown mode {self.mode!r}; linear and tree are supported")
 
     @property
     def raw_columns(self) -> list[str]:

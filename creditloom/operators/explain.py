@@ -37,10 +37,11 @@ class LinearScorer:
         """What one feature adds to the total."""
         if name in self.slopes:
             return F.lit(self.slopes[name]) * value.cast("double")
-        out = F.lit(0.0)
-        for category, effect in self.effects[name].items():
-            out = F.when(value == category, F.lit(effect)).otherwise(out)
-        return out
+        if not self.effects[name]:
+            return F.lit(0.0)
+        # a map, not nested conditions: there may be thousands of categories
+        effects = F.create_map(*[F.lit(x) for pair in self.effects[name].items() for x in pair])
+        return F.coalesce(F.element_at(effects, value.cast("string")), F.lit(0.0))
 
     def total(self, columns: dict[str, Column]) -> Column:
         return reduce(lambda a, b: a + b, [self.term(n, columns[n]) for n in self.features], F.lit(self.intercept))

@@ -57,29 +57,39 @@ def numeric_summary(df: DataFrame, columns: list[str] | None = None, by: list[st
     return df.sparkSession.createDataFrame(rows, schema)
 
 
+def _value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
+    """column, non_null, distinct_values: one aggregation of (column, value) pairs, however many columns there are."""
+    kinds = dict(df.dtypes)
+    # adding zero makes -0.0 and 0.0 one value
+    text = {c: (F.col(ident(c)) + F.lit(0.0) if kinds[c] in ("double", "float") else F.col(ident(c))).cast("string") for c in columns}
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), text[c].alias("value")) for c in columns])
+    values = df.select(F.inline(pairs)).groupBy("column", "value").agg(F.count("*").alias("n"))
+    counts = values.groupBy("column").agg(
+        F.coalesce(F.sum(F.when(F.col("value").isNotNull(), F.col("n"))), F.lit(0)).alias("non_null"), F.count("value").alias("distinct_values")
+    )
+    # an empty table has a row for each column, too
+    names = df.sparkSession.createDataFrame([(c,) for c in columns], "column string")
+    return names.join(counts, "column", "left").na.fill(0, ["non_null", "distinct_values"])
+
+
 def cardinality(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Exact distinct non-null values per column."""
-    columns = columns or non_numeric_columns(df)
-    row = df.selectExpr(*[f"count(DISTINCT {ident(c)}) AS {ident(c)}" for c in columns])
-    return to_long(row, [{"column": quoted(c), "unique_values": ident(c)} for c in columns])
+    counts = _value_counts(df, columns or non_numeric_columns(df))
+    return counts.select("column", F.col("distinct_values").alias("unique_values"))
 
 
 def constant_features(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    return cardinality(df, columns or df.columns).where(F.col("unique_values") <= 1)
+    """Columns with at most one distinct non-null value: their least value is their greatest."""
+    columns = columns or df.columns
+    row = df.selectExpr(
+        *[f"CASE WHEN count({ident(c)}) = 0 THEN 0L WHEN min({ident(c)}) = max({ident(c)}) THEN 1L ELSE 2L END AS {ident(c)}" for c in columns]
+    )
+    return to_long(row, [{"column": quoted(c), "unique_values": ident(c)} for c in columns]).where(F.col("unique_values") <= 1)
 
 
 def column_inventory(df: DataFrame) -> DataFrame:
-    row = df.selectExpr(
-        *[f"count({ident(c)}) AS n{i}" for i, c in enumerate(df.columns)],
-        *[f"count(DISTINCT {ident(c)}) AS d{i}" for i, c in enumerate(df.columns)],
-    )
-    return to_long(
-        row,
-        [
-            {"column": quoted(c), "dtype": quoted(t), "non_null": f"n{i}", "distinct_values": f"d{i}"}
-            for i, (c, t) in enumerate(df.dtypes)
-        ],
-    )
+    kinds = df.sparkSession.createDataFrame(df.dtypes, "column string, dtype string")
+    return kinds.join(_value_counts(df, df.columns), "column").select("column", "dtype", "non_null", "distinct_values")
 
 
 def value_counts(df: DataFrame, column: str, keep_null: bool = False) -> DataFrame:

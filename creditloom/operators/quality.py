@@ -34,7 +34,7 @@ def require_same_keys(left: DataFrame, right: DataFrame, key: str = S.ID_COLUMN,
     """Fail unless both tables have as many distinct keys (``strict``: the same keys)."""
     row = reconcile_keys(left, right, key).first()
     if not row["counts_match"] or (strict and row["left_only"] + row["right_only"]):
-        raise ValueError(f"Loan count mismatch between datasets: {row.asDict()}")
+        raise ValueError(f"loan mismatch, the two tables hold different loans: {row.asDict()}")
 
 
 def unseen_categories(train: DataFrame, other: DataFrame, columns: list[str]) -> DataFrame:
@@ -55,9 +55,9 @@ def validate_master(df: DataFrame, required: list[str] = S.MASTER_REQUIRED) -> D
     """Fail on missing columns or an empty table; otherwise hand the frame on."""
     missing = [c for c in required if c not in df.columns]
     if missing:
-        raise ValueError(f"Missing required columns: {missing}")
+        raise ValueError(f"the master table lacks {missing}")
     if df.isEmpty():
-        raise ValueError("Master dataset is empty.")
+        raise ValueError("the master table is empty")
     return df
 
 

@@ -175,15 +175,6 @@ STRESS_PREP_REMOVE = [
     "prepayment_penalty_indicator", "amortization_type", "property_valuation_method",
     "interest_only_indicator",
 ]
-STRESS_NUMERIC = [
-    "credit_score", "mortgage_insurance_pct", "num_units", "cltv", "dti", "original_upb", "ltv",
-    "interest_rate", "original_loan_term", "num_borrowers", "remaining_term_months",
-]
-STRESS_CATEGORICAL = [
-    "msa", "first_time_homebuyer_indicator", "occupancy_status", "channel", "property_state",
-    "property_type", "loan_purpose", "seller_name", "servicer_name", "super_conforming_flag",
-    "program_indicator", "harp_indicator", "mortgage_insurance_cancellation_indicator",
-]
 TIME_COLUMNS = ["quarter", "year", "quarter_num"]
 
 MISSING_CATEGORY = "UNKNOWN"

@@ -56,12 +56,16 @@ def read_json(spark: SparkSession, path: str) -> dict | None:
 
 
 def write_json(spark: SparkSession, path: str, content: dict) -> None:
+    """Replace a small file. The new content is complete before the old one goes."""
     fs, target = _fs_path(spark, path)
-    stream = fs.create(target, True)
+    _, fresh = _fs_path(spark, f"{path}.new")
+    stream = fs.create(fresh, True)
     try:
         stream.write(bytearray(json.dumps(content, indent=4), "utf-8"))
     finally:
         stream.close()
+    fs.delete(target, False)
+    fs.rename(fresh, target)
 
 
 def register_version(spark: SparkSession, root: str, version: str, entry: dict) -> dict:
@@ -115,6 +119,9 @@ def load_splits(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     path = f"{folder}/splits.parquet"
     require_paths(spark, [path])
     stored = spark.read.parquet(path)
+    absent = set(SPLITS) - {r["split"] for r in stored.select("split").distinct().collect()}
+    if absent:
+        raise FileNotFoundError(f"{path} holds no rows for {', '.join(sorted(absent))}")
     return {s: stored.where(F.col("split") == s).drop("split") for s in SPLITS}
 
 
@@ -133,4 +140,4 @@ def write_lending_stores(master: DataFrame, root: str, version: str, seed: int =
 
 def write_report(df: DataFrame, path: str) -> None:
     """One CSV file with header; for reports of a few thousand rows at most."""
-    df.coalesce(1).write.mode("overwrite").csv(path, header=True)
+    df.repartition(1).write.mode("overwrite").csv(path, header=True)

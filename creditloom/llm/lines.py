@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,13 +30,15 @@ from pyspark.sql import types as T
 from creditloom.llm.common import components, store
 from creditloom.llm.filters import collect, contains
 from creditloom.llm.minhash import MinHash, band_keys
-from creditloom.llm.text import SPACED, Spans, Texts, mix, ranges, run_starts, signed, slices
+from creditloom.llm.text import SPACED, Spans, Texts, ranges, run_starts, signed, slices
 
 MIN_WORDS = 5
 BYTES = 8
 THRESHOLD = 0.8
 ROWS, BANDS = 5, 17  # a pair at 0.8 shares no band once in 900 cases
+SLICE = 2 << 20
 _LAST = (1 << 63) - 1
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Lines:
@@ -62,22 +65,38 @@ class Lines:
         if not len(place):
             return np.empty((0, BANDS), np.uint64)
         eight = np.ndarray((len(self.texts.bytes) - 7,), "<u8", self.texts.bytes, 0, (1,))
-        return band_keys(hashes.signatures(mix(eight[place]), np.cumsum(number) - number), ROWS)
+        return band_keys(hashes.signatures(eight[place] * _ODD, np.cumsum(number) - number), ROWS)
 
 
 def _shared_keys(docs: DataFrame) -> np.ndarray:
+    """Filter of the keys that two distinct lines have. Keys travel packed, a row for each slice and bucket."""
+    buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = MinHash(ROWS * BANDS)
         for batch in batches:
-            for rows in slices(batch, "text"):
+            for rows in slices(batch, "text", SLICE):
                 lines = Lines(rows.column("text"))
                 keys = np.sort(lines.keys(lines.distinct(), hashes).ravel())
                 first = run_starts(keys)
                 twice = np.diff(np.append(first, len(keys))) > 1
+                # a key goes out once, or twice if this slice alone has it in two lines
                 out = np.concatenate([keys[first], keys[first[twice]]])
-                yield pa.RecordBatch.from_arrays([pa.array(signed(out))], ["key"])
+                bucket = (out % np.uint64(buckets)).astype(np.int64)
+                order = np.argsort(bucket, kind="stable")
+                out, bucket = out[order], bucket[order]
+                cuts = run_starts(bucket)
+                ends = np.append(cuts[1:], len(out))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(bucket[cuts], pa.int64()), pa.array([out[i:j].tobytes() for i, j in zip(cuts, ends)], pa.binary())], ["bucket", "keys"]
+                )
+
+    def shared(table: pa.Table) -> pa.Table:
+        keys = np.sort(np.frombuffer(b"".join(x.as_buffer() for x in table.column("keys")), np.uint64))
+        first = run_starts(keys)
+        return pa.table({"key": signed(keys[first[np.diff(np.append(first, len(keys))) > 1]])})
 
-    return collect(docs.select("text").mapInArrow(run, "key long").groupBy("key").count().where("count > 1").select("key"))
+    return collect(docs.select("text").mapInArrow(run, "bucket long, keys binary").groupBy("bucket").applyInArrow(shared, "key long"))
 
 
 def _candidates(docs: DataFrame, shared: np.ndarray) -> DataFrame:
@@ -87,7 +106,7 @@ def _candidates(docs: DataFrame, shared: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = MinHash(ROWS * BANDS)
         for batch in batches:
-            for rows in slices(batch, "text"):
+            for rows in slices(batch, "text", SLICE):
                 lines = Lines(rows.column("text"))
                 at = lines.distinct()
                 keys = lines.keys(at, hashes)
@@ -112,7 +131,7 @@ def _places(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows in slices(batch, "text"):
+            for rows in slices(batch, "text", SLICE):
                 lines = Lines(rows.column("text"))
                 owner = lines.spans.owner
                 crc = np.array([zlib.crc32(x.as_buffer()) if x.is_valid else 0 for x in rows.column("text").cast(pa.binary())], np.int64)
@@ -187,14 +206,19 @@ def deduplicate(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            number, removed, kept = [], [], []
-            for text, gone in zip(batch.column("text").to_pylist(), batch.column("gone").to_pylist()):
-                lines = [] if text is None else text.split("\n")
-                out = set(gone or ())
-                number.append(len(lines))
-                removed.append(len(out))
-                kept.append(text if not out else "\n".join(x for i, x in enumerate(lines) if i not in out))
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(number, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], ["doc", "n_lines", "n_removed", "kept"])
+            for rows in slices(batch, "text", SLICE):
+                text, gone = rows.column("text"), rows.column("gone")
+                number = pc.fill_null(pc.add(pc.count_substring(text, "\n"), 1), 0).cast(pa.int64())
+                removed = pc.fill_null(pc.list_value_length(gone), 0).cast(pa.int64())
+                hit = np.flatnonzero(removed.to_numpy(zero_copy_only=False))
+                mask = np.zeros(rows.num_rows, bool)
+                mask[hit] = True
+                new = []
+                for i in hit.tolist():
+                    out = set(gone[i].as_py())
+                    new.append("\n".join(x for k, x in enumerate(text[i].as_py().split("\n")) if k not in out))
+                kept = pc.replace_with_mask(text, pa.array(mask), pa.array(new, pa.string()))
+                yield pa.RecordBatch.from_arrays([rows.column("doc"), number, removed, kept], ["doc", "n_lines", "n_removed", "kept"])
 
     keyed = docs.select(
         F.struct("*").alias("doc"), F.col("text").cast("string").alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("d"),

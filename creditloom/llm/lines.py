@@ -145,18 +145,27 @@ def _places(docs: DataFrame) -> DataFrame:
 
 def _grams(body: bytes) -> np.ndarray:
     data = np.frombuffer(body, np.uint8)
-    return np.unique(np.ndarray((len(data) - BYTES + 1,), "<u8", data, 0, (1,)))
+    grams = np.sort(np.ndarray((len(data) - BYTES + 1,), "<u8", data, 0, (1,)))
+    return grams[run_starts(grams)]
 
 
 def _verified(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
     """The pairs (a, b) whose shingle sets reach the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, q = b"", np.empty(0, np.uint64)
         for batch in batches:
             good = []
             for x, y in zip(batch.column("x"), batch.column("y")):
-                p, q = _grams(x.as_py()), _grams(y.as_py())
-                both = len(np.intersect1d(p, q, assume_unique=True))
+                p, body = _grams(x.as_py()), y.as_py()
+                if body != held:  # rows come in order of b, whose line is often the same
+                    held, q = body, _grams(body)
+                most, least = max(len(p), len(q)), min(len(p), len(q))
+                if least * 10 < 8 * most:
+                    good.append(False)
+                    continue
+                z = np.sort(np.concatenate([p, q]))
+                both = int(np.count_nonzero(z[1:] == z[:-1]))
                 good.append(both * 10 >= 8 * (len(p) + len(q) - both))
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 

@@ -36,7 +36,7 @@ MIN_WORDS = 5
 BYTES = 8
 THRESHOLD = 0.8
 ROWS, BANDS = 5, 17  # a pair at 0.8 shares no band once in 900 cases
-SLICE = 2 << 20
+SLICE = 1 << 20
 _LAST = (1 << 63) - 1
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 

@@ -28,9 +28,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from creditloom.llm.common import components, store
-from creditloom.llm.filters import collect, contains
+from creditloom.llm.filters import contains, dealt, labels, packed, repeated
 from creditloom.llm.minhash import MinHash, band_keys
-from creditloom.llm.text import SPACED, Spans, Texts, mix, ranges, run_starts, signed, slices
+from creditloom.llm.text import SPACED, Spans, Texts, ranges, run_starts, signed, slices
 
 MIN_WORDS = 5
 BYTES = 8
@@ -68,47 +68,17 @@ class Lines:
         return band_keys(hashes.signatures(eight[place] * _ODD, np.cumsum(number) - number), ROWS)
 
 
-def _dealt(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket of each key, and the 32 bits by which keys of one bucket are told apart there."""
-    return keys % np.uint64(buckets), keys >> np.uint64(32)
-
-
-def _labels(bucket: np.ndarray, rest: np.ndarray) -> np.ndarray:
-    return mix(bucket << np.uint64(32) | rest)
-
-
 def _shared_keys(docs: DataFrame, buckets: int) -> np.ndarray:
-    """Filter of the keys that two distinct lines have. Keys travel packed, a row for each slice and bucket.
-
-    A key is cut to its bucket and 32 bits. Buckets follow the shuffle partitions, so the share of keys that meet
-    another's by mistake stays the same as both grow; such lines go on to the exact comparison of whole keys.
-    """
+    """Filter of the band keys that two distinct lines have. They travel packed, a row for each slice and bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = MinHash(ROWS * BANDS)
         for batch in batches:
             for rows in slices(batch, "text", SLICE):
                 lines = Lines(rows.column("text"))
-                bucket, rest = _dealt(lines.keys(lines.distinct(), hashes).ravel(), buckets)
-                keys = np.sort(bucket << np.uint64(32) | rest)
-                first = run_starts(keys)
-                twice = np.diff(np.append(first, len(keys))) > 1
-                # a key goes out once, or twice if this slice alone has it in two lines
-                out = np.repeat(keys[first], 1 + twice)
-                bucket, out = (out >> np.uint64(32)).astype(np.int64), out.astype(np.uint32)
-                cuts = run_starts(bucket)
-                ends = np.append(cuts[1:], len(out))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(bucket[cuts], pa.int64()), pa.array([out[i:j].tobytes() for i, j in zip(cuts, ends)], pa.binary())], ["bucket", "keys"]
-                )
-
-    def shared(table: pa.Table) -> pa.Table:
-        keys = np.sort(np.frombuffer(b"".join(x.as_buffer() for x in table.column("keys")), np.uint32))
-        first = run_starts(keys)
-        rest = keys[first[np.diff(np.append(first, len(keys))) > 1]].astype(np.uint64)
-        return pa.table({"key": signed(_labels(np.uint64(table.column("bucket")[0].as_py()), rest))})
+                yield packed(lines.keys(lines.distinct(), hashes).ravel(), buckets)
 
-    return collect(docs.select("text").mapInArrow(run, "bucket long, keys binary").groupBy("bucket").applyInArrow(shared, "key long"))
+    return repeated(docs.select("text").mapInArrow(run, "bucket long, keys binary"))
 
 
 def _candidates(docs: DataFrame, shared: np.ndarray, buckets: int) -> DataFrame:
@@ -122,7 +92,7 @@ def _candidates(docs: DataFrame, shared: np.ndarray, buckets: int) -> DataFrame:
                 lines = Lines(rows.column("text"))
                 at = lines.distinct()
                 keys = lines.keys(at, hashes)
-                on = contains(sent.value, _labels(*_dealt(keys.ravel(), buckets))).reshape(keys.shape)
+                on = contains(sent.value, labels(*dealt(keys.ravel(), buckets))).reshape(keys.shape)
                 mine = np.flatnonzero(on.any(1))
                 offsets = np.concatenate([[0], np.cumsum(on[mine].sum(1))]).astype(np.int32)
                 data = memoryview(lines.texts.bytes)

@@ -25,9 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from creditloom.llm.common import documents_only
-from creditloom.llm.filters import collect, contains
-from creditloom.llm.text import SPACED, Spans, Texts, ranges, run_starts, signed, slices, window_hashes
+from creditloom.llm.common import documents_only, store
+from creditloom.llm.filters import collect, contains, dealt, labels, packed, repeated
+from creditloom.llm.text import SPACED, Spans, Texts, ranges, signed, slices, window_hashes
 
 WINDOW = 13
 PERIOD = 7
@@ -44,8 +44,8 @@ def _anchors(words: Spans, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return window_hashes(h, ANCHOR)[at], at
 
 
-def shared_anchors(docs: DataFrame) -> np.ndarray:
-    """Bloom filter of the anchors that stand in two texts or more."""
+def shared_anchors(docs: DataFrame, buckets: int) -> np.ndarray:
+    """Filter of the anchors that stand in two texts or more. They travel packed, a row for each slice and bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -53,19 +53,16 @@ def shared_anchors(docs: DataFrame) -> np.ndarray:
                 words = Texts(rows.column("text")).runs(SPACED)
                 h, at = _anchors(words, words.hashes())
                 owner = words.owner[at]
-                order = np.lexsort((owner, h))
+                order = np.lexsort((h, owner))
                 h, owner = h[order], owner[order]
-                first = run_starts(h)
-                # an anchor goes out once, or twice if this slice alone has it in two texts
-                last = np.append(first[1:], len(h)) - 1
-                twice = owner[first] != owner[last]
-                out = np.concatenate([h[first], h[first[twice]]])
-                yield pa.RecordBatch.from_arrays([pa.array(signed(out))], ["h"])
+                fresh = np.ones(len(h), bool)
+                fresh[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
+                yield packed(h[fresh], buckets)
 
-    return collect(docs.select("text").mapInArrow(run, "h long").groupBy("h").count().where("count > 1").select("h"))
+    return repeated(docs.select("text").mapInArrow(run, "bucket long, keys binary"))
 
 
-def candidate_windows(docs: DataFrame, shared: np.ndarray) -> DataFrame:
+def candidate_windows(docs: DataFrame, shared: np.ndarray, buckets: int) -> DataFrame:
     """w (hash), d (doc_id) and at (word index and the text's crc32) of the windows around shared anchors."""
     sent = docs.sparkSession.sparkContext.broadcast(shared)
 
@@ -76,7 +73,7 @@ def candidate_windows(docs: DataFrame, shared: np.ndarray) -> DataFrame:
                 words = Texts(rows.column("text")).runs(SPACED)
                 h = words.hashes()
                 anchor, at = _anchors(words, h)
-                at = at[contains(table, anchor)]
+                at = at[contains(table, labels(*dealt(anchor, buckets)))]
                 near = np.zeros(len(words) + 1, np.int64)
                 # the windows that begin up to PERIOD - 1 words before an anchor hold it
                 np.add.at(near, np.maximum(at - PERIOD + 1, words.bounds[words.owner[at]]), 1)
@@ -95,34 +92,67 @@ def candidate_windows(docs: DataFrame, shared: np.ndarray) -> DataFrame:
     return docs.select("d", "text").mapInArrow(run, "w long, d long, at long")
 
 
+def _covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Starts of removed windows as runs of words: first, end, first, end ..."""
+    for batch in batches:
+        runs = []
+        for x in batch.column("starts"):
+            at = np.unique(np.asarray(x.values))
+            cut = np.flatnonzero(np.diff(at) > WINDOW) + 1
+            runs.append(np.stack([at[np.append(0, cut)], at[np.append(cut, len(at)) - 1] + WINDOW], 1).ravel())
+        yield pa.RecordBatch.from_arrays([batch.column("d"), batch.column("crc"), pa.array(runs, pa.list_(pa.int32()))], ["d", "crc", "runs"])
+
+
 def deduplicate(docs: DataFrame, keep_text: bool = False) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 and, if asked for, the kept words joined by spaces (``kept``)."""
+    """doc_id, n_words, n_removed, kept_sha256 and, if asked for, the kept words joined by spaces (``kept``).
+
+    Only texts that lose words travel to their runs; the others are finished where they are read. Which is which
+    says a filter of fixed size; a text that it lets through by mistake travels and loses nothing.
+    """
     plain = documents_only(docs).withColumn("d", F.coalesce("doc_id", F.lit(_LAST)))
-    windows = candidate_windows(plain, shared_anchors(plain))
+    buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    windows = candidate_windows(plain, shared_anchors(plain, buckets), buckets)
     first = windows.groupBy("w").agg(F.min("d").alias("first"), F.max("d").alias("last")).where("first < last").select("w", "first")
     repeats = windows.join(first, "w").where("d > first")
     starts = repeats.groupBy("d", F.expr("at & 4294967295").alias("crc")).agg(F.collect_list(F.expr("cast(at >> 32 as int)")).alias("starts"))
-    matched = plain.withColumn("crc", F.crc32(F.encode("text", "utf-8"))).join(starts, ["d", "crc"], "left")
+    runs = store(starts.mapInArrow(_covered, "d long, crc long, runs array<int>"), "runs")
+    sent = docs.sparkSession.sparkContext.broadcast(collect(runs.select(F.xxhash64("d", "crc").alias("h"))))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def losing(rows: pa.RecordBatch) -> np.ndarray:
+        return contains(sent.value, rows.column("h").to_numpy(zero_copy_only=False).view(np.uint64))
+
+    def travels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.select(["doc_id", "d", "crc", "text"]).filter(pa.array(losing(batch)))
+
+    def stays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rest = batch.select(["doc_id", "text"]).filter(pa.array(~losing(batch)))
+            for rows in slices(rest, "text"):
+                yield _kept(rows.append_column("runs", pa.nulls(rows.num_rows, pa.list_(pa.int32()))), keep_text)
+
+    def loses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows in slices(batch, "text"):
                 yield _kept(rows, keep_text)
 
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept string" if keep_text else "")
-    return matched.select("doc_id", "text", "starts").mapInArrow(run, schema)
+    keyed = plain.withColumn("crc", F.crc32(F.encode("text", "utf-8"))).withColumn("h", F.xxhash64("d", "crc"))
+    moved = keyed.select("doc_id", "d", "crc", "h", "text").mapInArrow(travels, "doc_id long, d long, crc long, text string")
+    moved = moved.join(runs, ["d", "crc"], "left").select("doc_id", "text", "runs")
+    return keyed.select("doc_id", "h", "text").mapInArrow(stays, schema).unionByName(moved.mapInArrow(loses, schema))
 
 
 def _kept(rows: pa.RecordBatch, keep_text: bool) -> pa.RecordBatch:
     words = Texts(rows.column("text")).runs(SPACED)
-    lists = rows.column("starts")
+    lists = rows.column("runs")
     change = np.zeros(len(words) + 1, np.int64)
-    starts = lists.flatten().to_numpy(zero_copy_only=False)
-    if len(starts):
+    ends = lists.flatten().to_numpy(zero_copy_only=False)
+    if len(ends):
         size = np.array([0 if x is None else x for x in lists.value_lengths().to_pylist()], np.int64)
-        starts = starts + np.repeat(words.bounds[:-1], size)
-        np.add.at(change, starts, 1)
-        np.add.at(change, starts + WINDOW, -1)
+        ends = ends + np.repeat(words.bounds[:-1], size)
+        np.add.at(change, ends[::2], 1)
+        np.add.at(change, ends[1::2], -1)
     stays = np.cumsum(change[:-1]) == 0
     left = np.bincount(words.owner[stays], minlength=rows.num_rows)
     begin, length = words.start[stays], (words.end - words.start)[stays] + 1

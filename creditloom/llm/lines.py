@@ -6,8 +6,9 @@ the band keys; keys that occur once are settled there. A second scan hands on on
 are verified by exact Jaccard similarity, and distributed union-find joins what passes. The first line of each
 component, by doc_id and place, stays where it is; all others are removed, exact repeats included.
 
-Buckets of any size are tested against three hubs, so they give three pairs for each member; then, with components
-known, the members of one bucket that are still in different components are compared with each other.
+Buckets of any size are tested against three hubs, so they give three pairs for each member. Where members of a bucket
+are still in different components then, the bucket goes to tasks in tiles of about 2 x ``BLOCK`` lines, which compare all
+of them exactly and return one union edge for each line at most, never pairs.
 
 Results for special rows: a null text stays null and an empty one empty (no lines are removed); shorter lines stay; a
 null doc_id counts as the largest; rows that repeat a doc_id and its text are one document, with other texts they are
@@ -21,6 +22,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -30,12 +32,14 @@ from pyspark.sql import types as T
 from creditloom.llm.common import components, store
 from creditloom.llm.filters import contains, dealt, labels, packed, repeated
 from creditloom.llm.minhash import MinHash, band_keys
+from creditloom.llm.ngram_join import least_linked, overlaps, whole_groups
 from creditloom.llm.text import SPACED, Spans, Texts, ranges, run_starts, signed, slices
 
 MIN_WORDS = 5
 BYTES = 8
 THRESHOLD = 0.8
 ROWS, BANDS = 5, 17  # a pair at 0.8 shares no band once in 900 cases
+BLOCK = 256
 SLICE = 1 << 20
 _LAST = (1 << 63) - 1
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -156,6 +160,31 @@ def _verified(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def _tile(rows: pd.DataFrame) -> pd.DataFrame:
+    """Union edges between the lines of one tile that reach the threshold and have different roots."""
+    line, root, side = rows["line"].to_numpy(), rows["root"].to_numpy(), rows["side"].to_numpy()
+    sets = [_grams(x) for x in rows["body"]]
+    size = np.array([len(x) for x in sets])
+    # a tile of one block compares all its lines, a tile of two blocks those of different blocks
+    one = (side == 0).all()
+    left, right = (np.arange(len(line)),) * 2 if one else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+    found = [np.empty((2, 0), np.int64)]
+    for i in left:
+        j = right[right > i] if one else right
+        j = j[(root[j] != root[i]) & (np.minimum(size[j], size[i]) * 10 >= 8 * np.maximum(size[j], size[i]))]
+        found.append(np.stack([np.full(len(j), i), j]))
+    a, b = np.concatenate(found, 1)
+    both = overlaps(sets, a, b)
+    linked = both * 10 >= 8 * (size[a] + size[b] - both)
+    least = least_linked(len(line), a[linked], b[linked])
+    moved = np.flatnonzero(least != np.arange(len(line)))
+    return pd.DataFrame({"a": line[moved], "b": line[least[moved]]})
+
+
+def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    yield from whole_groups(batches, ["key", "low", "high"], _tile)
+
+
 def near_lines(docs: DataFrame) -> DataFrame:
     """(node, root) of the distinct lines that are nearly equal to another one."""
     number = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -170,12 +199,15 @@ def near_lines(docs: DataFrame) -> DataFrame:
     linked = store(_verified(pairs, bodies), "pairs")
     roots = store(components(linked, "stars"), "roots")
     placed = buckets.select("key", "line").join(roots.withColumnRenamed("node", "line"), "line", "left").withColumn("root", F.coalesce("root", "line"))
-    mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-    rest = placed.join(mixed, "key")
-    other = rest.select("key", F.col("line").alias("other"), F.col("root").alias("other_root"))
-    cross = rest.join(other, "key").where("root < other_root").select(F.greatest("line", "other").alias("a"), F.least("line", "other").alias("b")).distinct()
-    cross = cross.join(pairs, ["a", "b"], "left_anti")  # these have been tested
-    more = store(_verified(cross, bodies), "pairs")
+    mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low < high")
+    mixed = mixed.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    # lines are hashes, so their remainders make blocks of nearly equal size without a ranking
+    dealt_out = placed.join(mixed, "key").withColumn("mine", F.expr("pmod(line, blocks)").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    tiles = dealt_out.select(
+        "key", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), (F.col("mine") > F.col("other")).cast("int").alias("side"), "line", "root"
+    )
+    sent = tiles.join(bodies, "line").repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+    more = store(sent.mapInArrow(_tiles, "a long, b long"), "pairs")
     if more.isEmpty():
         return roots
     return store(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more), "stars"), "roots")

@@ -14,7 +14,7 @@ doc_id is kept and counts as the largest. An empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -131,7 +131,7 @@ def _payloads(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
     return docs.select("d", "text").mapInArrow(run, "node long, d long, shingles binary, signature binary")
 
 
-def _overlaps(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def overlaps(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Size of the intersection of each pair of sets."""
     if len(a) < 64:
         return np.array([len(np.intersect1d(sets[i], sets[j], assume_unique=True)) for i, j in zip(a, b)], np.int64)
@@ -156,6 +156,42 @@ def _overlaps(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarra
     return out
 
 
+def least_linked(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of n nodes the least one that the links (a, b) connect it to."""
+    label = np.arange(n)
+    while len(a):
+        low = np.minimum(label[a], label[b])
+        before = label.copy()
+        np.minimum.at(label, a, low)
+        np.minimum.at(label, b, low)
+        label = label[label]
+        if (label == before).all():
+            break
+    return label
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], names: list[str], work: Callable[[pd.DataFrame], pd.DataFrame]) -> Iterator[pa.RecordBatch]:
+    """Applies ``work`` to each group of rows that come sorted by ``names``; a group may go over several batches."""
+    rest: list[pd.DataFrame] = []
+
+    def done(rows: pd.DataFrame) -> Iterator[pa.RecordBatch]:
+        parts = [work(part) for _, part in rows.groupby(names, sort=False)]
+        if parts:
+            yield pa.RecordBatch.from_pandas(pd.concat(parts), preserve_index=False)
+
+    for batch in batches:
+        rows = batch.to_pandas()
+        if rest:
+            rows = pd.concat([*rest, rows], ignore_index=True)
+        if not len(rows):
+            continue
+        open_ = (rows[names] == rows[names].iloc[-1]).all(axis=1)
+        rest = [rows[open_]]
+        yield from done(rows[~open_])
+    if rest:
+        yield from done(rest[0])
+
+
 def _tile(rows: pd.DataFrame) -> pd.DataFrame:
     """Links of one tile: node, links (documents that it meets here), hub (least node of its component here)."""
     rows = rows.sort_values("node")
@@ -175,45 +211,17 @@ def _tile(rows: pd.DataFrame) -> pd.DataFrame:
     a, b = np.concatenate(found, 1) if found else np.empty((2, 0), np.int64)
     alive = prune(signature, signature, a, b, THRESHOLD, TOLERANCE)
     a, b = a[alive], b[alive]
-    both = _overlaps(sets, a, b)
+    both = overlaps(sets, a, b)
     linked = both * 10 >= 8 * (size[a] + size[b] - both)
     a, b = a[linked], b[linked]
     links = np.bincount(a, weight[b], len(node)) + np.bincount(b, weight[a], len(node))
-    label = np.arange(len(node))
-    while len(a):
-        low = np.minimum(label[a], label[b])
-        before = label.copy()
-        np.minimum.at(label, a, low)
-        np.minimum.at(label, b, low)
-        label = label[label]
-        if (label == before).all():
-            break
+    label = least_linked(len(node), a, b)
     some = links > 0
     return pd.DataFrame({"node": node[some], "links": links[some].astype(np.int64), "hub": node[label[some]]})
 
 
 def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by tile; a tile may go over several batches."""
-    names = ["root", "low", "high"]
-    rest: pd.DataFrame | None = None
-
-    def done(rows: pd.DataFrame) -> Iterator[pa.RecordBatch]:
-        parts = [_tile(part) for _, part in rows.groupby(names, sort=False)]
-        if parts:
-            yield pa.RecordBatch.from_pandas(pd.concat(parts), preserve_index=False)
-
-    for batch in batches:
-        rows = batch.to_pandas()
-        if rest is not None:
-            rows = pd.concat([rest, rows], ignore_index=True)
-        if not len(rows):
-            continue
-        last = rows[names].iloc[-1]
-        open_ = (rows[names] == last).all(axis=1)
-        rest = rows[open_]
-        yield from done(rows[~open_])
-    if rest is not None:
-        yield from done(rest)
+    yield from whole_groups(batches, ["root", "low", "high"], _tile)
 
 
 def join(docs: DataFrame) -> DataFrame:

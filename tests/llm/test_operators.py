@@ -201,6 +201,28 @@ def test_lines(odd, frame):
     assert lines.deduplicate(odd.limit(0)).count() == 0
 
 
+def test_mixed_buckets_of_lines_are_compared_in_tiles(frame, monkeypatch):
+    monkeypatch.setattr(lines, "BLOCK", 16)  # several tiles for a bucket
+    rng = np.random.default_rng(5)
+    base = [f"word{i:03d}" for i in rng.integers(0, 999, 24)]
+    found = set()
+    for _ in range(150):  # edits of one line: many share a band, only some reach the threshold
+        words = list(base)
+        for p in rng.integers(0, 24, rng.integers(1, 6)):
+            words[p] = f"edit{rng.integers(0, 9)}"
+        found.add(" ".join(words))
+    kinds = sorted(found)
+    sets = [{x.encode()[i : i + 8] for i in range(len(x) - 7)} for x in kinds]
+    label = list(range(len(kinds)))
+    for i, j in itertools.combinations(range(len(kinds)), 2):
+        if 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]):
+            old, new = max(label[i], label[j]), min(label[i], label[j])
+            label = [new if x == old else x for x in label]
+    assert 1 < len(set(label)) < len(kinds)
+    got = lines.deduplicate(frame(list(enumerate(kinds)))).collect()
+    assert {r.doc.doc_id for r in got if r.n_removed == 0} == set(label)
+
+
 def test_ngram_join(odd, frame):
     rng = np.random.default_rng(3)
     base = [f"v{i}" for i in rng.integers(0, 500, 120)]

@@ -1,7 +1,8 @@
 """Fuzzy line deduplication: one line stays of every group of nearly equal lines.
 
-Lines of at least ``MIN_WORDS`` words take part, lower-cased (ASCII). Shingles are all runs of eight bytes of the
-line's UTF-8; signatures are MinHash over them; lines that agree in a whole band are candidates. A first scan counts
+Lines of at least ``min_words`` words take part, lower-cased (ASCII); with 1, as the query and the pipeline have it, all
+that are not blank. Shingles are all runs of eight bytes of the line's UTF-8. The only shingle of a shorter line is its
+whole text, so it equals its exact repeats and no other line: these are found by the line's hash alone. Signatures are MinHash over them; lines that agree in a whole band are candidates. A first scan counts
 the band keys; keys that occur once are settled there. A second scan hands on only lines with a shared key. Candidates
 are verified by exact Jaccard similarity, and distributed union-find joins what passes. The first line of each
 component, by doc_id and place, stays where it is; all others are removed, exact repeats included.
@@ -10,8 +11,8 @@ Buckets of any size are tested against three hubs, so they give three pairs for
 are still in different components then, the bucket goes to tasks in tiles of about 2 x ``BLOCK`` lines, which compare all
 of them exactly and return one union edge for each line at most, never pairs.
 
-Results for special rows: a null text stays null and an empty one empty (no lines are removed); shorter lines stay; a
-null doc_id counts as the largest; rows that repeat a doc_id and its text are one document, with other texts they are
+Results for special rows: a null text stays null and an empty one empty (no lines are removed); lines of fewer words stay;
+a null doc_id counts as the largest; rows that repeat a doc_id and its text are one document, with other texts they are
 ordered by crc32. An empty table gives an empty result. Other columns are handed through in a struct, so their names
 cannot clash.
 """
@@ -48,18 +49,20 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 class Lines:
     """The lines of a slice that take part, their hashes, and the first place of each distinct line."""
 
-    def __init__(self, column: pa.Array):
+    def __init__(self, column: pa.Array, min_words: int):
         self.texts = Texts(column, lower=True)
         every = self.texts.lines()
         words = self.texts.runs(SPACED)
         count = np.searchsorted(words.start, every.end) - np.searchsorted(words.start, every.start)
-        at = np.flatnonzero(count >= MIN_WORDS)
+        at = np.flatnonzero(count >= min_words)
         self.index = at - every.bounds[every.owner[at]]
         self.spans = Spans(self.texts, every.start[at], every.end[at], every.owner[at])
         self.hash = self.spans.hashes()
 
     def distinct(self) -> np.ndarray:
-        order = np.argsort(self.hash, kind="stable")
+        """The first place of each distinct line that is no shorter than a shingle."""
+        long = np.flatnonzero(self.spans.end - self.spans.start >= BYTES)
+        order = long[np.argsort(self.hash[long], kind="stable")]
         return order[run_starts(self.hash[order])]
 
     def keys(self, at: np.ndarray, hashes: MinHash) -> np.ndarray:
@@ -72,20 +75,20 @@ class Lines:
         return band_keys(hashes.signatures(eight[place] * _ODD, np.cumsum(number) - number), ROWS)
 
 
-def _shared_keys(docs: DataFrame, buckets: int) -> np.ndarray:
+def _shared_keys(docs: DataFrame, buckets: int, min_words: int) -> np.ndarray:
     """Filter of the band keys that two distinct lines have. They travel packed, a row for each slice and bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = MinHash(ROWS * BANDS)
         for batch in batches:
             for rows in slices(batch, "text", SLICE):
-                lines = Lines(rows.column("text"))
+                lines = Lines(rows.column("text"), min_words)
                 yield packed(lines.keys(lines.distinct(), hashes).ravel(), buckets)
 
     return repeated(docs.select("text").mapInArrow(run, "bucket long, keys binary"))
 
 
-def _candidates(docs: DataFrame, shared: np.ndarray, buckets: int) -> DataFrame:
+def _candidates(docs: DataFrame, shared: np.ndarray, buckets: int, min_words: int) -> DataFrame:
     """line (hash), keys (those in the filter), body: the distinct lines of each slice with a shared key."""
     sent = docs.sparkSession.sparkContext.broadcast(shared)
 
@@ -93,7 +96,7 @@ def _candidates(docs: DataFrame, shared: np.ndarray, buckets: int) -> DataFrame:
         hashes = MinHash(ROWS * BANDS)
         for batch in batches:
             for rows in slices(batch, "text", SLICE):
-                lines = Lines(rows.column("text"))
+                lines = Lines(rows.column("text"), min_words)
                 at = lines.distinct()
                 keys = lines.keys(at, hashes)
                 on = contains(sent.value, labels(*dealt(keys.ravel(), buckets))).reshape(keys.shape)
@@ -112,13 +115,13 @@ def _candidates(docs: DataFrame, shared: np.ndarray, buckets: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "line long, keys array<long>, body binary")
 
 
-def _places(docs: DataFrame) -> DataFrame:
+def _places(docs: DataFrame, min_words: int) -> DataFrame:
     """line, d, crc (of the text), index (of the line in its text) of every line that takes part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows in slices(batch, "text", SLICE):
-                lines = Lines(rows.column("text"))
+                lines = Lines(rows.column("text"), min_words)
                 owner = lines.spans.owner
                 crc = np.array([zlib.crc32(x.as_buffer()) if x.is_valid else 0 for x in rows.column("text").cast(pa.binary())], np.int64)
                 d = rows.column("d").to_numpy(zero_copy_only=False)
@@ -185,10 +188,10 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from whole_groups(batches, ["key", "low", "high"], _tile)
 
 
-def near_lines(docs: DataFrame) -> DataFrame:
+def near_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(node, root) of the distinct lines that are nearly equal to another one."""
     number = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = store(_candidates(docs, _shared_keys(docs, number), number), "lines")
+    found = store(_candidates(docs, _shared_keys(docs, number, min_words), number, min_words), "lines")
     bodies = found.select("line", "body").dropDuplicates(["line"])
     keyed = found.select("line", F.explode("keys").alias("key")).distinct()
     orders = [F.col("line"), F.xxhash64("line"), F.xxhash64("line", F.lit(1))]
@@ -213,12 +216,12 @@ def near_lines(docs: DataFrame) -> DataFrame:
     return store(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more), "stars"), "roots")
 
 
-def deduplicate(docs: DataFrame) -> DataFrame:
+def deduplicate(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """Every document (struct ``doc``) with ``n_lines``, ``n_removed`` and ``kept``, its text without the removed lines."""
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     plain = plain.select(F.coalesce("doc_id", F.lit(_LAST)).alias("d"), "text")
-    places = store(_places(plain), "places")
-    roots = near_lines(plain).select(F.col("node").alias("line"), "root")
+    places = store(_places(plain, min_words), "places")
+    roots = near_lines(plain, min_words).select(F.col("node").alias("line"), "root")
     spot = F.struct("d", "crc", "index")
     lines = places.groupBy("line").agg(F.min(spot).alias("spot"), F.max(spot).alias("last"))
     lines = lines.join(roots, "line", "left")

@@ -3,15 +3,20 @@
 In the vocabularies used here a lone white-space character between two others always begins a new piece (and, but
 for a space, is one by itself), so the pieces between them can be encoded on their own. Pieces repeat: every worker
 keeps the ids of those it has met in a table sorted by the pieces' hash, and only new pieces reach the tokenizer.
+
+Special tokens that a text holds literally have their own ids, as in the tokenizer's plain ``encode``. They are looked
+for in the text as it is, before lower-casing; what lies between them is encoded like texts of their own.
 """
 
 from __future__ import annotations
 
 import os
+import re
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from creditloom.llm.text import Spans, Texts, ranges
 
@@ -34,7 +39,12 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = self.tokenizer.get_added_tokens_decoder()
+        if any(not t.special or t.normalized or t.lstrip or t.rstrip or t.single_word for t in added.values()):
+            raise ValueError(f"{path}: only special tokens that stand for themselves can be cut out of texts")
+        self.special = {t.content: i for i, t in added.items()}
+        # of tokens that begin at one place the longest counts
+        self.literal = re.compile("(" + "|".join(re.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")")
         letters = [chr(c) for c in range(65, 91)]
         alike = [self._ids(x) == self._ids(x.lower()) for x in letters]
         self.lower = all(alike)  # the vocabulary does not tell A from a
@@ -50,16 +60,37 @@ class Encoder:
 
     def encode(self, column: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after another, each followed by ``end``, and how many each text has."""
+        docs = len(column)
+        column, owner, after = self._cut(column, end)
         texts = Texts(column, self.lower)
         pieces = _pieces(texts)
-        docs = len(column)
         first, length, pool = self._lookup(pieces)
-        ids = np.full(int(length.sum()) + docs, end, np.uint32)
-        total = np.bincount(pieces.owner, weights=length, minlength=docs).astype(np.int64)
+        ids = np.empty(int(length.sum()) + len(column), np.uint32)
+        total = np.bincount(pieces.owner, weights=length, minlength=len(column)).astype(np.int64) + 1
+        last = np.cumsum(total) - 1
+        ids[last] = after
         keep = np.ones(len(ids), bool)
-        keep[np.cumsum(total + 1) - 1] = False
+        keep[last] = False
         ids[keep] = pool[ranges(first, length)]
-        return ids, total + 1
+        return ids, np.bincount(owner, weights=total, minlength=docs).astype(np.int64)
+
+    def _cut(self, column: pa.Array, end: int) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """The texts cut at literal special tokens, the text that each part is of, and the id that follows it."""
+        docs = len(column)
+        hit = np.zeros(docs, bool)
+        for token in self.special:
+            hit |= pc.fill_null(pc.match_substring(column, token), False).to_numpy(zero_copy_only=False)
+        number = np.ones(docs, np.int64)
+        after, parts, at = [], [], 0
+        for i in np.flatnonzero(hit).tolist():
+            found = self.literal.split(column[i].as_py())
+            number[i] = len(found) // 2 + 1
+            after += [np.full(i - at, end, np.uint32), np.array([*(self.special[t] for t in found[1::2]), end], np.uint32)]
+            parts += [column.slice(at, i - at), pa.array(found[::2], column.type)]
+            at = i + 1
+        after.append(np.full(docs - at, end, np.uint32))
+        parts.append(column.slice(at))
+        return pa.concat_arrays(parts), np.repeat(np.arange(docs), number), np.concatenate(after)
 
     def _lookup(self, pieces: Spans) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each piece, where its ids begin in the returned pool, and their number."""
@@ -81,12 +112,15 @@ class Encoder:
         fresh = np.flatnonzero(~known)
         if len(fresh):
             parts, sizes = [], []
+            # what looks like a special token here has become so by lower-casing
+            self.tokenizer.encode_special_tokens = True
             for k in range(0, len(fresh), 20_000):
                 words = [pieces.string(i) for i in sample[fresh[k : k + 20_000]]]
                 for code in self.tokenizer.encode_batch_fast(words, add_special_tokens=False):
                     ids = code.ids
                     parts.extend(ids)
                     sizes.append(len(ids))
+            self.tokenizer.encode_special_tokens = False
             length[fresh] = sizes
             first[fresh] = len(self.pool) + np.cumsum(length[fresh]) - length[fresh]
             self.pool = np.concatenate([self.pool, np.array(parts, np.uint32)])

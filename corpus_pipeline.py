@@ -26,7 +26,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def deduplicate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes repeated lines out of the texts. A document that loses all its words goes."""
-    made = lines.deduplicate(docs, min_words=1)
+    made = lines.deduplicate(docs, min_words=1, characters=5)
     made = made.where((F.col("n_removed") == 0) | F.col("kept").rlike(r"[^\x20\x09-\x0D]"))
     new = {"text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
     return made.select(*(new.get(c, F.col("doc")[c]).alias(c) for c in docs.columns))

@@ -1,11 +1,13 @@
 """Fuzzy line deduplication: one line stays of every group of nearly equal lines.
 
 Lines of at least ``min_words`` words take part, lower-cased (ASCII); with 1, as the query and the pipeline have it, all
-that are not blank. Shingles are all runs of eight bytes of the line's UTF-8. The only shingle of a shorter line is its
-whole text, so it equals its exact repeats and no other line: these are found by the line's hash alone. Signatures are MinHash over them; lines that agree in a whole band are candidates. A first scan counts
-the band keys; keys that occur once are settled there. A second scan hands on only lines with a shared key. Candidates
-are verified by exact Jaccard similarity, and distributed union-find joins what passes. The first line of each
-component, by doc_id and place, stays where it is; all others are removed, exact repeats included.
+that are not blank. Shingles are all runs of ``characters`` code points (the query and the pipeline have 5), or where
+that is 0, of eight bytes of the line's UTF-8. The only shingle of a shorter line is its whole text, so it equals its
+exact repeats and no other line: these are found by the line's hash alone. Signatures are MinHash over shingles; lines
+that agree in a whole band are candidates. A first scan counts the band keys; keys that occur once are settled there. A
+second scan hands on only lines with a shared key. Candidates are verified by exact Jaccard similarity, and distributed
+union-find joins what passes. The first line of each component, by doc_id and place, stays where it is; all others are
+removed, exact repeats included.
 
 Buckets of any size are tested against three hubs, so they give three pairs for each member. Where members of a bucket
 are still in different components then, the bucket goes to tasks in tiles of about 2 x ``BLOCK`` lines, which compare all
@@ -21,6 +23,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -34,7 +37,7 @@ from creditloom.llm.common import components, store
 from creditloom.llm.filters import contains, dealt, labels, packed, repeated
 from creditloom.llm.minhash import MinHash, band_keys
 from creditloom.llm.ngram_join import least_linked, overlaps, whole_groups
-from creditloom.llm.text import SPACED, Spans, Texts, ranges, run_starts, signed, slices
+from creditloom.llm.text import SPACED, Spans, Texts, mix, ranges, run_starts, signed, slices
 
 MIN_WORDS = 5
 BYTES = 8
@@ -44,12 +47,38 @@ BLOCK = 256
 SLICE = 1 << 20
 _LAST = (1 << 63) - 1
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def _runs(data: np.ndarray, start: np.ndarray, end: np.ndarray, characters: int) -> tuple[np.ndarray, np.ndarray]:
+    """Values of all shingles of the spans of ``data`` (eight bytes longer than its text), and how many each span has.
+
+    Runs of up to eight bytes are their own value, longer ones a 64-bit hash."""
+    eight = np.ndarray((len(data) - 7,), "<u8", data, 0, (1,))
+    if not characters:
+        number = np.maximum(end - start - BYTES + 1, 0)
+        return eight[ranges(start, number)], number
+    heads = np.append(np.flatnonzero((data[:-8] & 0xC0) != 0x80), len(data) - 8)
+    first = np.searchsorted(heads, start)
+    number = np.maximum(np.searchsorted(heads, end) - first - characters + 1, 0)
+    at = ranges(first, number)
+    place = heads[at]
+    size = heads[at + characters] - place
+    out = eight[place] & _MASK[np.minimum(size, 8)]
+    todo, done = np.flatnonzero(size > 8), 8
+    while len(todo):
+        out[todo] = mix((out[todo] + np.uint64(done)) * _ODD) ^ (eight[place[todo] + done] & _MASK[np.minimum(size[todo] - done, 8)])
+        out[todo] = mix(out[todo])
+        done += 8
+        todo = todo[size[todo] > done]
+    return out, number
 
 
 class Lines:
     """The lines of a slice that take part, their hashes, and the first place of each distinct line."""
 
-    def __init__(self, column: pa.Array, min_words: int):
+    def __init__(self, column: pa.Array, min_words: int, characters: int):
+        self.characters = characters
         self.texts = Texts(column, lower=True)
         every = self.texts.lines()
         words = self.texts.runs(SPACED)
@@ -60,35 +89,33 @@ class Lines:
         self.hash = self.spans.hashes()
 
     def distinct(self) -> np.ndarray:
-        """The first place of each distinct line that is no shorter than a shingle."""
-        long = np.flatnonzero(self.spans.end - self.spans.start >= BYTES)
-        order = long[np.argsort(self.hash[long], kind="stable")]
+        order = np.argsort(self.hash, kind="stable")
         return order[run_starts(self.hash[order])]
 
-    def keys(self, at: np.ndarray, hashes: MinHash) -> np.ndarray:
-        """Band keys of the given lines."""
-        number = self.spans.end[at] - self.spans.start[at] - BYTES + 1
-        place = ranges(self.spans.start[at], number)
-        if not len(place):
-            return np.empty((0, BANDS), np.uint64)
-        eight = np.ndarray((len(self.texts.bytes) - 7,), "<u8", self.texts.bytes, 0, (1,))
-        return band_keys(hashes.signatures(eight[place] * _ODD, np.cumsum(number) - number), ROWS)
+    def keys(self, hashes: MinHash) -> tuple[np.ndarray, np.ndarray]:
+        """The first place of each distinct line that is no shorter than a shingle, and its band keys."""
+        at = self.distinct()
+        values, number = _runs(self.texts.bytes, self.spans.start[at], self.spans.end[at], self.characters)
+        at, number = at[number > 0], number[number > 0]
+        if not len(at):
+            return at, np.empty((0, BANDS), np.uint64)
+        return at, band_keys(hashes.signatures(values * _ODD, np.cumsum(number) - number), ROWS)
 
 
-def _shared_keys(docs: DataFrame, buckets: int, min_words: int) -> np.ndarray:
+def _shared_keys(docs: DataFrame, buckets: int, min_words: int, characters: int) -> np.ndarray:
     """Filter of the band keys that two distinct lines have. They travel packed, a row for each slice and bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = MinHash(ROWS * BANDS)
         for batch in batches:
             for rows in slices(batch, "text", SLICE):
-                lines = Lines(rows.column("text"), min_words)
-                yield packed(lines.keys(lines.distinct(), hashes).ravel(), buckets)
+                lines = Lines(rows.column("text"), min_words, characters)
+                yield packed(lines.keys(hashes)[1].ravel(), buckets)
 
     return repeated(docs.select("text").mapInArrow(run, "bucket long, keys binary"))
 
 
-def _candidates(docs: DataFrame, shared: np.ndarray, buckets: int, min_words: int) -> DataFrame:
+def _candidates(docs: DataFrame, shared: np.ndarray, buckets: int, min_words: int, characters: int) -> DataFrame:
     """line (hash), keys (those in the filter), body: the distinct lines of each slice with a shared key."""
     sent = docs.sparkSession.sparkContext.broadcast(shared)
 
@@ -96,9 +123,8 @@ def _candidates(docs: DataFrame, shared: np.ndarray, buckets: int, min_words: in
         hashes = MinHash(ROWS * BANDS)
         for batch in batches:
             for rows in slices(batch, "text", SLICE):
-                lines = Lines(rows.column("text"), min_words)
-                at = lines.distinct()
-                keys = lines.keys(at, hashes)
+                lines = Lines(rows.column("text"), min_words, characters)
+                at, keys = lines.keys(hashes)
                 on = contains(sent.value, labels(*dealt(keys.ravel(), buckets))).reshape(keys.shape)
                 mine = np.flatnonzero(on.any(1))
                 offsets = np.concatenate([[0], np.cumsum(on[mine].sum(1))]).astype(np.int32)
@@ -115,13 +141,13 @@ def _candidates(docs: DataFrame, shared: np.ndarray, buckets: int, min_words: in
     return docs.select("text").mapInArrow(run, "line long, keys array<long>, body binary")
 
 
-def _places(docs: DataFrame, min_words: int) -> DataFrame:
+def _places(docs: DataFrame, min_words: int, characters: int) -> DataFrame:
     """line, d, crc (of the text), index (of the line in its text) of every line that takes part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows in slices(batch, "text", SLICE):
-                lines = Lines(rows.column("text"), min_words)
+                lines = Lines(rows.column("text"), min_words, characters)
                 owner = lines.spans.owner
                 crc = np.array([zlib.crc32(x.as_buffer()) if x.is_valid else 0 for x in rows.column("text").cast(pa.binary())], np.int64)
                 d = rows.column("d").to_numpy(zero_copy_only=False)
@@ -132,13 +158,18 @@ def _places(docs: DataFrame, min_words: int) -> DataFrame:
     return docs.select("d", "text").mapInArrow(run, "line long, d long, crc long, index int")
 
 
-def _grams(body: bytes) -> np.ndarray:
-    data = np.frombuffer(body, np.uint8)
-    grams = np.sort(np.ndarray((len(data) - BYTES + 1,), "<u8", data, 0, (1,)))
+def _grams(body: bytes, characters: int) -> np.ndarray:
+    data = np.frombuffer(body + bytes(8), np.uint8)
+    if characters <= 8 and body.isascii():
+        width = characters or BYTES
+        grams = np.ndarray((len(body) - width + 1,), "<u8", data, 0, (1,)) & _MASK[width]
+    else:
+        grams, _ = _runs(data, np.zeros(1, np.int64), np.array([len(body)]), characters)
+    grams = np.sort(grams)
     return grams[run_starts(grams)]
 
 
-def _verified(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, bodies: DataFrame, characters: int) -> DataFrame:
     """The pairs (a, b) whose shingle sets reach the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,9 +177,9 @@ def _verified(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
         for batch in batches:
             good = []
             for x, y in zip(batch.column("x"), batch.column("y")):
-                p, body = _grams(x.as_py()), y.as_py()
+                p, body = _grams(x.as_py(), characters), y.as_py()
                 if body != held:  # rows come in order of b, whose line is often the same
-                    held, q = body, _grams(body)
+                    held, q = body, _grams(body, characters)
                 most, least = max(len(p), len(q)), min(len(p), len(q))
                 if least * 10 < 8 * most:
                     good.append(False)
@@ -163,10 +194,10 @@ def _verified(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _tile(rows: pd.DataFrame) -> pd.DataFrame:
+def _tile(rows: pd.DataFrame, characters: int) -> pd.DataFrame:
     """Union edges between the lines of one tile that reach the threshold and have different roots."""
     line, root, side = rows["line"].to_numpy(), rows["root"].to_numpy(), rows["side"].to_numpy()
-    sets = [_grams(x) for x in rows["body"]]
+    sets = [_grams(x, characters) for x in rows["body"]]
     size = np.array([len(x) for x in sets])
     # a tile of one block compares all its lines, a tile of two blocks those of different blocks
     one = (side == 0).all()
@@ -184,14 +215,14 @@ def _tile(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"a": line[moved], "b": line[least[moved]]})
 
 
-def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    yield from whole_groups(batches, ["key", "low", "high"], _tile)
+def _tiles(batches: Iterator[pa.RecordBatch], characters: int) -> Iterator[pa.RecordBatch]:
+    yield from whole_groups(batches, ["key", "low", "high"], partial(_tile, characters=characters))
 
 
-def near_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def near_lines(docs: DataFrame, min_words: int = MIN_WORDS, characters: int = 0) -> DataFrame:
     """(node, root) of the distinct lines that are nearly equal to another one."""
     number = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = store(_candidates(docs, _shared_keys(docs, number, min_words), number, min_words), "lines")
+    found = store(_candidates(docs, _shared_keys(docs, number, min_words, characters), number, min_words, characters), "lines")
     bodies = found.select("line", "body").dropDuplicates(["line"])
     keyed = found.select("line", F.explode("keys").alias("key")).distinct()
     orders = [F.col("line"), F.xxhash64("line"), F.xxhash64("line", F.lit(1))]
@@ -199,7 +230,7 @@ def near_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     buckets = store(keyed.join(hubs, "key").select("key", "line", "h0", "h1", "h2"), "buckets")
     pairs = buckets.select("line", F.explode(F.array("h0", "h1", "h2")).alias("hub")).where("line <> hub")
     pairs = pairs.select(F.greatest("line", "hub").alias("a"), F.least("line", "hub").alias("b")).distinct()
-    linked = store(_verified(pairs, bodies), "pairs")
+    linked = store(_verified(pairs, bodies, characters), "pairs")
     roots = store(components(linked, "stars"), "roots")
     placed = buckets.select("key", "line").join(roots.withColumnRenamed("node", "line"), "line", "left").withColumn("root", F.coalesce("root", "line"))
     mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low < high")
@@ -210,18 +241,18 @@ def near_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         "key", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), (F.col("mine") > F.col("other")).cast("int").alias("side"), "line", "root"
     )
     sent = tiles.join(bodies, "line").repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
-    more = store(sent.mapInArrow(_tiles, "a long, b long"), "pairs")
+    more = store(sent.mapInArrow(partial(_tiles, characters=characters), "a long, b long"), "pairs")
     if more.isEmpty():
         return roots
     return store(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more), "stars"), "roots")
 
 
-def deduplicate(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def deduplicate(docs: DataFrame, min_words: int = MIN_WORDS, characters: int = 0) -> DataFrame:
     """Every document (struct ``doc``) with ``n_lines``, ``n_removed`` and ``kept``, its text without the removed lines."""
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     plain = plain.select(F.coalesce("doc_id", F.lit(_LAST)).alias("d"), "text")
-    places = store(_places(plain, min_words), "places")
-    roots = near_lines(plain, min_words).select(F.col("node").alias("line"), "root")
+    places = store(_places(plain, min_words, characters), "places")
+    roots = near_lines(plain, min_words, characters).select(F.col("node").alias("line"), "root")
     spot = F.struct("d", "crc", "index")
     lines = places.groupBy("line").agg(F.min(spot).alias("spot"), F.max(spot).alias("last"))
     lines = lines.join(roots, "line", "left")

@@ -50,7 +50,7 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = lines.deduplicate(_table(spark, sf_dir, "documents"), min_words=1)
+    made = lines.deduplicate(_table(spark, sf_dir, "documents"), min_words=1, characters=5)
     return made.select(F.col("doc.doc_id").alias("doc_id"), "n_lines", "n_removed", F.sha2(F.encode("kept", "utf-8"), 256).alias("kept_sha256"))
 
 

@@ -1,7 +1,10 @@
 import hashlib
+import itertools
+
+import numpy as np
 
 import corpus_pipeline
-from creditloom.llm import queries
+from creditloom.llm import lines, queries
 
 
 def test_every_line_that_is_not_blank_takes_part(spark, frame, tmp_path):
@@ -16,3 +19,29 @@ def test_every_line_that_is_not_blank_takes_part(spark, frame, tmp_path):
     assert got == {i: (len(t.split("\n")) - len(kept[i].split("\n")), hashlib.sha256(kept[i].encode()).hexdigest()) for i, t in rows}
     stage = corpus_pipeline.deduplicate_lines(spark, frame(rows), str(tmp_path)).collect()
     assert {r.doc_id: r.text for r in stage} == {i: t for i, t in kept.items() if t.strip()}
+
+
+def test_shingles_are_runs_of_characters(spark, frame, tmp_path):
+    rng = np.random.default_rng(6)
+    post = "Posted on {} March 2019 by admin in category news"
+    kinds = [post.format(12), post.format(13), "de un queezmill del aroo que no tajabo en la casa"]
+    for alphabet in ("abcdefgh ", "абвгдежз ", "天地玄黄宇宙洪荒", "a б天😀"):  # one to four bytes, and mixed
+        for _ in range(6):
+            line = [alphabet[i] for i in rng.integers(0, len(alphabet), rng.integers(12, 70))]
+            line[0] = line[-1] = alphabet[0]
+            for _ in range(4):
+                kinds.append("".join(line))
+                line[rng.integers(1, len(line) - 1)] = alphabet[2]
+    kinds = sorted(set(kinds))
+    sets = [{x.lower()[i : i + 5] for i in range(len(x) - 4)} for x in kinds]
+    near = [(i, j) for i, j in itertools.combinations(range(len(kinds)), 2) if 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j])]
+    label = list(range(len(kinds)))
+    for i, j in near:
+        old, new = max(label[i], label[j]), min(label[i], label[j])
+        label = [new if x == old else x for x in label]
+    assert len(near) > 20 and {kinds.index(post.format(12)), kinds.index(post.format(13))} in [set(x) for x in near]
+    for x, grams in zip(kinds, sets):
+        assert len(lines._grams(x.lower().encode(), 5)) == len(grams)
+    frame(list(enumerate(kinds))).write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op8_line_dedup(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in got if r.n_removed == 0} == set(label)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from creditloom.llm import decontaminate, language, licenses, lines, ngram_join, packing, quality, sharding, substrings, token_store
+from creditloom.llm import decontaminate, language, licenses, lines, ngram_join, packing, quality, sharding, substrings, token_store, trie
 
 END = 2
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -66,11 +66,15 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.rebuilt_trie(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_quality_rules, op2_language_id, op3_token_store, op4_sharding, op5_best_fit_packing, op6_substring_dedup,
-        op7_license_scan, op8_line_dedup, op9_ngram_join, op10_decontamination,
+        op7_license_scan, op8_line_dedup, op9_ngram_join, op10_decontamination, op11_prefix_trie,
     )
 }
 
@@ -144,6 +148,29 @@ SELECT doc_id, least(doc_id, coalesce(c, doc_id)) AS class_id, coalesce(n, 0)::B
 FROM d LEFT JOIN class USING (doc_id) LEFT JOIN links USING (doc_id)
 """
 
+_TRIE = r"""
+WITH RECURSIVE t AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS p, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+-- crc32 bit by bit: each character of the decimal id, then eight shifts
+h AS (SELECT c, xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(c::VARCHAR, ''), lambda x: ord(x)::UBIGINT)),
+    lambda s, x: list_reduce(list_prepend(xor(s, x), [0::UBIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda y, z: xor(y >> 1, 3988292384::UBIGINT * (y & 1)))), 4294967295::UBIGINT) % 6 AS h
+  FROM (SELECT DISTINCT c FROM t)),
+r AS (SELECT h.c, p AS o, role, text FROM h JOIN t ON t.c = h.c - h.c % 100 AND p <= h UNION ALL SELECT h.c, p, role, text FROM h JOIN t USING (c) WHERE p > h),
+n AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY o) AS d, role, text FROM r),
+x AS (SELECT c, d, length(text) AS len, md5(string_agg(concat(length(role), ',', length(text), ':', role, text), '' ORDER BY d) OVER (PARTITION BY c ORDER BY d)) AS k FROM n),
+a AS (SELECT * FROM x UNION ALL SELECT c, 0, 0, '' FROM h),
+m AS (SELECT c, max(d) AS last FROM a GROUP BY c),
+node AS (SELECT d, k, min(c) AS conv_id, count(*) AS n, any_value(len) AS len, string_agg(CASE WHEN d = last THEN c END::VARCHAR, ',' ORDER BY c) AS ends FROM a JOIN m USING (c) GROUP BY d, k),
+-- the path of a node's smallest member leads through all nodes above it
+link AS (SELECT node.d, node.k, up.k AS pk FROM node JOIN a up ON up.c = node.conv_id AND up.d = node.d - 1),
+child AS (SELECT d - 1 AS d, pk AS k, count(*) AS n_children FROM link GROUP BY ALL),
+own AS (SELECT node.*, coalesce(n_children, 0) AS n_children FROM node LEFT JOIN child USING (d, k)),
+under AS (SELECT a.d, a.k, sum((own.n_children = 0)::INT) AS n_leaves, sum((own.n - 1) * own.len) AS saved FROM own JOIN a ON a.c = own.conv_id AND a.d <= own.d GROUP BY ALL)
+SELECT own.conv_id, own.d::BIGINT AS depth, up.conv_id AS parent_conv_id, own.n AS n_convs, own.n_children::BIGINT AS n_children, n_leaves::BIGINT AS n_leaves,
+  saved::BIGINT AS saved_tokens, sha256(coalesce(own.ends, '')) AS ends_sha256
+FROM own JOIN under USING (d, k) LEFT JOIN link USING (d, k) LEFT JOIN node up ON up.d = own.d - 1 AND up.k = link.pk
+"""
+
 ORACLES: dict[str, str] = {
     "op6_substring_dedup": _SUBSTRINGS, "op7_license_scan": _licenses(), "op9_ngram_join": _JOIN, "op10_decontamination": _LEAKS,
+    "op11_prefix_trie": _TRIE,
 }

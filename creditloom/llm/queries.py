@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from creditloom.llm import decontaminate, language, licenses, lines, ngram_join, packing, quality, sharding, substrings, token_store, trie
+from creditloom.llm import decontaminate, language, licenses, lines, ngram_join, packing, quality, sharding, substrings, token_store, toxicity, trie
 
 END = 2
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -70,11 +70,17 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.rebuilt_trie(_table(spark, sf_dir, "conversations"))
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    made = toxicity.score(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
+    return made.select(F.col("doc.doc_id").alias("doc_id"), "held_out", "score", "predicted", "n_clauses")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_quality_rules, op2_language_id, op3_token_store, op4_sharding, op5_best_fit_packing, op6_substring_dedup,
-        op7_license_scan, op8_line_dedup, op9_ngram_join, op10_decontamination, op11_prefix_trie,
+        op7_license_scan, op8_line_dedup, op9_ngram_join, op10_decontamination, op11_prefix_trie, op12_toxicity,
     )
 }
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from creditloom.llm import decontaminate, language, licenses, lines, ngram_join, packing, quality, sharding, substrings, token_store, toxicity, trie
+from creditloom.llm import decontaminate, language, licenses, lines, ngram_join, packing, quality, ranked_search, sharding, substrings, token_store, toxicity, trie
 
 END = 2
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -76,11 +76,15 @@ def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select(F.col("doc.doc_id").alias("doc_id"), "held_out", "score", "predicted", "n_clauses")
 
 
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_quality_rules, op2_language_id, op3_token_store, op4_sharding, op5_best_fit_packing, op6_substring_dedup,
-        op7_license_scan, op8_line_dedup, op9_ngram_join, op10_decontamination, op11_prefix_trie, op12_toxicity,
+        op7_license_scan, op8_line_dedup, op9_ngram_join, op10_decontamination, op11_prefix_trie, op12_toxicity, op13_ranked_search,
     )
 }
 
@@ -154,6 +158,18 @@ SELECT doc_id, least(doc_id, coalesce(c, doc_id)) AS class_id, coalesce(n, 0)::B
 FROM d LEFT JOIN class USING (doc_id) LEFT JOIN links USING (doc_id)
 """
 
+_SEARCH = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, {_ALNUM}) AS w FROM documents),
+c AS (SELECT count(*) AS n, sum(len(w))::BIGINT AS l FROM d WHERE len(w) > 0),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all({_LOWER}, {_ALNUM})) AS t FROM benchmark),
+p AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(w) AS t FROM d) GROUP BY ALL),
+df AS (SELECT t, floor(1000 * ln((2 * c.n + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS weight FROM p, c WHERE t IN (SELECT t FROM q) GROUP BY t, c.n),
+s AS (SELECT item_id, r, sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * len(w) * c.n) // c.l))))::BIGINT AS score
+  FROM q JOIN df USING (t) JOIN p USING (t) JOIN d USING (r), c GROUP BY item_id, r),
+o AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST)::INT AS rank, doc_id, score FROM s JOIN d USING (r) WHERE score > 0)
+SELECT * FROM o WHERE rank <= 10
+"""
+
 _TRIE = r"""
 WITH RECURSIVE t AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS p, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
 -- crc32 bit by bit: each character of the decimal id, then eight shifts
@@ -178,5 +194,5 @@ FROM own JOIN under USING (d, k) LEFT JOIN link USING (d, k) LEFT JOIN node up O
 
 ORACLES: dict[str, str] = {
     "op6_substring_dedup": _SUBSTRINGS, "op7_license_scan": _licenses(), "op9_ngram_join": _JOIN, "op10_decontamination": _LEAKS,
-    "op11_prefix_trie": _TRIE,
+    "op11_prefix_trie": _TRIE, "op13_ranked_search": _SEARCH,
 }

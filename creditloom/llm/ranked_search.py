@@ -3,7 +3,8 @@
 The index is one row for each segment of some thousand documents. Within a segment every term's posting list is cut
 into blocks of similar documents: sketches of the document vectors are assigned to the nearest of a few centres. A
 block's summary holds the coordinatewise maximum of its documents' vectors. Terms are ordered by weight, and a list
-answers only for documents without a heavier term of the item, so its summaries need the terms from its own on.
+answers only for documents without a heavier term of the item, so its summaries need the terms from its own on, and of
+those only the ones that occur in an item together with it.
 
 An item is searched in two passes over the segments. The first reads the lists of its heaviest terms and yields a
 score that ten documents reach. The second reads the lists that can still reach it; a block is skipped only if the sum
@@ -36,14 +37,16 @@ from creditloom.llm.common import documents_only, store
 from creditloom.llm.text import ALNUM, Texts, mix, ranges, run_starts, slices
 
 K = 10
-BLOCK_CHARS = 4_000_000  # characters of the items that are searched in one pass
-SEGMENT_DOCS, SEGMENT_ENTRIES = 4096, 2_000_000
+BLOCK_CHARS = 1_000_000  # characters of the items that are searched in one pass
+SEGMENT_DOCS, SEGMENT_POSTINGS = 4096, 300_000
 BLOCK_DOCS = 32  # documents of a block, on average
 LONG = 1024
 SEEDS = 8 * K  # documents in the lists that the first pass reads
 FULL = 1_000_000  # no document's share of a term's weight reaches this
 _DIMENSIONS = 16
 _SAT, _RANK = 20, 24  # bits of a share and of a term's rank when packed for sorting
+_EXPANDED = 1 << 20  # summary entries that are made at once
+_PAIRS = 1 << 24
 
 _INDEX = (
     "ids array<long>, class_at binary, vec_at binary, vec_rank binary, vec_sat binary, "
@@ -109,19 +112,29 @@ def _frequencies(vectors: DataFrame, size: int) -> np.ndarray:
 class Scale:
     """Weights of the terms by rank (heaviest first) and what the formula needs of the whole collection."""
 
-    def __init__(self, documents: int, words: int, df: np.ndarray):
+    def __init__(self, documents: int, words: int, df: np.ndarray, items: list[np.ndarray]):
         self.documents, self.words = documents, words
         weight = np.array([math.floor(1000 * math.log((2 * documents + 2) / (2 * int(x) + 1))) if x else 0 for x in df], np.int64)
         order = np.lexsort((np.arange(len(df)), -weight))
         self.weight, self.df = weight[order], df[order]
         self.rank_of = np.empty(len(df), np.int64)
         self.rank_of[order] = np.arange(len(df))
+        #: Hashed pairs of terms that are in one item. What it says too often only makes summaries longer.
+        self.together = np.zeros(_PAIRS, bool)
+        for terms in items:
+            r = self.rank_of[terms]
+            self.together[_pair(np.repeat(r, len(r)), np.tile(r, len(r)))] = True
 
     def shares(self, n: np.ndarray, tf: np.ndarray, owner: np.ndarray) -> np.ndarray:
         m = np.array([10 + 90 * int(x) * self.documents // self.words for x in n], np.int64)
         return (1_000_000_000 * tf) // (1000 * tf + 8 * m[owner])
 
 
+def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    h = a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + b.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    return (h >> np.uint64(40)).astype(np.int64)
+
+
 # --- index ---------------------------------------------------------------------------------------
 
 
@@ -132,6 +145,30 @@ def _clusters(sketch: np.ndarray) -> np.ndarray:
     return np.argmax(sketch @ centres.T, axis=1)
 
 
+def _summaries(block: np.ndarray, owner: np.ndarray, post: np.ndarray, vec_at: np.ndarray, ranks: np.ndarray, sats: np.ndarray, scale: Scale) -> np.ndarray:
+    """Sorted (block, rank, greatest share), packed: of every posting the entries from its own term on."""
+    rest = vec_at[owner + 1] - post
+    done = np.cumsum(rest)
+    made, a = [], 0
+    while a < len(post):
+        b = max(a + 1, int(np.searchsorted(done, (done[a - 1] if a else 0) + _EXPANDED)))
+        entry = ranges(post[a:b], rest[a:b])
+        kept = scale.together[_pair(np.repeat(ranks[post[a:b]], rest[a:b]), ranks[entry])]
+        entry = entry[kept]
+        key = np.repeat(block[a:b], rest[a:b])[kept].astype(np.uint64) << np.uint64(_RANK) | ranks[entry].astype(np.uint64)
+        made.append(_maxima(key << np.uint64(_SAT) | sats[entry].astype(np.uint64)))
+        a = b
+    return _maxima(np.concatenate(made)) if made else np.empty(0, np.uint64)
+
+
+def _maxima(packed: np.ndarray) -> np.ndarray:
+    """Sorts; of equal blocks and ranks the greatest share stays."""
+    packed.sort()
+    last = np.ones(len(packed), bool)
+    last[:-1] = (packed[1:] >> np.uint64(_SAT)) != (packed[:-1] >> np.uint64(_SAT))
+    return packed[last]
+
+
 def _segment(ids: list, n: np.ndarray, rank: list[np.ndarray], tf: list[np.ndarray], scale: Scale) -> dict:
     count = np.array([len(r) for r in rank], np.int64)
     owner = np.repeat(np.arange(len(ids)), count)
@@ -166,14 +203,7 @@ def _segment(ids: list, n: np.ndarray, rank: list[np.ndarray], tf: list[np.ndarr
     post, key = post[order], key[order]
     block_at = run_starts(key)
     block = np.repeat(np.arange(len(block_at)), np.diff(np.append(block_at, len(post))))
-    # summaries: of every posting the entries from its own term on
-    rest = vec_at[owner[post] + 1] - post
-    entry = ranges(post, rest)
-    packed = (np.repeat(block, rest).astype(np.uint64) << np.uint64(_SAT + _RANK)) | (ranks[entry].astype(np.uint64) << np.uint64(_SAT)) | sats[entry].astype(np.uint64)
-    packed.sort()
-    last = np.ones(len(packed), bool)
-    last[:-1] = (packed[1:] >> np.uint64(_SAT)) != (packed[:-1] >> np.uint64(_SAT))
-    packed = packed[last]
+    packed = _summaries(block, owner[post], post, vec_at, ranks, sats, scale)
     sum_block = (packed >> np.uint64(_SAT + _RANK)).astype(np.int64)
     grouped = [sorted((ids[i] for i in c), key=lambda x: (x is None, x or 0)) for c in classes.values()]
     put = lambda x, t="<u4": np.ascontiguousarray(x).astype(t).tobytes()
@@ -186,7 +216,7 @@ def _segment(ids: list, n: np.ndarray, rank: list[np.ndarray], tf: list[np.ndarr
 
 
 def build(vectors: DataFrame, scale: Scale) -> DataFrame:
-    """The index, one row for each segment. Map-only; a segment is bounded in documents and summary entries."""
+    """The index, one row for each segment. Map-only; a segment is bounded in documents and postings."""
     sent = vectors.sparkSession.sparkContext.broadcast(scale)
     types = [pa.list_(pa.int64()), *[pa.binary()] * 10]
     names = [x.split()[0] for x in _INDEX.split(", ")]
@@ -204,15 +234,14 @@ def build(vectors: DataFrame, scale: Scale) -> DataFrame:
                 if not terms:
                     continue
                 r = scale.rank_of[np.frombuffer(terms, "<u4")]
-                more = len(r) if len(r) > LONG else len(r) * (len(r) + 1) // 2
-                if ids and (len(ids) >= SEGMENT_DOCS or work + more > SEGMENT_ENTRIES):
+                if ids and (len(ids) >= SEGMENT_DOCS or work + len(r) > SEGMENT_POSTINGS):
                     yield flush()
                     ids, n, rank, tf, work = [], [], [], [], 0
                 ids.append(doc_id)
                 n.append(words)
                 rank.append(r)
                 tf.append(np.frombuffer(counts, "<u4"))
-                work += more
+                work += len(r)
         if ids:
             yield flush()
 
@@ -320,8 +349,8 @@ def _pass(index: DataFrame, queries: Queries, k: int) -> DataFrame:
         weight = np.zeros(len(q.weight), np.int64)
         reached = list(q.reached)
         for batch in batches:
-            for row in batch.to_pylist():
-                segment = Segment(row)
+            for at in range(batch.num_rows):
+                segment = Segment(batch.slice(at, 1).to_pylist()[0])
                 for i, r in enumerate(q.items):
                     if not len(r):
                         continue
@@ -349,7 +378,7 @@ def _search_block(docs: DataFrame, rows: list, k: int) -> DataFrame:
     terms = Terms([r["text"] for r in rows])
     vectors = store(_vectors(docs, terms), "search-vectors")
     total = vectors.agg(F.count("*").alias("n"), F.sum("n").alias("l")).first()
-    scale = Scale(total["n"], total["l"] or 1, _frequencies(vectors, len(terms.hashes)))
+    scale = Scale(total["n"], total["l"] or 1, _frequencies(vectors, len(terms.hashes)), terms.items)
     index = store(build(vectors, scale), "search-index")
     queries = Queries(terms.items, scale)
     tenth = _top(_pass(index, queries, k), k).where(F.col("rank") == k).select("item", "score").collect()

@@ -626,16 +626,12 @@ sql("sample_cap", ["orig"], f"SELECT loan_identifier, original_upb FROM (SELECT
 
 
 def permuted(source: str, columns: list[str], seed: int) -> dict[str, str]:
-    """Tables that give each column the value found 1, 2, ... places further on in its random group."""
+    """Tables that give each column the value found 1, 2, ... places further on in one circle of all rows."""
     h = f"md5('{seed}|' || CAST(loan_identifier AS VARCHAR))"
-    group = f"CAST('0x' || substr({h}, 1, 8) AS BIGINT) % (SELECT greatest(1, CAST(ceil(count(*) / 2000.0) AS BIGINT)) FROM {source})"
     return {
-        "g": f"SELECT *, {group} AS __g, {h} AS __h FROM {source}",
-        "o": "SELECT *, row_number() OVER (PARTITION BY __g ORDER BY __h) - 1 AS __p, count(*) OVER (PARTITION BY __g) AS __n FROM g",
-        # one number per place, so that no two copies can be joined on the group alone
-        "k": "SELECT __g * 1000000 + __p AS __k, * FROM o",
+        "o": f"SELECT *, row_number() OVER (ORDER BY {h}) - 1 AS __p, count(*) OVER () AS __n FROM {source}",
         "mixed": "SELECT o.*, " + ", ".join(f't{i}."{c}" AS "{c}__permuted"' for i, c in enumerate(columns, 1)) + " FROM o "
-        + " ".join(f"JOIN k t{i} ON t{i}.__k = o.__g * 1000000 + (o.__p + {i}) % o.__n" for i in range(1, len(columns) + 1)),
+        + " ".join(f"JOIN o t{i} ON t{i}.__p = (o.__p + {i}) % o.__n" for i in range(1, len(columns) + 1)),
     }
 
 

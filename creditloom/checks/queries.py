@@ -414,7 +414,7 @@ def unseen_categories(spark, sf):
 @query
 def ordinal_encode(spark, sf):
     df = R.prepare_frame(lending(spark, sf), keep=[ID])
-    lists = encoders.category_lists(df.where(F.col("quarter").isin(TRAIN_QUARTERS)), S.LENDING_CATEGORICAL)
+    lists = encoders.fit_categories(df.where(F.col("quarter").isin(TRAIN_QUARTERS)), S.LENDING_CATEGORICAL)
     out = encoders.ordinal_encode(df, lists)
     return out.select(ID, *[F.col(f"{c}_code").cast("int").alias(f"{c}_code") for c in S.LENDING_CATEGORICAL])
 
@@ -670,7 +670,7 @@ HOT_COLUMNS = ["property_state", "channel", "occupancy_status", "quarter"]
 @query
 def one_hot_long(spark, sf):
     df = R.prepare_frame(lending(spark, sf), keep=[ID])
-    lists = encoders.category_lists(df.where(F.col("quarter").isin(TRAIN_QUARTERS)), HOT_COLUMNS)
+    lists = encoders.fit_categories(df.where(F.col("quarter").isin(TRAIN_QUARTERS)), HOT_COLUMNS)
     return encoders.one_hot_long(df, lists, [ID])
 
 

@@ -56,7 +56,7 @@ class Bundle:
         weights = dict(zip(prep.feature_names, self.model.coefficients.toArray().tolist()))
         slopes = {c: weights[c] / scaler.stds[c] for c in prep.numeric}
         shift = sum(slopes[c] * scaler.means[c] for c in prep.numeric)
-        effects = {c: {v: weights[f"{c}__{v}"] for v in prep.categories[c]} for c in prep.categorical}
+        effects = {c: {v: weights[f"{c}__{v}"] for v in prep.categories.values(c)} for c in prep.categorical}
         return LinearScorer(self.model.intercept - shift, slopes, effects)
 
     def filled(self, df: DataFrame) -> DataFrame:

@@ -4,16 +4,19 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.ml.feature import OneHotEncoder, StringIndexerModel, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from creditloom import schemas as S
 from creditloom.functions.rules import category_text, numeric_columns, prepare_frame, row_hash
 from creditloom.operators.quantiles import exact_medians
-from creditloom.runtime import local_table, lookup_table
+from creditloom.runtime import local_table, materialize
 
-MAX_CATEGORIES = 100_000
+#: A value that holds this share of a column's rows is looked up in the row itself; there are at most 1 / share.
+COMMON_SHARE = 0.01
+_SALTS = 1024
 
 
 # --- imputation and scaling ------------------------------------------------------------------
@@ -90,62 +93,96 @@ def _category_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     )
 
 
-def category_lists(frame: DataFrame, columns: list[str], min_count: int = 1) -> dict[str, list[str]]:
-    """Sorted categories per column with at least ``min_count`` rows.
+def find_values(df: DataFrame, text: Column, table: DataFrame, fields: list[str], common: dict[str, list], complete: bool) -> DataFrame:
+    """Add ``fields`` of ``table`` (value, *fields) for the category ``text`` of each row; null where it is not there.
 
-    Encoders index categories one by one, so their number has to be small; that is checked.
+    Common values come from ``common`` (value -> fields) inside the row, so a value that fills half of the table goes
+    through no shuffle. The rest is joined unless ``common`` is ``complete``; rows that need no lookup are spread out.
     """
-    kept = _category_counts(frame, columns).where(F.col("count") >= min_count)
-    rows = kept.select("column", "value").limit(MAX_CATEGORIES + 1).collect()
-    if len(rows) > MAX_CATEGORIES:
-        raise ValueError(f"more than {MAX_CATEGORIES} categories in {columns}")
-    out: dict[str, list[str]] = {c: [] for c in columns}
-    for r in rows:
-        out[r["column"]].append(r["value"])
-    return {c: sorted(v) for c, v in out.items()}
-
-
-def _indexed(df: DataFrame, categories: dict[str, list[str]], suffix: str) -> DataFrame:
-    """Position of each value in its category list; values outside it get the list's length."""
-    for c, values in categories.items():
-        if values:
-            df = StringIndexerModel.from_labels(
-                values, inputCol=c, outputCol=c + suffix, handleInvalid="keep"
-            ).transform(df)
-    return df.withColumns({c + suffix: F.lit(0.0) for c, values in categories.items() if not values})
-
-
-def ordinal_encode(
-    df: DataFrame, categories: dict[str, list[str]], suffix: str = "_code"
-) -> DataFrame:
-    """Codes in sorted category order, -1 for values not seen when fitting."""
-    out = _indexed(df, categories, suffix)
-    return out.withColumns(
-        {
-            c + suffix: F.when(F.col(c + suffix) < len(v), F.col(c + suffix)).otherwise(-1.0)
-            for c, v in categories.items()
-        }
+    known = F.create_map(*[x for v, found in common.items() for x in (F.lit(v), F.array(*[F.lit(y) for y in found]))]) if common else None
+    here = known[text] if common else F.lit(None).cast("array<double>")
+    out = df.withColumn("__here", here)
+    if complete:
+        return out.withColumns({f: F.get("__here", F.lit(i)) for i, f in enumerate(fields)}).drop("__here")
+    settled = F.col("__here").isNotNull() | text.isNull()
+    out = out.withColumn("__value", text).withColumn("__salt", F.when(settled, F.monotonically_increasing_id() % _SALTS).otherwise(F.lit(-1).cast("long")))
+    other = table.select(F.col("value").alias("__value"), F.lit(-1).cast("long").alias("__salt"), *[F.col(f).alias(f"__{f}") for f in fields])
+    out = out.join(other, ["__value", "__salt"], "left")
+    return out.withColumns({f: F.coalesce(F.get("__here", F.lit(i)), f"__{f}") for i, f in enumerate(fields)}).drop(
+        "__here", "__value", "__salt", *[f"__{f}" for f in fields]
     )
 
 
-def _active_indicators(categories: dict[str, list[str]], index: str) -> list[Column]:
-    """Per indexed column the entry ``column__value`` -> 1, or null for a value outside its list."""
+@dataclass
+class Categories:
+    """Codes 0, 1, 2 ... of the categories of several columns, in sorted order within a column.
+
+    The dictionary is a table of any size; the driver holds how many categories each column has and the codes of the
+    common ones.
+    """
+
+    table: DataFrame  # column, value, code
+    sizes: dict[str, int]
+    common: dict[str, dict[str, float]]
+
+    def values(self, column: str) -> list[str]:
+        """All categories of a column, for reports and models that have a coefficient for each of them."""
+        rows = self.table.where(F.col("column") == column).select("value", "code").collect()
+        return [r["value"] for r in sorted(rows, key=lambda r: r["code"])]
+
+    def add_codes(self, df: DataFrame, suffix: str) -> DataFrame:
+        """Add ``<column><suffix>``: the code of each value, null for values not seen when fitting."""
+        for c, size in self.sizes.items():
+            part = self.table.where(F.col("column") == c).select("value", F.col("code").alias(c + suffix))
+            known = {v: [code] for v, code in self.common[c].items()}
+            df = find_values(df, F.col(c).cast("string"), part, [c + suffix], known, len(known) == size)
+        return df
+
+
+def fit_categories(frame: DataFrame, columns: list[str], min_count: int = 1) -> Categories:
+    """Dictionary of all categories with at least ``min_count`` rows.
+
+    Values are range-partitioned; a range's place in its column follows from the sizes of the ranges before it.
+    """
+    counts = _category_counts(frame, columns).where(F.col("count") >= min_count)
+    ranged = materialize(counts.repartitionByRange("column", "value").withColumn("__range", F.spark_partition_id()), "categories")
+    sizes = ranged.groupBy("column", "__range").agg(F.count("*").alias("n"))
+    earlier = Window.partitionBy("column").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("column", "__range", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    local = F.row_number().over(Window.partitionBy("column", "__range").orderBy("value")) - 1
+    coded = ranged.withColumn("local", local).join(offsets, ["column", "__range"])
+    table = materialize(coded.select("column", "value", "count", (F.col("before") + F.col("local")).cast("double").alias("code")), "category-codes")
+    totals = {r["column"]: r for r in table.groupBy("column").agg(F.count("*").alias("n"), F.sum("count").alias("rows")).collect()}
+    common: dict[str, dict[str, float]] = {c: {} for c in columns}
+    least = F.create_map(*[x for c, r in totals.items() for x in (F.lit(c), F.lit(r["rows"] * COMMON_SHARE))]) if totals else None
+    if totals:  # at most 1 / COMMON_SHARE rows of each column
+        for r in table.where(F.col("count") >= least[F.col("column")]).collect():
+            common[r["column"]][r["value"]] = r["code"]
+    return Categories(table.drop("count"), {c: totals[c]["n"] if c in totals else 0 for c in columns}, common)
+
+
+def ordinal_encode(df: DataFrame, categories: Categories, suffix: str = "_code") -> DataFrame:
+    """Codes in sorted category order, -1 for values not seen when fitting."""
+    out = categories.add_codes(df, suffix)
+    return out.withColumns({c + suffix: F.coalesce(c + suffix, F.lit(-1.0)) for c in categories.sizes})
+
+
+def _active_indicators(categories: Categories, suffix: str) -> list[Column]:
+    """Per coded column the entry ``column__value`` -> 1, or null for a value outside its dictionary."""
     return [
         F.when(
-            F.col(c + index) < len(values),
+            F.col(c + suffix).isNotNull(),
             F.struct(F.concat_ws("__", F.lit(c), F.col(c).cast("string")).alias("feature"), F.lit(1.0).alias("value")),
         )
-        for c, values in categories.items()
+        for c in categories.sizes
     ]
 
 
-def one_hot_long(
-    df: DataFrame, categories: dict[str, list[str]], keep: list[str]
-) -> DataFrame:
+def one_hot_long(df: DataFrame, categories: Categories, keep: list[str]) -> DataFrame:
     """One row per active indicator ``column__value``; unknown values have none."""
-    indexed = _indexed(df, categories, "__index")
+    coded = categories.add_codes(df, "__index")
     entries = F.array_compact(F.array(*_active_indicators(categories, "__index")))
-    return indexed.select(*keep, F.inline(entries))
+    return coded.select(*keep, F.inline(entries))
 
 
 # --- tabular preprocessor ----------------------------------------------------------------------
@@ -164,7 +201,7 @@ class TabularPreprocessor:
     categorical: list[str] = field(default_factory=lambda: list(S.LENDING_CATEGORICAL))
     min_category_count: int = 20
     scaler: NumericScaler | None = None
-    categories: dict[str, list[str]] = field(default_factory=dict)
+    categories: Categories | None = None
 
     def __post_init__(self) -> None:
         if self.mode not in ("linear", "tree"):
@@ -179,17 +216,18 @@ class TabularPreprocessor:
         return prepare_frame(df, self.numeric, self.categorical, keep=other)
 
     def fit(self, train: DataFrame) -> "TabularPreprocessor":
-        frame = self._frame(train)
+        # medians, moments and dictionaries read the prepared columns several times
+        frame = materialize(self._frame(train).select(*self.raw_columns), "prepared")
         self.scaler = NumericScaler.fit(frame, self.numeric)
         least = self.min_category_count if self.mode == "linear" else 1
-        self.categories = category_lists(frame, self.categorical, least)
+        self.categories = fit_categories(frame, self.categorical, least)
         return self
 
     @property
     def feature_names(self) -> list[str]:
         if self.mode == "tree":
             return self.raw_columns
-        return [*self.numeric, *[f"{c}__{v}" for c in self.categorical for v in self.categories[c]]]
+        return [*self.numeric, *[f"{c}__{v}" for c in self.categorical for v in self.categories.values(c)]]
 
     def transform(self, df: DataFrame) -> DataFrame:
         """Encoded columns: numbers in place, categories as indicators in long form or as codes."""
@@ -208,7 +246,7 @@ class TabularPreprocessor:
         names = self.numeric if self.mode == "linear" else self.feature_names
         entries = [F.struct(F.lit(c).alias("feature"), F.col(c).alias("value")) for c in names]
         if self.mode == "linear":
-            done = _indexed(done, self.categories, "__index")
+            done = self.categories.add_codes(done, "__index")
             entries += _active_indicators(self.categories, "__index")
         return done.select(*keep, F.inline(F.array_compact(F.array(*entries))))
 
@@ -219,12 +257,17 @@ class TabularPreprocessor:
         if self.mode == "tree":
             inputs = self.feature_names
         else:
-            used = [c for c in self.categorical if self.categories[c]]
-            done = _indexed(done, {c: self.categories[c] for c in used}, "__index")
-            # the extra "not in the list" index is the last one and is dropped
-            done = OneHotEncoder(
-                inputCols=[f"{c}__index" for c in used], outputCols=[f"{c}__hot" for c in used], dropLast=True
-            ).fit(done).transform(done)
+            sizes = {c: n for c, n in self.categories.sizes.items() if n}
+            used = list(sizes)
+            done = self.categories.add_codes(done, "__index")
+            for c, n in sizes.items():
+                # the column says how many values it has; the last one, "not in the dictionary", is dropped
+                nominal = {"ml_attr": {"type": "nominal", "name": f"{c}__index", "num_vals": n + 1}}
+                done = done.withColumn(f"{c}__index", F.coalesce(f"{c}__index", F.lit(float(n))).alias(f"{c}__index", metadata=nominal))
+            if used:
+                done = OneHotEncoder(
+                    inputCols=[f"{c}__index" for c in used], outputCols=[f"{c}__hot" for c in used], dropLast=True
+                ).fit(done).transform(done)
             inputs = [*self.numeric, *[f"{c}__hot" for c in used]]
         done = VectorAssembler(inputCols=inputs, outputCol=output).transform(done)
         return done.select(*other, "__raw.*", output)
@@ -258,7 +301,7 @@ class TargetEncoder:
             .groupBy("column", "value", "fold")
             .agg(F.count("d").alias("n"), F.sum("d").alias("s"), F.sum(F.col("d") * F.col("d")).alias("q"))
         )
-        self.cells = lookup_table(cells, "target-cells")
+        self.cells = materialize(cells, "target-cells")
         overall = (
             self.cells.where(F.col("column") == self.columns[0])
             .groupBy("fold").agg(*[F.sum(c).alias(c) for c in ("n", "s", "q")]).collect()
@@ -300,19 +343,25 @@ class TargetEncoder:
         return joined.select("column", "value", "fold", self._encoding(n, s, q, base).alias("encoding"))
 
     def transform(self, df: DataFrame, training: bool = False, suffix: str = "_encoded") -> DataFrame:
-        """Add one encoded column per category; unseen categories get the overall mean."""
+        """Add one encoded column per category; unseen categories get the overall mean.
+
+        Training rows are looked up by category and fold, others by category.
+        """
         table = self.fold_table() if training else self.full_table()
-        table = lookup_table(table, "target-encoding")
-        out = df.withColumn("__fold", self._fold()) if training else df
+        fold = F.concat(F.lit("|"), F.col("fold")) if training else F.lit("")
+        table = materialize(table.withColumn("value", F.concat("value", fold)), "target-encoding")
+        counts = self.cells.groupBy("column", "value").agg(F.sum("n").alias("n"))
+        least = self.whole[0] * COMMON_SHARE
+        # at most folds / COMMON_SHARE rows of each column
+        often = counts.where(F.col("n") >= least).select("column", F.col("value").alias("often"))
+        plain = F.col("value") if not training else F.regexp_replace("value", r"\|[0-9]+$", "")
+        common: dict[str, dict[str, list]] = {c: {} for c in self.columns}
+        for r in table.withColumn("often", plain).join(often, ["column", "often"]).collect():
+            common[r["column"]][r["value"]] = [r["encoding"]]
+        out = df.withColumn("__fold", F.concat(F.lit("|"), self._fold())) if training else df.withColumn("__fold", F.lit(""))
         for c in self.columns:
-            part = table.where(F.col("column") == c).select(
-                F.col("value").alias("__value"), F.col("encoding").alias(c + suffix),
-                *([F.col("fold").alias("__f")] if training else []),
-            )
-            match = category_text(df, c) == F.col("__value")
-            if training:
-                match = match & (F.col("__fold") == F.col("__f"))
-            out = out.join(part, match, "left").drop("__value", "__f")
+            part = table.where(F.col("column") == c).select("value", F.col("encoding").alias(c + suffix))
+            out = find_values(out, F.concat(category_text(df, c), "__fold"), part, [c + suffix], common[c], False)
             out = out.withColumn(c + suffix, F.coalesce(c + suffix, F.lit(self.mean)))
         return out.drop("__fold")
 

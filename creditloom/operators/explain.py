@@ -70,14 +70,13 @@ def permutation_impact(
     key: list[str],
     units: dict[str, str] | None = None,
     seed: int = 2027,
-    rows_per_group: int = 2_000,
 ) -> DataFrame:
     """Mean absolute and mean signed change of each (model, target) prediction when one feature is
     permuted. All models and features share one shuffle and one aggregation.
 
     In a linear model one feature changes one term, so each row's total is computed once.
     """
-    mixed = permute_columns(df, features, key, seed, rows_per_group)
+    mixed = permute_columns(df, features, key, seed)
     plain = {c: F.col(c) for c in features}
     totals = mixed.withColumns({f"__total_{m}": s.total(plain) for m, s in enumerate(scorers.values())})
     changes, aggregates, records = {}, [], []
@@ -110,10 +109,9 @@ def model_permutation_impact(
     features: list[str],
     key: list[str],
     seed: int = 2027,
-    rows_per_group: int = 2_000,
 ) -> DataFrame:
     """Permutation impact of a fitted model: every row is scored once per permuted feature."""
-    mixed = permute_columns(df, features, key, seed, rows_per_group)
+    mixed = permute_columns(df, features, key, seed)
     versions = mixed.select(*key, F.inline(_versions(features, [None, *features])))
     scored = predict(versions.withColumnRenamed("feature", "__feature"))
     # the unpermuted prediction of a row travels with that row's group of features + 1 records

@@ -10,8 +10,8 @@ from pyspark.sql import types as T
 
 from creditloom import schemas as S
 from creditloom.functions import rules as R
-from creditloom.operators.quantiles import exact_quantiles
-from creditloom.runtime import BROADCAST_ROWS, local_table, materialize
+from creditloom.operators.quantiles import quantile_arrays
+from creditloom.runtime import materialize
 
 
 # --- performance roll-up ---------------------------------------------------------------------
@@ -126,15 +126,20 @@ def union_quarters(frames: list[DataFrame]) -> DataFrame:
 # --- portfolio-relative score ----------------------------------------------------------------
 
 
-def _attach(df: DataFrame, by: list[str], rows: list[tuple], fields: list[T.StructField]) -> DataFrame:
-    """Add per-group values (group columns first in each row) to every row of their group."""
+def _attach(df: DataFrame, by: list[str], values: DataFrame) -> DataFrame:
+    """Add per-group values to every row of their group; ``values`` has the group columns first.
+
+    The values are written once, so their real size decides how they travel: a table of many groups is an ordinary
+    join, in which a group that holds much of the table is split.
+    """
+    values = materialize(values, "group-values")
+    fields = values.schema.fields[len(by) :]
     if not by:  # a single group: its values are constants
-        values = rows[0] if rows else [None] * len(fields)
-        return df.withColumns({f.name: F.lit(v).cast(f.dataType) for f, v in zip(fields, values)})
-    keys = [T.StructField(f"__by_{f.name}", f.dataType) for f in df.select(*by).schema]
-    table = local_table(df.sparkSession, rows, T.StructType([*keys, *fields]))
+        row = values.first()
+        return df.withColumns({f.name: F.lit(row[f.name] if row else None).cast(f.dataType) for f in fields})
+    table = values.withColumnsRenamed({b: f"__by_{b}" for b in by})
     match = reduce(lambda a, b: a & b, [df[c].eqNullSafe(table[f"__by_{c}"]) for c in by])
-    return df.join(table, match, "left").drop(*[k.name for k in keys])
+    return df.join(table, match, "left").drop(*[f"__by_{b}" for b in by])
 
 
 def add_norms(df: DataFrame, by: list[str] = ("quarter",)) -> DataFrame:
@@ -146,16 +151,12 @@ def add_norms(df: DataFrame, by: list[str] = ("quarter",)) -> DataFrame:
     bounds = df.groupBy(*by).agg(
         *[f(c).alias(f"__{f.__name__}_{c}") for c in S.BSS_COMPONENTS for f in (F.min, F.max)]
     )
-    rows = bounds.limit(BROADCAST_ROWS + 1).collect()
-    if len(rows) > BROADCAST_ROWS:
-        raise ValueError(f"{by} has more than {BROADCAST_ROWS} groups")
-    fields = bounds.schema.fields[len(by) :]
-    out = _attach(df, by, [tuple(r) for r in rows], fields)
+    out = _attach(df, by, bounds)
     for c, (_, inverted) in S.BSS_COMPONENTS.items():
         low, high = F.col(f"__min_{c}"), F.col(f"__max_{c}")
         norm = F.try_divide((F.col(c) - low).cast("double"), (high - low).cast("double"))
         out = out.withColumn(f"{c}_norm", 1 - norm if inverted else norm)
-    return out.drop(*[f.name for f in fields])
+    return out.drop(*[f"__{f}_{c}" for c in S.BSS_COMPONENTS for f in ("min", "max")])
 
 
 def quantile_buckets(
@@ -173,19 +174,12 @@ def quantile_buckets(
     """
     by = list(by)
     q = len(labels)
-    found = exact_quantiles(df, [column], [i / q for i in range(q + 1)], by=by)
-    edges: dict[tuple, list[float]] = {}
-    for row in found:
-        edges.setdefault(row.group, []).append(row.value)
-    rows = []
-    for group, values in edges.items():
-        if None in values:
-            continue  # nothing but nulls in this group
-        if len(set(values)) != len(values):
-            raise ValueError(f"bucket edges of {column} must be unique, group {group}: {values}")
-        rows.append((*group, *values[1:q]))
-    fields = [T.StructField(f"__edge_{i}", T.DoubleType()) for i in range(1, q)]
-    out = _attach(df, by, rows, fields)
+    found = materialize(quantile_arrays(df, [column], [i / q for i in range(q + 1)], by), "bucket-edges")
+    wrong = found.where(F.size(F.array_distinct("q")) < q + 1).first()
+    if wrong:
+        raise ValueError(f"bucket edges of {column} must be unique, group {wrong['g']}: {wrong['q']}")
+    edges = found.select(*[F.col("g")[b].alias(b) for b in by], *[F.get("q", F.lit(i)).alias(f"__edge_{i}") for i in range(1, q)])
+    out = _attach(df, by, edges)
     value, number = F.col(column), F.lit(q)
     for i in reversed(range(1, q)):
         number = F.when(value <= F.col(f"__edge_{i}"), F.lit(i)).otherwise(number)

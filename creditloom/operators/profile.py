@@ -10,8 +10,8 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from creditloom.functions.rules import non_numeric_columns, numeric_columns
-from creditloom.operators.quantiles import exact_quantiles, sketch_columns
-from creditloom.runtime import ident, number, quoted, to_long
+from creditloom.operators.quantiles import exact_quantiles, moments, quantile_arrays
+from creditloom.runtime import ident, materialize, number, quoted, to_long
 
 QUARTILES = [0.25, 0.5, 0.75]
 
@@ -43,18 +43,13 @@ def numeric_summary(df: DataFrame, columns: list[str] | None = None, by: list[st
     """count, mean, sample std, min, quartiles and max of each numeric column, optionally per group."""
     by = list(by)
     columns = columns or [c for c in numeric_columns(df) if c not in by]
-    sketches = sketch_columns(df, columns, QUARTILES, by)
-    quartiles: dict[tuple, list] = {}
-    for q in exact_quantiles(df, columns, QUARTILES, by, sketches=sketches):
-        quartiles.setdefault((q.group, q.column), []).append(q.value)
-    rows = [
-        (*group, c, s["n"], s["mean"], s["std"], s["min"], *quartiles[group, c], s["max"])
-        for (group, c), s in sketches.items()
-    ]
-    schema = df.select(*by).schema.add("column", T.StringType()).add("count", T.LongType())
-    for name in ("mean", "std", "min", "q25", "q50", "q75", "max"):
-        schema = schema.add(name, T.DoubleType())
-    return df.sparkSession.createDataFrame(rows, schema)
+    quartiles = quantile_arrays(df, columns, QUARTILES, by).select("g", "column", "q")
+    # both sides have one row for each group and column
+    both = moments(df, columns, by).join(quartiles, ["g", "column"], "left")
+    return both.select(
+        *[F.col("g")[b].alias(b) for b in by], "column", F.col("n").alias("count"), "mean", "std", F.col("low").alias("min"),
+        *[F.get("q", F.lit(i)).alias(f"q{round(100 * p)}") for i, p in enumerate(QUARTILES)], F.col("high").alias("max"),
+    )
 
 
 def _value_counts(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -1,207 +1,146 @@
-"""Exact quantiles of large, possibly continuous columns.
-
-Built-in exact percentiles hold every distinct value of a group in one task. Here a mergeable
-sketch first brackets each wanted order statistic; a second pass then counts what lies below the
-bracket and ranks only the values inside it. Equal values are counted before they are shuffled, so
-a single value that fills a third of the table costs one row.
+"""Exact quantiles of large, possibly continuous columns, for any number of groups.
+
+Built-in exact percentiles hold every distinct value of a group in one task. Here order statistics are found by radix
+selection on the 64-bit pattern of the doubles, written as a number of the same order. A pass counts the values of
+all groups and columns by their next 20 bits, in one aggregation that combines before its shuffle; the buckets that
+hold a wanted rank stay open for the next pass, unless all their values are equal. Columns of few distinct values are
+settled by one pass, continuous ones mostly by two, and after four no bit is left. Groups, counts and open buckets are
+tables throughout; a group has at most 2**20 buckets in a pass, however many rows it has.
 """
 
 from __future__ import annotations
 
-import math
 from collections import namedtuple
-from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from creditloom.runtime import ident, local_table, number
+from creditloom.runtime import ident, materialize, number, quoted
 
-Quantile = namedtuple("Quantile", "group column prob value n")
+Quantile = namedtuple("Quantile", "column prob value n")
 
-ACCURACY = 10_000
-MAX_GROUPS = 10_000
-# Half-widths of the bracket around a probability, narrowest first. The sketch errs by at most
-# 1/ACCURACY of the rows; small groups need a wider share to cover whole ranks.
-_WIDTHS = (3e-4, 3e-3, 3e-2)
+#: Low bits that a pass leaves out.
+_SHIFTS = (44, 24, 4, 0)
+_LEAST_NORMAL = "2.2250738585072014E-308D"
 
 
-def exact_quantiles(
-    df: DataFrame,
-    columns: list[str],
-    probs: list[float],
-    by: list[str] = (),
-    max_groups: int = MAX_GROUPS,
-    sketches: dict[tuple, dict] | None = None,
-) -> list[Quantile]:
-    """Linearly interpolated quantiles of the non-null values, per group and column.
+def ordered_bits(value: str) -> str:
+    """SQL for a BIGINT that orders like the double ``value``: its bit pattern, negative numbers mirrored.
 
-    Returns one entry per (group, column, probability), ordered by probability within a column;
-    ``value`` is None where a group has no values. Columns of few distinct values are settled by one
-    scan; the others take two more.
+    Both zeros are one value and NaN is the largest, as in comparisons. Every step is exact.
     """
-    by = list(by)
-    sketches = sketches or sketch_columns(df, columns, probs, by, max_groups)
-    exact: dict[tuple, float] = {}
-    wanted: dict[tuple, dict[str, tuple[int, int]]] = {}
-    for (group, c), stats in sketches.items():
-        for p in probs:
-            position = (stats["n"] - 1) * p
-            ranks = (math.floor(position), math.ceil(position))
-            for rank in ranks:
-                if rank == 0:
-                    exact[group, c, 0] = stats["min"]
-                elif rank == stats["n"] - 1:
-                    exact[group, c, rank] = stats["max"]
-                elif stats["n"]:
-                    low, high = _bracket(stats, p, 0)
-                    if low is not None and low == high:
-                        exact[group, c, rank] = low  # the bracket holds a single value
-            if stats["n"] and any((group, c, r) not in exact for r in ranks):
-                wanted[group, c, p] = ranks
-    width = 0
-    while wanted:
-        exact.update(_select(df, by, columns, probs, sketches, wanted, width))
-        wanted = {
-            k: ranks for k, ranks in wanted.items()
-            if any((k[0], k[1], r) not in exact for r in ranks)
-        }
-        width += 1  # whatever a bracket missed is looked for in a wider one, at last in all rows
-    return [
-        Quantile(group, c, p, _interpolate(exact, group, c, stats["n"], p), stats["n"])
-        for (group, c), stats in sketches.items()
-        for p in probs
-    ]
+    size = f"abs({value})"
+    # the logarithm may be off by one next to a power of two
+    guess = f"floor(log2({size}))"
+    exponent = f"({guess} + CASE WHEN {size} < pow(2D, {guess}) THEN -1 WHEN {size} >= 2 * pow(2D, {guess}) THEN 1 ELSE 0 END)"
+    normal = f"shiftleft(CAST({exponent} + 1023 AS BIGINT), 52) + CAST(({size} / pow(2D, {exponent}) - 1) * 4503599627370496D AS BIGINT)"
+    small = f"CAST({size} * {2.0**537!r}D * {2.0**537!r}D AS BIGINT)"
+    pattern = (
+        f"CASE WHEN isnan({value}) THEN shiftleft(2047L, 52) + 1 WHEN {size} = double('infinity') THEN shiftleft(2047L, 52) "
+        f"WHEN {size} < {_LEAST_NORMAL} THEN {small} ELSE {normal} END"
+    )
+    return f"CASE WHEN {value} < 0 THEN -1 - ({pattern}) ELSE {pattern} END"
+
+
+def _group(by: list[str]) -> Column:
+    """All group columns as one value, so that nulls match in joins; a table without groups is one group."""
+    return F.struct(*[F.col(ident(b)) for b in by]) if by else F.struct(F.lit(0).alias("all"))
+
+
+def _values(df: DataFrame, columns: list[str], by: list[str], used: list[int]) -> DataFrame:
+    """(g, c, v, key): the non-null values of the columns with the numbers ``used``."""
+    cells = ", ".join(f"named_struct('c', {i}, 'v', CAST({ident(columns[i])} AS DOUBLE))" for i in used)
+    long = df.select(_group(by).alias("g"), F.expr(f"inline(array({cells}))")).where("v IS NOT NULL")
+    return long.withColumn("key", F.expr(ordered_bits("v")))
+
+
+def _ranks(probs: list[float]) -> Column:
+    """Ranks from 0 that the interpolation of ``probs`` needs, among ``total`` values."""
+    marks = ", ".join(f"floor((total - 1) * {number(p)}), ceil((total - 1) * {number(p)})" for p in probs)
+    return F.expr(f"array_distinct(array({marks}))")
+
+
+def order_statistics(df: DataFrame, columns: list[str], probs: list[float], by: list[str] = ()) -> DataFrame:
+    """(g, c, total, rank, v): every value that ``probs`` need, by group struct and column number."""
+    by, settled = list(by), []
+    open_: DataFrame | None = None
+    used = list(range(len(columns)))
+    for level, shift in enumerate(_SHIFTS):
+        values = _values(df, columns, by, used).withColumn("bits", F.shiftright("key", shift))
+        sums = (F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+        if open_ is None:
+            counts = materialize(values.groupBy("g", "c", "bits").agg(*sums), "quantile-counts")
+            whole = Window.partitionBy("g", "c")
+            counts = counts.select("*", F.sum("n").over(whole).alias("total"), F.lit(0).cast("long").alias("below")).withColumn("ranks", _ranks(probs))
+            within = whole
+        else:
+            values = values.withColumn("parent", F.shiftright("key", _SHIFTS[level - 1]))
+            inside = values.join(open_.select("g", "c", "parent"), ["g", "c", "parent"])
+            counts = materialize(inside.groupBy("g", "c", "parent", "bits").agg(*sums), "quantile-counts")
+            counts = counts.join(open_, ["g", "c", "parent"])
+            within = Window.partitionBy("g", "c", "parent")
+        upto = F.sum("n").over(within.orderBy("bits").rowsBetween(Window.unboundedPreceding, 0))
+        placed = counts.withColumn("end", F.col("below") + upto)
+        hit = placed.withColumn("ranks", F.filter("ranks", lambda r: (r >= F.col("end") - F.col("n")) & (r < F.col("end")))).where(F.size("ranks") > 0)
+        hit = materialize(hit.select("g", "c", "bits", "total", "ranks", (F.col("end") - F.col("n")).alias("below"), "low", "high"), "quantile-buckets")
+        same = F.col("low").eqNullSafe(F.col("high")) if shift else F.lit(True)
+        settled.append(hit.where(same).select("g", "c", "total", F.explode("ranks").alias("rank"), F.col("low").alias("v")))
+        open_ = hit.where(~same).select("g", "c", F.col("bits").alias("parent"), "total", "ranks", "below")
+        used = sorted(r["c"] for r in open_.select("c").distinct().collect())  # at most one row for each column
+        if not used:
+            break
+    out = settled[0]
+    for part in settled[1:]:
+        out = out.unionByName(part)
+    return out
 
 
-def exact_medians(df: DataFrame, columns: list[str]) -> dict[str, float | None]:
-    return {q.column: q.value for q in exact_quantiles(df, columns, [0.5])}
+def quantile_arrays(df: DataFrame, columns: list[str], probs: list[float], by: list[str] = ()) -> DataFrame:
+    """(g, column, n, q): the linearly interpolated quantiles of each group and column, in the order of ``probs``.
 
+    Groups and columns without a value have no row. ``g`` is a struct of the group columns.
+    """
+    found = order_statistics(df, columns, probs, by).groupBy("g", "c", "total").agg(F.map_from_entries(F.collect_list(F.struct("rank", "v"))).alias("at"))
+    items = []
+    for p in probs:
+        place = f"(total - 1) * {number(p)}"
+        low, high = f"at[floor({place})]", f"at[ceil({place})]"
+        # equal neighbours need no arithmetic, which would turn infinite ones into NaN
+        items.append(f"CASE WHEN {low} = {high} THEN {low} ELSE {low} + ({high} - {low}) * ({place} - floor({place})) END")
+    names = "array(" + ", ".join(quoted(c) for c in columns) + ")"
+    return found.selectExpr("g", f"{names}[c] AS column", "total AS n", f"array({', '.join(items)}) AS q")
+
+
+def quantile_table(df: DataFrame, columns: list[str], probs: list[float], by: list[str] = ()) -> DataFrame:
+    """Group columns, column, prob, value, n: one row for each quantile of the non-null values."""
+    made = quantile_arrays(df, columns, probs, by)
+    marks = F.array(*[F.lit(float(p)) for p in probs])
+    flat = made.select("g", "column", "n", F.posexplode("q").alias("i", "value"))
+    return flat.select(*[F.col("g")[b].alias(b) for b in by], "column", F.get(marks, "i").alias("prob"), "value", "n")
+
+
+def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float]) -> list[Quantile]:
+    """Quantiles over the whole table, by column and probability; None and a count of 0 for a column without values."""
+    if not columns:
+        return []
+    # one row for each column
+    found = {r["column"]: r for r in quantile_arrays(df, columns, probs).collect()}
+    return [Quantile(c, p, found[c]["q"][i] if c in found else None, found[c]["n"] if c in found else 0) for c in columns for i, p in enumerate(probs)]
 
-def _interpolate(exact: dict, group: tuple, column: str, n: int, p: float) -> float | None:
-    if not n:
-        return None
-    position = (n - 1) * p
-    low = exact[group, column, math.floor(position)]
-    high = exact[group, column, math.ceil(position)]
-    return low + (high - low) * (position - math.floor(position))
-
-
-def _value(column: str) -> str:
-    return f"CAST({ident(column)} AS DOUBLE)"
-
-
-def sketch_columns(
-    df: DataFrame, columns: list[str], probs: list[float], by: list[str] = (), max_groups: int = MAX_GROUPS
-) -> dict[tuple, dict]:
-    """(group, column) -> count, moments, range and approximate quantiles around ``probs``: one scan."""
-    marks = sorted({min(max(p + s * w, 0.0), 1.0) for p in probs for w in _WIDTHS for s in (-1, 1)})
-    wanted_marks = "array(" + ", ".join(number(m) for m in marks) + ")"
-    aggregates = []
-    for i, c in enumerate(columns):
-        v = _value(c)
-        aggregates.append(
-            F.expr(
-                f"named_struct('n', count({v}), 'mean', avg({v}), 'std', stddev_samp({v}), 'min', min({v}), "
-                f"'max', max({v}), 'marks', percentile_approx({v}, {wanted_marks}, {ACCURACY}))"
-            ).alias(f"s{i}")
-        )
-    rows = df.groupBy(*by).agg(*aggregates).limit(max_groups + 1).collect()
-    if len(rows) > max_groups:
-        raise ValueError(f"{by} has more than {max_groups} groups")
-    out = {}
-    for row in rows:
-        for i, c in enumerate(columns):
-            stats = row[f"s{i}"].asDict()
-            stats["marks"] = dict(zip(marks, stats["marks"] or []))
-            out[tuple(row[b] for b in by), c] = stats
-    return out
+
+def exact_medians(df: DataFrame, columns: list[str]) -> dict[str, float | None]:
+    return {q.column: q.value for q in exact_quantiles(df, columns, [0.5])}
 
 
-def _bracket(stats: dict, p: float, width: int) -> tuple[float | None, float | None]:
-    """Value range that holds the order statistics of ``p``; None leaves that side open."""
-    for w in _WIDTHS[width:]:
-        # room for the sketch error and for rounding to whole ranks
-        if (w - 1 / ACCURACY) * stats["n"] >= 2:
-            low, high = p - w, p + w
-            marks = stats["marks"]
-            return (marks[low] if low > 0 else None, marks[high] if high < 1 else None)
-    return None, None
-
-
-def _select(df, by, columns, probs, sketches, wanted, width) -> dict[tuple, float]:
-    slots = [(c, p) for c in columns for p in probs if any(k[1:] == (c, p) for k in wanted)]
-    schema = T.StructType(df.select(*by).schema.fields)
-    for i in range(len(slots)):
-        for name in (f"on{i}", f"low{i}", f"high{i}"):
-            schema = schema.add(f"__{name}", T.BooleanType() if name.startswith("on") else T.DoubleType())
-    rows = []
-    for group in {k[0] for k in wanted}:
-        cells: list = list(group)
-        for c, p in slots:
-            on = (group, c, p) in wanted
-            cells += [on, *(_bracket(sketches[group, c], p, width) if on else (None, None))]
-        rows.append(tuple(cells))
-
-    if by:
-        table = local_table(df.sparkSession, rows, schema)
-        table = table.withColumnsRenamed({b: f"__by_{b}" for b in by})
-        match = reduce(lambda a, b: a & b, [df[b].eqNullSafe(table[f"__by_{b}"]) for b in by])
-        keyed = df.join(table, match).select(
-            *by, *set(columns), *[f"__{n}{i}" for i in range(len(slots)) for n in ("on", "low", "high")]
+def moments(df: DataFrame, columns: list[str], by: list[str] = ()) -> DataFrame:
+    """(g, column, n, mean, std, low, high) of every group and column, also of those without values: one scan."""
+    cells = []
+    for c in columns:
+        v = f"CAST({ident(c)} AS DOUBLE)"
+        cells.append(
+            f"named_struct('column', {quoted(c)}, 'n', count({v}), 'mean', avg({v}), 'std', stddev_samp({v}), 'low', min({v}), 'high', max({v}))"
         )
-    else:
-        keyed = df
-
-    inside, below = [], []
-    for i, (c, _) in enumerate(slots):
-        v = _value(c)
-        if by:
-            fits = f"__on{i} AND (__low{i} IS NULL OR {v} >= __low{i}) AND (__high{i} IS NULL OR {v} <= __high{i})"
-            under = f"{v} < __low{i}"
-        else:  # a single group: its bounds are constants
-            _, low, high = rows[0][3 * i : 3 * i + 3]
-            fits = " AND ".join(
-                ["true"] + ([f"{v} >= {number(low)}"] if low is not None else [])
-                + ([f"{v} <= {number(high)}"] if high is not None else [])
-            )
-            under = f"{v} < {number(low)}" if low is not None else "false"
-        inside.append(f"CASE WHEN {v} IS NOT NULL AND {fits} THEN named_struct('slot', {i}, 'v', {v}) END")
-        below.append(f"named_struct('slot', {i}, 'below', count_if({under}))")
-    names = [f"__g{j}" for j in range(len(by))]
-    groups = [F.col(b).alias(n) for b, n in zip(by, names)]
-    counted = (
-        keyed.select(*groups, F.expr(f"explode(array_compact(array({', '.join(inside)})))").alias("e"))
-        .groupBy(*names, F.col("e.slot").alias("slot"), F.col("e.v").alias("v"))
-        .count()
-    )
-    running = Window.partitionBy(*names, "slot").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counted.withColumn("upto", F.sum("count").over(running))
-    offsets = keyed.groupBy(*groups).agg(F.expr(f"array({', '.join(below)})").alias("b")).select(*names, F.inline("b"))
-
-    ranks = [
-        (*group, slots.index((c, p)), rank)
-        for (group, c, p), pair in wanted.items() for rank in sorted(set(pair))
-    ]
-    rank_schema = T.StructType(
-        [T.StructField(n, f.dataType) for n, f in zip(names, df.select(*by).schema.fields)]
-    ).add("slot", T.IntegerType()).add("rank", T.LongType())
-    targets = local_table(df.sparkSession, ranks, rank_schema)
-    # both sides have one row per group and slot or rank: bounded by the group check above
-    same = [ranked[n].eqNullSafe(offsets[n]) for n in names] + [ranked["slot"] == offsets["slot"]]
-    placed = ranked.join(F.broadcast(offsets), reduce(lambda a, b: a & b, same)).select(
-        *[ranked[n] for n in names], ranked["slot"], "v",
-        (F.col("below") + F.col("upto") - F.col("count")).alias("first"),
-        (F.col("below") + F.col("upto")).alias("end"),
-    )
-    hit = [placed[n].eqNullSafe(targets[n]) for n in names] + [
-        placed["slot"] == targets["slot"], targets["rank"] >= placed["first"], targets["rank"] < placed["end"],
-    ]
-    picked = placed.join(targets, reduce(lambda a, b: a & b, hit)).select(
-        *[targets[n] for n in names], targets["slot"], "rank", "v"
-    )
-    return {
-        (tuple(r[n] for n in names), slots[r["slot"]][0], r["rank"]): r["v"] for r in picked.collect()
-    }
+    grouped = df.groupBy(_group(list(by)).alias("g")) if by else df.groupBy()
+    row = grouped.agg(F.expr(f"array({', '.join(cells)})").alias("cells"))
+    return row.select("g" if by else _group([]).alias("g"), F.inline("cells"))

@@ -106,35 +106,38 @@ def sample_cap(df: DataFrame, key: list[str], rows: int | None, seed: int = 42)
 # --- permutation -----------------------------------------------------------------------------
 
 
-def permute_columns(
-    df: DataFrame,
-    columns: list[str],
-    key: list[str],
-    seed: int = 42,
-    rows_per_group: int = 2_000,
-    suffix: str = "__permuted",
-) -> DataFrame:
+def permute_columns(df: DataFrame, columns: list[str], key: list[str], seed: int = 42, suffix: str = "__permuted") -> DataFrame:
     """Add a permuted copy of each column, every other column staying where it is.
 
-    Rows fall into random groups of about ``rows_per_group`` and into a random order within their
-    group. The first column is handed on by one place, the second by two and so on, around the group.
-    All columns share one shuffle and one order, and no group grows with the table.
+    All rows stand in one circle, in the order of a hash of their (unique) key. The first column is handed on by one
+    place, the second by two and so on. The circle is cut into ranges; each range also gets the rows that follow its
+    last one, as many as there are columns, so all columns share one order and no task sees more than one range.
     """
-    groups = max(1, math.ceil(df.count() / rows_per_group))
-    hashed = row_hash(key, seed)
-    group = F.pmod(F.conv(F.substring(hashed, 1, 8), 16, 10).cast("bigint"), F.lit(groups))
-    placed = (
-        df.withColumn("__group", group).withColumn("__hash", hashed)
-        .withColumn("__place", F.row_number().over(Window.partitionBy("__group").orderBy("__hash")))
-        .withColumn("__size", F.count("*").over(Window.partitionBy("__group")))
-    )
-    # the first rows of a group are repeated behind its last one, so that a plain lead goes around
-    circle = placed.withColumn(
-        "__at", F.explode(F.sequence("__place", F.col("__size") + len(columns), F.col("__size")))
+    p = len(columns)
+    ranged = materialize(
+        df.withColumn("__hash", row_hash(key, seed)).repartitionByRange("__hash").withColumn("__range", F.spark_partition_id()), "circle"
     )
-    walk = Window.partitionBy("__group").orderBy("__at")
-    moved = circle.withColumns({c + suffix: F.lead(c, i).over(walk) for i, c in enumerate(columns, 1)})
-    return moved.where(F.col("__at") == F.col("__place")).drop("__group", "__hash", "__place", "__size", "__at")
+    walk = Window.partitionBy("__range").orderBy("__hash")
+    # only what is moved goes on ahead; rows of the ranges' beginnings are found again by their place
+    heads = ranged.select("__range", "__hash", *columns).withColumn("__place", F.row_number().over(walk)).where(F.col("__place") <= p)
+    # one row for each range
+    sizes = {r["__range"]: r["n"] for r in ranged.groupBy("__range").agg(F.count("*").alias("n")).collect()}
+    order = sorted(sizes)
+    after: list[tuple[int, int, int, int]] = []
+    for i, to in enumerate(order):
+        given, at = 0, i + 1
+        while given < p:
+            source = order[at % len(order)]
+            for place in range(1, min(sizes[source], p - given) + 1):
+                given += 1
+                after.append((source, place, to, given))
+            at += 1
+    plan = df.sparkSession.createDataFrame(after, "__range int, __place int, __to int, __behind int")
+    behind = heads.join(plan, ["__range", "__place"]).select(F.col("__to").alias("__range"), "__behind", *columns)
+    both = ranged.withColumn("__behind", F.lit(0)).unionByName(behind, allowMissingColumns=True)
+    on = Window.partitionBy("__range").orderBy("__behind", "__hash")
+    moved = both.withColumns({c + suffix: F.lead(c, i).over(on) for i, c in enumerate(columns, 1)})
+    return moved.where("__behind = 0").drop("__range", "__hash", "__behind")
 
 
 # --- running totals --------------------------------------------------------------------------

@@ -11,11 +11,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Largest fitted table that is shipped to every executor. Rows are short (a key and a few numbers),
-# so this stays in the tens of megabytes.
-BROADCAST_ROWS = 200_000
-
-
 def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder for intermediates, as named by the cluster in ``spark.checkpoint.dir``.
 
@@ -68,15 +63,9 @@ def local_table(spark: SparkSession, rows: list, schema: T.StructType | str) ->
     return F.broadcast(spark.createDataFrame(rows, schema))
 
 
-def lookup_table(df: DataFrame, label: str, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Fitted lookup that is computed once and broadcast only if it is proven small.
-
-    Up to ``max_rows`` rows the table becomes a broadcast; beyond, it is written out and joined by
-    whatever strategy the optimizer picks from its real size.
-    """
-    stored = materialize(df, label)
-    # the row count comes from Parquet footers
-    return F.broadcast(stored) if stored.count() <= max_rows else stored
+def lookup_table(df: DataFrame, label: str) -> DataFrame:
+    """Fitted lookup that is computed once. Its written size tells the optimizer whether it can be broadcast."""
+    return materialize(df, label)
 
 
 # Wide reports hold hundreds of expressions. They are written as SQL text: one call per expression

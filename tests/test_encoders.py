@@ -3,7 +3,6 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from creditloom import runtime
 from creditloom.operators import encoders
 
 
@@ -50,17 +49,37 @@ def test_preprocessor_linear_and_tree(spark):
         encoders.TabularPreprocessor("other")
 
 
-def test_category_lists_are_size_checked(spark, monkeypatch):
-    monkeypatch.setattr(encoders, "MAX_CATEGORIES", 3)
-    with pytest.raises(ValueError):
-        encoders.category_lists(spark.range(10).select(F.col("id").cast("string").alias("c")), ["c"])
-
-
-@pytest.mark.parametrize("broadcast_rows", [200_000, 1])
-def test_target_encoding_by_brute_force(spark, monkeypatch, broadcast_rows):
-    monkeypatch.setattr(runtime.lookup_table, "__defaults__", (broadcast_rows,))
+def test_dictionary_is_sorted_and_dense(spark):
+    rng = np.random.default_rng(8)
+    words = [f"{x:x}é" for x in rng.integers(0, 10**6, 3000)] + ["UNKNOWN"] * 3000 + [None] * 50
+    df = spark.createDataFrame([(i, w, "k") for i, w in enumerate(words)], "id int, c string, d string")
+    made = encoders.fit_categories(df.repartition(9), ["c", "d"])
+    order = sorted(set(words) - {None})
+    assert made.values("c") == order and made.values("d") == ["k"] and made.sizes == {"c": len(order), "d": 1}
+    assert made.common == {"c": {"UNKNOWN": float(order.index("UNKNOWN"))}, "d": {"k": 0.0}}
+    other = spark.createDataFrame([(-1, "new", None)], df.schema)
+    for r in encoders.ordinal_encode(df.unionByName(other), made).collect():
+        assert r["c_code"] == (order.index(r["c"]) if r["c"] in order else -1) and r["d_code"] == (0 if r["d"] else -1)
+    assert encoders.fit_categories(df.where("id < 0"), ["c"]).sizes == {"c": 0}
+    few = encoders.fit_categories(df, ["c"], min_count=2)
+    assert few.values("c") == sorted({w for w in words if w and words.count(w) > 1})
+
+
+def test_a_million_categories_and_a_hot_one(spark):
+    """Half of the rows are UNKNOWN; the rest is one value in a million each. No join takes the hot value."""
+    n = 1_000_000
+    df = spark.range(2 * n).select("id", F.when(F.col("id") < n, F.concat(F.lit("v"), F.lpad(F.col("id").cast("string"), 7, "0"))).otherwise("UNKNOWN").alias("c"))
+    made = encoders.fit_categories(df, ["c"])
+    assert made.sizes == {"c": n + 1} and made.common == {"c": {"UNKNOWN": 0.0}}
+    coded = encoders.ordinal_encode(df, made)
+    wrong = coded.where(F.col("c_code") != F.when(F.col("id") < n, F.col("id") + 1).otherwise(0))
+    assert wrong.count() == 0 and coded.count() == 2 * n
+
+
+def test_target_encoding_by_brute_force(spark):
     pdf, df = small(spark)
-    pdf["y"] = np.sin(pdf.id) + pdf.cat.map({"A": 1, "B": 5, "C": 9, "rare": 30})
+    pdf["cat"] = [f"own{i}" if i % 3 == 0 else c for i, c in enumerate(pdf["cat"])]  # common and rare values
+    pdf["y"] = np.sin(pdf.id) + pdf.cat.map({"A": 1, "B": 5, "C": 9, "rare": 30}).fillna(2)
     df = spark.createDataFrame(pdf)
     encoder = encoders.TargetEncoder(["cat"], "y", ["id"]).fit(df)
 

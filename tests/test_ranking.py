@@ -43,15 +43,25 @@ def test_sample_cap(spark):
         ranking.sample_cap(df.withColumn("k", F.lit(1)), ["k"], 10)
 
 
-@pytest.mark.parametrize("n, size", [(1, 10), (2, 10), (1000, 100), (777, 10_000)])
-def test_permutation_keeps_the_values_and_moves_them(spark, n, size):
-    df = spark.range(n).select("id", (F.col("id") * 3).alias("a"), F.when(F.col("id") % 3 != 0, F.col("id")).alias("b"))
-    out = ranking.permute_columns(df, ["a", "b"], ["id"], rows_per_group=size).toPandas()
-    assert len(out) == n and (out.a == out.id * 3).all()
-    assert sorted(out.a__permuted) == sorted(out.a)
-    assert sorted(out.b__permuted.dropna()) == sorted(out.b.dropna())
-    if n > 100:
-        assert (out.a__permuted != out.a).mean() > 0.9
+@pytest.mark.parametrize("n, parts", [(0, 4), (1, 4), (2, 4), (3, 1), (11, 40), (777, 3), (5000, 7)])
+def test_permutation_is_one_circle(spark, n, parts):
+    """Equals a rotation of the whole table, however many ranges it falls into and however few rows these have."""
+    df = spark.range(n).select("id", (F.col("id") * 3).alias("a"), F.when(F.col("id") % 3 != 0, F.col("id")).alias("b"), F.col("id").cast("string").alias("c"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = ranking.permute_columns(df, ["a", "b", "c"], ["id"]).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    circle = [r[0] for r in df.select("id", row_hash(["id"]).alias("h")).orderBy("h").collect()]
+    place = {x: i for i, x in enumerate(circle)}
+    assert len(out) == n
+    for r in out:
+        one, two, three = (circle[(place[r.id] + i) % n] for i in (1, 2, 3))
+        assert (r.a, r.c) == (r.id * 3, str(r.id))
+        assert (r.a__permuted, r.b__permuted, r.c__permuted) == (one * 3, two if two % 3 else None, str(three))
 
 
 def test_running_totals(spark):

@@ -55,39 +55,36 @@ def _values(df: DataFrame, columns: list[str], by: list[str], used: list[int]) -
     return long.withColumn("key", F.expr(ordered_bits("v")))
 
 
+def _marks(probs: list[float]) -> str:
+    return "array(" + ", ".join(number(p) for p in probs) + ")"
+
+
 def _ranks(probs: list[float]) -> Column:
     """Ranks from 0 that the interpolation of ``probs`` needs, among ``total`` values."""
-    marks = ", ".join(f"floor((total - 1) * {number(p)}), ceil((total - 1) * {number(p)})" for p in probs)
-    return F.expr(f"array_distinct(array({marks}))")
+    return F.expr(f"array_distinct(flatten(transform({_marks(probs)}, p -> array(floor((total - 1) * p), ceil((total - 1) * p)))))")
 
 
 def order_statistics(df: DataFrame, columns: list[str], probs: list[float], by: list[str] = ()) -> DataFrame:
     """(g, c, total, rank, v): every value that ``probs`` need, by group struct and column number."""
     by, settled = list(by), []
-    open_: DataFrame | None = None
+    asked: DataFrame | None = None  # ranks still looked for, each in the bucket ``parent`` that has ``below`` values before it
     used = list(range(len(columns)))
     for level, shift in enumerate(_SHIFTS):
         values = _values(df, columns, by, used).withColumn("bits", F.shiftright("key", shift))
-        sums = (F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
-        if open_ is None:
-            counts = materialize(values.groupBy("g", "c", "bits").agg(*sums), "quantile-counts")
-            whole = Window.partitionBy("g", "c")
-            counts = counts.select("*", F.sum("n").over(whole).alias("total"), F.lit(0).cast("long").alias("below")).withColumn("ranks", _ranks(probs))
-            within = whole
-        else:
-            values = values.withColumn("parent", F.shiftright("key", _SHIFTS[level - 1]))
-            inside = values.join(open_.select("g", "c", "parent"), ["g", "c", "parent"])
-            counts = materialize(inside.groupBy("g", "c", "parent", "bits").agg(*sums), "quantile-counts")
-            counts = counts.join(open_, ["g", "c", "parent"])
-            within = Window.partitionBy("g", "c", "parent")
-        upto = F.sum("n").over(within.orderBy("bits").rowsBetween(Window.unboundedPreceding, 0))
-        placed = counts.withColumn("end", F.col("below") + upto)
-        hit = placed.withColumn("ranks", F.filter("ranks", lambda r: (r >= F.col("end") - F.col("n")) & (r < F.col("end")))).where(F.size("ranks") > 0)
-        hit = materialize(hit.select("g", "c", "bits", "total", "ranks", (F.col("end") - F.col("n")).alias("below"), "low", "high"), "quantile-buckets")
+        values = values.withColumn("parent", F.shiftright("key", _SHIFTS[level - 1]) if level else F.lit(0).cast("long"))
+        if asked is not None:
+            values = values.join(asked.select("g", "c", "parent").distinct(), ["g", "c", "parent"])
+        counts = materialize(
+            values.groupBy("g", "c", "parent", "bits").agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")), "quantile-counts"
+        )
+        if asked is None:
+            totals = counts.groupBy("g", "c", "parent").agg(F.sum("n").alias("total"))
+            asked = totals.select("g", "c", "parent", "total", F.lit(0).cast("long").alias("below"), F.explode(_ranks(probs)).alias("rank"))
+        hit = materialize(_bucket_of_rank(counts, asked), "quantile-buckets")
         same = F.col("low").eqNullSafe(F.col("high")) if shift else F.lit(True)
-        settled.append(hit.where(same).select("g", "c", "total", F.explode("ranks").alias("rank"), F.col("low").alias("v")))
-        open_ = hit.where(~same).select("g", "c", F.col("bits").alias("parent"), "total", "ranks", "below")
-        used = sorted(r["c"] for r in open_.select("c").distinct().collect())  # at most one row for each column
+        settled.append(hit.where(same).select("g", "c", "total", "rank", F.col("low").alias("v")))
+        asked = hit.where(~same).select("g", "c", F.col("bits").alias("parent"), "total", "below", "rank")
+        used = sorted(r["c"] for r in asked.select("c").distinct().collect())  # at most one row for each column
         if not used:
             break
     out = settled[0]
@@ -96,20 +93,28 @@ def order_statistics(df: DataFrame, columns: list[str], probs: list[float], by:
     return out
 
 
+def _bucket_of_rank(counts: DataFrame, asked: DataFrame) -> DataFrame:
+    """The bucket of each asked rank: buckets and ranks stand in one order, and a rank is in the last bucket before it."""
+    within = Window.partitionBy("g", "c", "parent")
+    first = F.coalesce(F.sum("n").over(within.orderBy("bits").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    buckets = counts.withColumn("first", first).select("g", "c", "parent", F.col("first").alias("at"), F.struct("bits", "first", "low", "high").alias("b"))
+    both = buckets.unionByName(asked.withColumn("at", F.col("rank") - F.col("below")), allowMissingColumns=True)
+    upto = within.orderBy("at", F.col("rank").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("b", F.last("b", ignorenulls=True).over(upto)).where("rank IS NOT NULL")
+    return found.select("g", "c", "total", "rank", "b.bits", "b.low", "b.high", (F.col("below") + F.col("b.first")).alias("below"))
+
+
 def quantile_arrays(df: DataFrame, columns: list[str], probs: list[float], by: list[str] = ()) -> DataFrame:
     """(g, column, n, q): the linearly interpolated quantiles of each group and column, in the order of ``probs``.
 
     Groups and columns without a value have no row. ``g`` is a struct of the group columns.
     """
     found = order_statistics(df, columns, probs, by).groupBy("g", "c", "total").agg(F.map_from_entries(F.collect_list(F.struct("rank", "v"))).alias("at"))
-    items = []
-    for p in probs:
-        place = f"(total - 1) * {number(p)}"
-        low, high = f"at[floor({place})]", f"at[ceil({place})]"
-        # equal neighbours need no arithmetic, which would turn infinite ones into NaN
-        items.append(f"CASE WHEN {low} = {high} THEN {low} ELSE {low} + ({high} - {low}) * ({place} - floor({place})) END")
     names = "array(" + ", ".join(quoted(c) for c in columns) + ")"
-    return found.selectExpr("g", f"{names}[c] AS column", "total AS n", f"array({', '.join(items)}) AS q")
+    ends = f"transform({_marks(probs)}, p -> named_struct('a', at[floor((total - 1) * p)], 'b', at[ceil((total - 1) * p)], 'x', (total - 1) * p - floor((total - 1) * p)))"
+    # equal neighbours need no arithmetic, which would turn infinite ones into NaN
+    value = f"transform({ends}, e -> CASE WHEN e.a = e.b THEN e.a ELSE e.a + (e.b - e.a) * e.x END)"
+    return found.selectExpr("g", f"{names}[c] AS column", "total AS n", f"{value} AS q")
 
 
 def quantile_table(df: DataFrame, columns: list[str], probs: list[float], by: list[str] = ()) -> DataFrame:

@@ -14,6 +14,7 @@ from creditloom import runtime
 from creditloom import schemas as S
 from creditloom.functions import rules as R
 from creditloom.functions import serving as V
+from creditloom.models import persistence
 from creditloom.models import training as M
 from creditloom.operators import encoders, explain, loans, metrics, profile, quality, ranking
 from creditloom.plans import stages
@@ -907,9 +908,42 @@ def domain_check(spark, sf):
 
 
 # --- models -------------------------------------------------------------------------------------------------
-# Boosting rounds and depth are kept small here: a round is several Spark jobs whatever the data size.
+# Published settings. Models that several queries read are trained once for an application and loaded again.
 
-ROUNDS, DEPTH = 10, 4
+_TRAINED: dict[tuple[str, str, str], str] = {}
+
+
+def trained(spark: SparkSession, sf: str, name: str, train: Callable[[], M.Bundle]) -> M.Bundle:
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _TRAINED:
+        path = runtime.work_path(spark, name)
+        persistence.save_bundle(train(), path)
+        _TRAINED[key] = path
+    return persistence.load_bundle(spark, _TRAINED[key])
+
+
+def published_regressor(spark: SparkSession, sf: str, objective: str) -> M.Bundle:
+    def train() -> M.Bundle:
+        splits = lending_splits(spark, sf, objective)
+        return M.train_published_regressor(splits["train"], splits["valid"], objective)
+
+    return trained(spark, sf, f"published-{objective}", train)
+
+
+def class_term_model(spark: SparkSession, sf: str) -> M.Bundle:
+    def train() -> M.Bundle:
+        splits = {n: M.term_class_target(df) for n, df in lending_splits(spark, sf, "loan_term").items()}
+        return M.train_term_boosting(splits["train"], splits["valid"], patience=M.PUBLISHED_PATIENCE)
+
+    return trained(spark, sf, "term-classes", train)
+
+
+def stacked_model(spark: SparkSession, sf: str) -> M.StackedBundle:
+    def train() -> M.StackedBundle:
+        splits = lending_splits(spark, sf, "loan_amount")
+        return M.train_stacked(splits["train"], splits["valid"], [ID], patience=(40, 40))
+
+    return trained(spark, sf, "stacked", train)
 
 
 def stress_splits(spark, sf) -> dict[str, DataFrame]:
@@ -921,46 +955,44 @@ def stress_splits(spark, sf) -> dict[str, DataFrame]:
 @query
 def train_logistic(spark, sf):
     splits = stress_splits(spark, sf)
-    bundle = M.train_stress_logistic(splits["train"], max_iter=100)
+    bundle = M.train_stress_logistic(splits["train"])
     report = stages.stress_report(bundle, splits["test"])
     return metrics.metric_rows(report["metrics"]).unionByName(metrics.metric_rows(report["auc"].select("roc_auc")))
 
 
 @query
 def coefficient_table(spark, sf):
-    bundle = M.train_stress_logistic(stress_splits(spark, sf)["train"], max_iter=100)
+    bundle = M.train_stress_logistic(stress_splits(spark, sf)["train"])
     return explain.top_coefficients(bundle.coefficients(), 30)
 
 
 @query
 def train_gbt_classifier(spark, sf):
     splits = stress_splits(spark, sf)
-    bundle = M.train_stress_boosting(splits["train"], splits["valid"], max_iter=ROUNDS, depth=DEPTH)
+    bundle = M.train_stress_boosting(splits["train"], splits["valid"])
     return stages.stress_report(bundle, splits["test"])["metrics"]
 
 
 @query
 def train_gbt_regressor(spark, sf):
     parts = []
-    for objective, measure in (("loan_amount", "target"), ("interest_rate", "target")):
-        splits = lending_splits(spark, sf, objective)
-        bundle = M.train_tree_regressor(splits["train"], splits["valid"], ROUNDS, DEPTH)
-        row = metrics.regression_metrics(bundle.predict(splits["test"]), measure, "prediction")
+    for objective in ("loan_amount", "interest_rate"):
+        predicted = published_regressor(spark, sf, objective).predict(lending_splits(spark, sf, objective)["test"])
+        row = metrics.regression_metrics(predicted, "target", "prediction")
         parts.append(row.withColumn("objective", F.lit(objective)))
     return loans.union_quarters(parts)
 
 
 @query
 def train_term_classifier(spark, sf):
-    splits = {n: M.term_class_target(df) for n, df in lending_splits(spark, sf, "loan_term").items()}
-    bundle = M.train_term_forest(splits["train"], trees=ROUNDS, depth=DEPTH)
-    return metrics.classification_report(bundle.predict(splits["test"]), "target", "prediction")
+    test = M.term_class_target(lending_splits(spark, sf, "loan_term")["test"])
+    return metrics.classification_report(class_term_model(spark, sf).predict(test), "target", "prediction")
 
 
 @query
 def train_lending_suite(spark, sf):
     splits = {o: lending_splits(spark, sf, o) for o in S.LENDING_TARGETS}
-    suite = stages.lending_suite(splits, ROUNDS, ROUNDS, DEPTH)
+    suite = stages.lending_suite(splits, patience=10)
     parts = []
     for objective, (_, table) in suite.items():
         values = F.array(
@@ -972,36 +1004,40 @@ def train_lending_suite(spark, sf):
 
 @query
 def train_stacked(spark, sf):
-    splits = lending_splits(spark, sf, "loan_amount")
-    bundle = M.train_stacked(splits["train"], splits["valid"], [ID], ROUNDS, DEPTH)
-    return metrics.amount_metrics(bundle.predict(splits["test"]), "target", "prediction")
+    test = lending_splits(spark, sf, "loan_amount")["test"]
+    return metrics.amount_metrics(stacked_model(spark, sf).predict(test), "target", "prediction")
 
 
 @query
 def score_batch(spark, sf):
-    models = {}
-    for objective in S.LENDING_TARGETS:
-        train = lending_splits(spark, sf, objective)["train"]
-        models[objective] = M.train_term_forest(train, ROUNDS, DEPTH) if objective == "loan_term" else M.train_linear_regressor(train)
+    """Four choices of models, each application scored by the one it names."""
+    splits = {o: lending_splits(spark, sf, o) for o in S.LENDING_TARGETS}
+    linear = {o: M.train_linear_regressor(splits[o]["train"]) for o in ("loan_amount", "interest_rate")}
+    tree = {o: M.train_tree_regressor(splits[o]["train"], splits[o]["valid"], patience=10) for o in ("loan_amount", "interest_rate")}
+    classes, rate = class_term_model(spark, sf), published_regressor(spark, sf, "interest_rate")
+    terms = splits["loan_term"]["train"]
+    sets = {
+        "v4_stacked": M.ModelSet(stacked_model(spark, sf), classes, rate),
+        "v4_catboost": M.ModelSet(published_regressor(spark, sf, "loan_amount"), classes, rate),
+        "smart_tree": M.ModelSet(tree["loan_amount"], M.train_term_boosting(terms, None, 160, l2=0.1), tree["interest_rate"]),
+        "fast_linear": M.ModelSet(linear["loan_amount"], M.train_term_linear(terms), linear["interest_rate"]),
+    }
     accepted = V.validate_applications(applications(spark, sf)).where("accepted")
-    return M.score_applications(
-        V.application_features(accepted, keep=[ID]), [ID], models["loan_amount"], models["loan_term"], models["interest_rate"]
-    )
+    choices = F.array(*[F.lit(c) for c in S.MODEL_CHOICES], F.lit(None))
+    chosen = V.application_features(accepted, keep=[ID]).withColumn("model_selection", F.get(choices, F.pmod(key(), F.lit(5)).cast("int")))
+    return M.score_by_choice(chosen, [ID], sets)
 
 
 @query
 def feature_importance(spark, sf):
-    splits = lending_splits(spark, sf, "loan_amount")
-    return M.train_tree_regressor(splits["train"], splits["valid"], ROUNDS, DEPTH).feature_importance()
+    return published_regressor(spark, sf, "loan_amount").feature_importance()
 
 
 @query
 def model_attribution(spark, sf):
     splits = lending_splits(spark, sf, "loan_amount")
-    bundle = M.train_tree_regressor(splits["train"], None, ROUNDS, DEPTH)
-    background = ranking.sample_cap(splits["train"], [ID], 5)
-    names = S.LENDING_FEATURES
-    contributions = explain.sampled_attribution(splits["test"], background, bundle.predict, "prediction", names, [ID])
+    background = ranking.sample_cap(splits["train"], [ID], 100)
+    contributions = published_regressor(spark, sf, "loan_amount").attribution(splits["test"], background, [ID])
     return explain.attribution_rollup(contributions, [ID], 5)
 
 
@@ -1017,5 +1053,5 @@ def model_pdp_curve(spark, sf):
 @query
 def model_permutation_impact(spark, sf):
     splits = lending_splits(spark, sf, "loan_amount")
-    bundle = M.train_tree_regressor(splits["train"], None, ROUNDS, DEPTH)
+    bundle = published_regressor(spark, sf, "loan_amount")
     return explain.model_permutation_impact(splits["test"], bundle.predict, "prediction", S.LENDING_FEATURES, [ID])

@@ -28,6 +28,7 @@ from creditloom.operators.quantiles import exact_quantiles
 from creditloom.runtime import checkpoint_root, materialize
 
 _BLOCK = 8192  # rows
+_TASK_ROWS = 20_000
 _REFRESH = 8  # rounds between updates of the margins
 _CUT = 4  # updates between checkpoints
 _NODES = 16  # nodes whose sums travel together
@@ -251,7 +252,9 @@ class Boosting:
             y, w, v = np.frombuffer(r["y"]), np.frombuffer(r["w"]), np.frombuffer(r["v"], bool)
             return np.frombuffer(r["x"], np.uint8).reshape(len(y), len(edges)), y, w, v, np.tile(base, (len(y), 1))
 
-        return stored.rdd.map(arrays).persist(StorageLevel.MEMORY_AND_DISK)
+        # a small table is not worth many tasks for each level of a tree
+        tasks = -(-rows.count() // _TASK_ROWS)
+        return stored.coalesce(tasks).rdd.map(arrays).persist(StorageLevel.MEMORY_AND_DISK)
 
     def _boost(self, blocks, edges: list[np.ndarray], base: np.ndarray, validate: bool) -> BoostedModel:
         rounds: list[list[Tree]] = []

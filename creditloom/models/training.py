@@ -1,19 +1,17 @@
 """Stress, amount, term and rate models.
 
-Defaults are the published settings; iteration counts and depths are arguments because boosted trees
-build one Spark job per tree level.
+Defaults are the published settings. Boosted models take a validation frame and a patience; of their rounds the prefix
+that scores best on the validation frame is kept.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml.classification import (
-    GBTClassifier, LogisticRegression, RandomForestClassifier,
-)
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,9 +20,11 @@ from creditloom.functions import serving
 from creditloom.functions.rules import (
     interaction_features, non_numeric_columns, numeric_columns, prepare_frame,
 )
+from creditloom.models.boosting import BoostedModel, Boosting
+from creditloom.operators import explain
 from creditloom.operators.encoders import TabularPreprocessor, TargetEncoder, class_weights, positive_weight
 from creditloom.operators.explain import LinearScorer
-from creditloom.runtime import checkpoint_root, local_table
+from creditloom.runtime import checkpoint_root, local_table, materialize
 
 
 @dataclass
@@ -43,7 +43,8 @@ class Bundle:
         return scored.drop(*extra)
 
     def feature_importance(self) -> DataFrame:
-        weights = self.model.featureImportances.toArray().tolist()
+        boosted = isinstance(self.model, BoostedModel)
+        weights = (self.model.importances if boosted else self.model.featureImportances.toArray()).tolist()
         total = sum(weights) or 1.0
         rows = [(n, 100.0 * w / total) for n, w in zip(self.preprocessor.feature_names, weights)]
         return _session().createDataFrame(rows, "feature string, importance_pct double").orderBy(
@@ -65,6 +66,12 @@ class Bundle:
         frame = prepare_frame(df, self.preprocessor.numeric, self.preprocessor.categorical, keep=other)
         return frame.withColumns({c: self.preprocessor.scaler.filled(c) for c in self.preprocessor.numeric})
 
+    def attribution(self, df: DataFrame, background: DataFrame, keep: list[str]) -> DataFrame:
+        """Additive contributions of a boosted model, one row per (row, feature), against a bounded background sample."""
+        prep = self.preprocessor
+        sample = prep.assemble(background).select(vector_to_array("features").alias("x"))
+        return explain.array_attribution(prep.assemble(df), sample, self.model.scores, prep.feature_names, keep)
+
     def coefficients(self) -> DataFrame:
         names = self.preprocessor.feature_names
         rows = list(zip(names, self.model.coefficients.toArray().tolist()))
@@ -124,43 +131,39 @@ def train_stress_logistic(train: DataFrame, label: str = "stress_flag", max_iter
 
 
 def train_stress_boosting(
-    train: DataFrame, valid: DataFrame, label: str = "stress_flag",
-    max_iter: int = 500, depth: int = 10, learning_rate: float = 0.05,
+    train: DataFrame, valid: DataFrame | None, label: str = "stress_flag",
+    rounds: int = 500, depth: int = 10, learning_rate: float = 0.05, patience: int | None = 30,
 ) -> Bundle:
-    """Boosted trees with a weighted positive class, stopped early on the validation split."""
+    """Boosted trees with a weighted positive class; the prefix with the best validation AUC is kept."""
     frame, _, _ = stress_frame(train, label)
     prep = _fit_stress_preprocessor(frame, "tree")
     weight = F.when(F.col(label) == 1, F.lit(positive_weight(frame, label))).otherwise(F.lit(1.0))
-    both, flag = _with_validation(frame, stress_frame(valid, label)[0])
-    ready = prep.assemble(both.withColumn("class_weight", weight))
-    model = GBTClassifier(
-        labelCol=label, weightCol="class_weight", validationIndicatorCol=flag, maxIter=max_iter,
-        maxDepth=depth, stepSize=learning_rate, seed=42, checkpointInterval=10, cacheNodeIds=True,
-    )
-    return Bundle(prep, _cached_fit(model, ready.select("features", label, "class_weight", flag)), "boosting")
+    both, flag = _with_validation(frame, None if valid is None else stress_frame(valid, label)[0])
+    model = Boosting("logistic", rounds, depth, learning_rate, l2=3.0, patience=patience, metric="auc")
+    return Bundle(prep, model.fit(prep.assemble(both), label=label, weight=weight, validation=flag), "boosting")
 
 
 def stress_scores(bundle: Bundle, df: DataFrame, label: str = "stress_flag", keep: list[str] = ()) -> DataFrame:
     """Label, predicted class and probability of stress."""
     scored = bundle.model.transform(bundle.preprocessor.assemble(df))
+    chances = F.col("probability") if isinstance(bundle.model, BoostedModel) else vector_to_array("probability")
     return scored.select(
-        *keep, F.col(label).cast("int").alias("label"), F.col("prediction").cast("int").alias("prediction"),
-        vector_to_array("probability")[1].alias("score"),
+        *keep, F.col(label).cast("int").alias("label"), F.col("prediction").cast("int").alias("prediction"), chances[1].alias("score"),
     )
 
 
 # --- lending models ------------------------------------------------------------------------------------
 
 
-def ridge(df: DataFrame, alpha: float, label: str = "target", features: str = "features"):
+def ridge(df: DataFrame, alpha: float, label: str = "target", features: str = "features", solver: str = "normal"):
     """Ridge with an unpenalised intercept: minimises squared error + alpha * |w|^2.
 
-    Solved in closed form up to 4096 features, iteratively beyond.
+    ``solver`` "normal" is the closed form, for up to 4,096 features; "l-bfgs" iterates and takes any number.
     """
     row = df.agg(F.count("*").alias("n"), F.stddev_pop(label).alias("sd")).first()
     # MLlib divides the loss by n and works on a target scaled by its standard deviation
     return LinearRegression(
-        labelCol=label, featuresCol=features, solver="auto", elasticNetParam=0.0,
+        labelCol=label, featuresCol=features, solver=solver, elasticNetParam=0.0,
         regParam=alpha * (row["sd"] or 1.0) / row["n"], standardization=False,
     ).fit(df)
 
@@ -174,18 +177,24 @@ def train_linear_regressor(train: DataFrame, alpha: float = 10.0) -> Bundle:
         ready.unpersist()
 
 
+#: Rounds and patience of the two published regressors; the learning rate is 0.05, the depth 6.
+PUBLISHED_ROUNDS = {"loan_amount": 1500, "interest_rate": 1200}
+PUBLISHED_PATIENCE = 50
+
+
 def train_tree_regressor(
-    train: DataFrame, valid: DataFrame | None = None, max_iter: int = 180, depth: int = 6, learning_rate: float = 0.08
+    train: DataFrame, valid: DataFrame | None = None, rounds: int = 180, depth: int = 6, learning_rate: float = 0.08,
+    patience: int | None = None, l2: float = 0.1,
 ) -> Bundle:
+    """Boosted regression; with ``valid`` the best prefix of rounds is kept."""
     prep = TabularPreprocessor("tree").fit(train)
     both, flag = _with_validation(train, valid)
-    extra = {"validationIndicatorCol": flag} if flag else {}
-    model = GBTRegressor(
-        labelCol="target", maxIter=max_iter, maxDepth=depth, stepSize=learning_rate, seed=42,
-        checkpointInterval=10, cacheNodeIds=True, **extra,
-    )
-    ready = prep.assemble(both).select("features", "target", *([flag] if flag else []))
-    return Bundle(prep, _cached_fit(model, ready), "smart_tree")
+    model = Boosting("squared", rounds, depth, learning_rate, l2=l2, patience=patience)
+    return Bundle(prep, model.fit(prep.assemble(both), label="target", validation=flag), "smart_tree")
+
+
+def train_published_regressor(train: DataFrame, valid: DataFrame, objective: str) -> Bundle:
+    return train_tree_regressor(train, valid, PUBLISHED_ROUNDS[objective], 6, 0.05, PUBLISHED_PATIENCE, l2=3.0)
 
 
 def train_term_linear(train: DataFrame, max_iter: int = 1000) -> Bundle:
@@ -208,6 +217,23 @@ def train_term_linear(train: DataFrame, max_iter: int = 1000) -> Bundle:
     )
 
 
+def train_term_boosting(
+    train: DataFrame, valid: DataFrame | None = None, rounds: int = 500, depth: int = 6, learning_rate: float = 0.08,
+    patience: int | None = None, l2: float = 3.0,
+) -> Bundle:
+    """Multiclass boosting of the loan term: one tree for each class and round on softmax gradients.
+
+    Validation rows of a term that training does not know cannot be measured and are left out of the measure.
+    """
+    labelled = train.withColumn("target", F.col("target").cast("int")).where("target is not null")
+    prep = TabularPreprocessor("tree").fit(labelled)
+    terms = sorted(r[0] for r in labelled.groupBy("target").count().collect())  # one row per term
+    both, flag = _with_validation(labelled, None if valid is None else valid.withColumn("target", F.col("target").cast("int")))
+    model = Boosting("softmax", rounds, depth, learning_rate, l2=l2, classes=len(terms), patience=patience)
+    ready = _term_frame(prep, both, terms).where("label >= 0")
+    return TermBundle(prep, model.fit(ready, validation=flag), "smart_tree", terms)
+
+
 def train_term_forest(train: DataFrame, trees: int = 160, depth: int = 10) -> Bundle:
     """Tree-ensemble classifier of the loan term (classes are the distinct targets)."""
     labelled = train.withColumn("target", F.col("target").cast("int"))
@@ -277,7 +303,7 @@ class StackedBundle:
 
     def base_predictions(self, df: DataFrame, unknown_msa: bool = False) -> DataFrame:
         ready = self.features(df, unknown_msa=unknown_msa)
-        both = self.second.transform(self.first.transform(ready))
+        both = self.second.transform(self.first.transform(ready, "features_a", "pred_a"), "features_b", "pred_b")
         return VectorAssembler(inputCols=["pred_a", "pred_b"], outputCol="meta").transform(both)
 
     def predict(self, df: DataFrame, output: str = "prediction", unknown_msa: bool = False) -> DataFrame:
@@ -286,10 +312,13 @@ class StackedBundle:
 
 
 def train_stacked(
-    train: DataFrame, valid: DataFrame, key: list[str], max_iter: int = 1000, depth: int = 6,
-    learning_rate: float = 0.05, alpha: float = 1.0,
+    train: DataFrame, valid: DataFrame, key: list[str], rounds: int = 1000, depth: int = 6,
+    learning_rate: float = 0.05, alpha: float = 1.0, patience: tuple[int | None, int | None] = (40, None),
 ) -> StackedBundle:
-    """Stacked amount model; ``key`` identifies rows for the encoder's cross-fitting folds."""
+    """Stacked amount model; ``key`` identifies rows for the encoder's cross-fitting folds.
+
+    ``patience`` holds for the first and the second base model; without one a model has all its rounds.
+    """
     frame = stacking_frame(train)
     codes = TabularPreprocessor("tree", numeric=ENGINEERED_NUMERIC).fit(frame)
     encoder = TargetEncoder(S.LENDING_CATEGORICAL, "target", key).fit(frame)
@@ -298,18 +327,12 @@ def train_stacked(
         bundle.features(train, training=True).select("features_a", "features_b", "target"),
         bundle.features(valid).select("features_a", "features_b", "target"),
     )
-    checkpoint_root(train.sparkSession)
-    both = both.persist()
-    try:
-        for side in ("a", "b"):
-            model = GBTRegressor(
-                labelCol="target", featuresCol=f"features_{side}", predictionCol=f"pred_{side}", maxIter=max_iter,
-                maxDepth=depth, stepSize=learning_rate, validationIndicatorCol=flag, seed=42,
-                checkpointInterval=10, cacheNodeIds=True,
-            ).fit(both)
-            setattr(bundle, "first" if side == "a" else "second", model)
-    finally:
-        both.unpersist()
+    # both base models read the encoded rows
+    both = materialize(both, "stacking")
+    for side, wait, l2 in (("a", patience[0], 3.0), ("b", patience[1], 1.0)):
+        model = Boosting("squared", rounds, depth, learning_rate, l2=l2, patience=wait)
+        fitted = model.fit(both, f"features_{side}", "target", validation=flag) if wait else model.fit(both.where(~F.col(flag)), f"features_{side}", "target")
+        setattr(bundle, "first" if side == "a" else "second", fitted)
     bundle.blender = ridge(bundle.base_predictions(valid).select("meta", "target"), alpha, features="meta")
     return bundle
 
@@ -325,6 +348,32 @@ def score_applications(
     return recommendation(scored, keep, term_is_class)
 
 
+@dataclass
+class ModelSet:
+    """The three models that one choice stands for."""
+
+    amount: Bundle | StackedBundle
+    term: Bundle
+    rate: Bundle
+
+
+def score_by_choice(features: DataFrame, keep: list[str], sets: dict[str, ModelSet], choice: str = "model_selection") -> DataFrame:
+    """Every application is scored by the models it names; without a choice by the first of ``S.MODEL_CHOICES``.
+
+    The batch is read once for each choice, each time only the rows of that choice. An unknown choice is an error.
+    """
+    picked = features.withColumn(choice, F.coalesce(choice, F.lit(S.MODEL_CHOICES[0])))
+    unknown = picked.where(~F.col(choice).isin(list(sets))).select(choice).first()
+    if unknown:
+        raise ValueError(f"no models for the choice {unknown[0]!r}")
+    out = None
+    for name, models in sets.items():
+        mine = picked.where(F.col(choice) == name)
+        part = score_applications(mine, [*keep, choice], models.amount, models.term, models.rate, name in S.CLASS_TERM_MODELS)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def recommendation(scored: DataFrame, keep: list[str], term_is_class: bool = False) -> DataFrame:
     months = serving.clean_term(F.col("term_raw"), F.lit(term_is_class))
     return scored.select(

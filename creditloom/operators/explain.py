@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 
+import numpy as np
+import pandas as pd
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -110,19 +113,16 @@ def model_permutation_impact(
     key: list[str],
     seed: int = 2027,
 ) -> DataFrame:
-    """Permutation impact of a fitted model: every row is scored once per permuted feature."""
-    mixed = permute_columns(df, features, key, seed)
-    versions = mixed.select(*key, F.inline(_versions(features, [None, *features])))
+    """Permutation impact of a fitted model: every row is scored once per permuted feature.
+
+    The plain prediction comes first and travels with the row, so nothing has to be brought together afterwards.
+    """
+    mixed = predict(permute_columns(df, features, key, seed)).withColumnRenamed(prediction, "__base")
+    versions = mixed.select(*key, "__base", F.inline(_versions(features, features)))
     scored = predict(versions.withColumnRenamed("feature", "__feature"))
-    # the unpermuted prediction of a row travels with that row's group of features + 1 records
-    per_row = Window.partitionBy(*key)
-    base = F.max(F.when(F.col("__feature").isNull(), F.col(prediction))).over(per_row)
     delta = F.col(prediction) - F.col("__base")
-    return (
-        scored.withColumn("__base", base)
-        .where(F.col("__feature").isNotNull())
-        .groupBy(F.col("__feature").alias("feature"))
-        .agg(F.avg(F.abs(delta)).alias("mean_absolute_impact"), F.avg(delta).alias("mean_signed_impact"))
+    return scored.groupBy(F.col("__feature").alias("feature")).agg(
+        F.avg(F.abs(delta)).alias("mean_absolute_impact"), F.avg(delta).alias("mean_signed_impact")
     )
 
 
@@ -278,6 +278,42 @@ def sampled_attribution(
     )
 
 
+def array_attribution(
+    df: DataFrame, background: DataFrame, scores: Callable[[np.ndarray], np.ndarray], names: list[str], keep: list[str],
+    features: str = "features", background_rows: int = 100,
+) -> DataFrame:
+    """The attribution of :func:`sampled_attribution` for a model that scores arrays, one row per (row, feature).
+
+    ``df`` has the model vector in ``features``, ``background`` the bounded sample as arrays ``x``. All switched
+    versions of a row are scored as one array within its Arrow batch and only the contributions leave it: no shuffle.
+    """
+    sample = background.limit(background_rows + 1).collect()
+    if not 0 < len(sample) <= background_rows:
+        raise ValueError(f"the background sample must have 1 to {background_rows} rows")
+    z = np.array([r["x"] for r in sample], float)
+    n = z.shape[1]
+    # which features come from the row, after 0, 1, 2 ... steps forwards and backwards
+    taken = np.tri(n + 1, n, -1, dtype=bool)
+    taken = np.stack([taken, taken[:, ::-1]])
+    sent = df.sparkSession.sparkContext.broadcast((z, taken, scores))
+
+    @F.pandas_udf("array<double>")
+    def contributions(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        z, taken, scores = sent.value
+        for batch in batches:
+            out = []
+            for x in batch:
+                versions = np.where(taken[:, :, None, :], np.asarray(x), z)
+                p = scores(versions.reshape(-1, z.shape[1]))[:, 0].reshape(versions.shape[:3]).mean(axis=2)
+                steps = np.diff(p, axis=1)
+                out.append((steps[0] + steps[1, ::-1]) / 2)
+            yield pd.Series(out, dtype=object)
+
+    labels = F.array(*[F.lit(c) for c in names])
+    made = df.select(*keep, F.posexplode(contributions(vector_to_array(F.col(features)))).alias("__i", "contribution"))
+    return made.select(*keep, F.get(labels, "__i").alias("feature"), "contribution")
+
+
 def _background_schema(background: DataFrame, features: list[str]):
     item = background.select(*features).schema
     return T.StructType().add("__one", T.IntegerType()).add("__background", T.ArrayType(item))

@@ -82,11 +82,12 @@ def stress_report(bundle: M.Bundle, test: DataFrame) -> dict[str, DataFrame]:
 
 
 def lending_suite(
-    splits: dict[str, dict[str, DataFrame]], max_iter: int = 180, trees: int = 160, depth: int = 6,
+    splits: dict[str, dict[str, DataFrame]], rounds: int = 180, term_rounds: int = 160, depth: int = 6, patience: int | None = None,
 ) -> dict[str, tuple[dict[str, M.Bundle], DataFrame]]:
     """Two models per lending target and their test metrics.
 
-    ``splits`` maps objective -> split name -> frame with the 20 features and ``target``.
+    ``splits`` maps objective -> split name -> frame with the 20 features and ``target``. With ``patience`` the
+    boosted regressors stop early on the validation split.
     """
     measure = {
         "loan_amount": metrics.amount_metrics, "loan_term": metrics.term_metrics, "interest_rate": metrics.rate_metrics,
@@ -95,9 +96,9 @@ def lending_suite(
     for objective, frames in splits.items():
         train, test = frames["train"], frames["test"]
         if objective == "loan_term":
-            models = [M.train_term_linear(train), M.train_term_forest(train, trees, depth)]
+            models = [M.train_term_linear(train), M.train_term_boosting(train, None, term_rounds, depth, l2=0.1)]
         else:
-            models = [M.train_linear_regressor(train), M.train_tree_regressor(train, None, max_iter, depth)]
+            models = [M.train_linear_regressor(train), M.train_tree_regressor(train, frames.get("valid") if patience else None, rounds, depth, patience=patience)]
         table = None
         for bundle in models:
             row = measure[objective](bundle.predict(test), "target", "prediction").withColumn("model", F.lit(bundle.name))

@@ -5,6 +5,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from creditloom import schemas as S
+from creditloom.models import persistence
 from creditloom.models import training as M
 from creditloom.operators import explain
 
@@ -67,7 +68,7 @@ def test_linear_bundle_scorer_attribution_and_drivers(spark):
 
 def test_tree_bundle_attribution_is_additive(spark):
     _, df = lending(spark)
-    bundle = M.train_tree_regressor(df, df.where("id < 80"), max_iter=4, depth=3)
+    bundle = M.train_tree_regressor(df, df.where("id < 80"), rounds=4, depth=3)
     importance = bundle.feature_importance().toPandas()
     assert importance.importance_pct.sum() == pytest.approx(100) and len(importance) == 20
     rows, background = df.where("id >= 390"), df.where("id < 6")
@@ -78,6 +79,17 @@ def test_tree_bundle_attribution_is_additive(spark):
         assert sums[r["id"]] == pytest.approx(r["prediction"] - base)
     with pytest.raises(ValueError):
         explain.sampled_attribution(rows, df, bundle.predict, "prediction", S.LENDING_FEATURES, ["id"])
+    # inside the row: the same contributions, and additive to the last digits with a background of 100
+    inside = {(r["id"], r["feature"]): r["contribution"] for r in bundle.attribution(rows, background, ["id"]).collect()}
+    for r in parts.collect():
+        assert inside[r["id"], r["feature"]] == pytest.approx(r["contribution"], abs=1e-12)
+    background = df.where("id < 100")
+    base = bundle.predict(background).agg(F.avg("prediction")).first()[0]
+    sums = {r["id"]: r["s"] for r in bundle.attribution(rows, background, ["id"]).groupBy("id").agg(F.sum("contribution").alias("s")).collect()}
+    for r in bundle.predict(rows).collect():
+        assert abs(sums[r["id"]] - (r["prediction"] - base)) < 1e-9
+    with pytest.raises(ValueError):
+        bundle.attribution(rows, df, ["id"])
 
 
 def test_permutation_impact_of_model_and_scorer_agree(spark):
@@ -115,10 +127,57 @@ def test_term_models_and_batch_scoring(spark):
     assert (out.estimated_loan_amount % 1000 == 0).all() and out.estimated_interest_rate.between(0, 20).all()
 
 
+def test_boosted_terms_beat_the_forest(spark):
+    """The term depends on the product of two numbers, which shallow averaged trees cannot follow."""
+    _, df = lending(spark, 1200, seed=5)
+    score = (F.col("credit_score") - 30) * (F.coalesce(F.col("dti"), F.lit(30.0)) - 30)
+    terms = df.withColumn("target", F.when(score < -150, 180).when(score < 150, 240).otherwise(360))
+    train, test = terms.where("id % 3 > 0"), terms.where("id % 3 = 0")
+    hits = {}
+    for name, bundle in {"boosted": M.train_term_boosting(train, None, 40, 4), "forest": M.train_term_forest(train, 40, 4)}.items():
+        scored = bundle.predict(test)
+        hits[name] = scored.agg(F.avg((F.col("target") == F.col("prediction")).cast("int"))).first()[0]
+        if name == "boosted":
+            chances = bundle.model.transform(bundle.preprocessor.assemble(test)).select(F.aggregate("probability", F.lit(0.0), lambda a, x: a + x)).collect()
+            assert all(r[0] == pytest.approx(1.0) for r in chances)
+    assert hits["boosted"] > hits["forest"] + 0.05 and hits["boosted"] > 0.8
+    # a validation row of an unknown term does not disturb
+    odd = test.withColumn("target", F.when(F.col("id") == 0, 99).otherwise(F.col("target")))
+    assert M.train_term_boosting(train, odd, 3, 2, patience=2).terms == [180, 240, 360]
+
+
+def test_saved_models_score_the_same(spark, tmp_path):
+    _, df = lending(spark, 300)
+    train, valid = df.where("id < 200"), df.where("id >= 200")
+    terms = df.withColumn("target", F.when(F.col("channel") == "A", 15).when(F.col("channel") == "B", 30).otherwise(99))
+    months = df.withColumn("target", F.when(F.col("channel") == "A", 180).otherwise(360))
+    stacked = M.train_stacked(train, valid, ["id"], rounds=4, depth=3, learning_rate=0.3, patience=(3, None))
+    linear, tree = M.train_linear_regressor(df), M.train_tree_regressor(train, valid, 4, 3, patience=2)
+    sets = {
+        "v4_stacked": M.ModelSet(stacked, M.train_term_boosting(terms, None, 4, 3), tree), "v4_catboost": M.ModelSet(tree, M.train_term_boosting(terms, None, 4, 3), tree),
+        "smart_tree": M.ModelSet(tree, M.train_term_forest(months, 5, 3), linear), "fast_linear": M.ModelSet(linear, M.train_term_linear(months, 30), linear),
+    }
+    chosen = df.drop("target").withColumn("model_selection", F.get(F.array(*[F.lit(c) for c in S.MODEL_CHOICES], F.lit(None)), (F.col("id") % 5).cast("int")))
+    before = M.score_by_choice(chosen, ["id"], sets).collect()
+    for name, models in sets.items():
+        persistence.save_model_set(models, f"{tmp_path}/{name}")
+    again = {name: persistence.load_model_set(spark, f"{tmp_path}/{name}") for name in sets}
+    after = M.score_by_choice(chosen, ["id"], again).collect()
+    assert sorted(before) == sorted(after) and len(after) == 300
+    picked = {r["id"]: r["model_selection"] for r in after}
+    assert all(picked[i] == [*S.MODEL_CHOICES, S.MODEL_CHOICES[0]][i % 5] for i in range(300))
+    by_hand = M.score_applications(df.where("id % 5 = 3").drop("target"), ["id"], linear, sets["fast_linear"].term, linear).collect()
+    got = {r["id"]: r["estimated_loan_amount"] for r in after}
+    assert all(got[r["id"]] == r["estimated_loan_amount"] for r in by_hand)
+    assert {r["estimated_loan_term_months"] for r in after} <= {180, 360}  # classes are written as months
+    with pytest.raises(ValueError, match="no models"):
+        M.score_by_choice(chosen.withColumn("model_selection", F.lit("other")), ["id"], sets)
+
+
 def test_stacked_model_beats_the_mean(spark):
     _, df = lending(spark, 600)
     train, valid, test = df.where("id < 400"), df.where("id >= 400 and id < 500"), df.where("id >= 500")
-    bundle = M.train_stacked(train, valid, ["id"], max_iter=5, depth=3, learning_rate=0.3)
+    bundle = M.train_stacked(train, valid, ["id"], rounds=5, depth=3, learning_rate=0.3)
     out = bundle.predict(test).toPandas()
     assert len(out) == 100
     assert ((out.target - out.prediction) ** 2).mean() < 0.7 * out.target.var(ddof=0)

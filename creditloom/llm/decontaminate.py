@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from creditloom.llm.text import ALNUM, Texts, ranges, run_starts, slices
+from creditloom.llm.text import ALNUM, Texts, ranges, run_starts, slices, tidy
 
 WINDOW = 10
 BLOCK_CHARS = 4 << 20
@@ -213,7 +213,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> D
         .add("items", T.ArrayType(T.StringType())).add("longest", "long").add("longest_at", "long")
     )
     pair = docs.select(F.struct("*").alias("doc"), F.col("text").cast("string").alias("text"))
-    return pair.mapInArrow(run, schema)
+    return pair.mapInArrow(tidy(run), schema)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from creditloom.llm.text import mix, run_starts, signed
+from creditloom.llm.text import mix, run_starts, signed, tidy
 
 WORDS = 1 << 22
 
@@ -39,7 +39,7 @@ def collect(hashes: DataFrame) -> np.ndarray:
         for batch in batches:
             yield _parts(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64))
 
-    return _joined(hashes.select(name).mapInArrow(run, "word long, bits long"))
+    return _joined(hashes.select(name).mapInArrow(tidy(run), "word long, bits long"))
 
 
 def _parts(h: np.ndarray) -> pa.RecordBatch:

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from creditloom.llm.linear import Rows, fit, sigmoid, squared_hinge
-from creditloom.llm.text import LOWER, Texts, slices
+from creditloom.llm.text import LOWER, Texts, slices, tidy
 
 SAMPLE = 600
 ORDERS = (2, 3, 4)
@@ -176,7 +176,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
         return pd.DataFrame({"task": [int(pdf["task"].iloc[0]) if len(y) else -1], "weights": [w.astype(np.float32).tobytes()], "bias": [b]})
 
     fitted = (
-        drawn.select("text", "lang").mapInArrow(features, "task int, sign int, index binary, value binary")
+        drawn.select("text", "lang").mapInArrow(tidy(features), "task int, sign int, index binary, value binary")
         .groupBy("task").applyInPandas(one, "task int, weights binary, bias double").collect()
     )
     # one row of fixed size for each machine
@@ -198,4 +198,4 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     pair = docs.select(F.struct("*").alias("doc"), held_out().alias("held_out"), F.col("text").cast("string").alias("text"))
     schema = T.StructType().add("doc", docs.schema, False).add("held_out", "boolean").add("lang_pred", "string").add("score", "double")
-    return pair.mapInArrow(run, schema)
+    return pair.mapInArrow(tidy(run), schema)

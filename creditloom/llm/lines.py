@@ -37,7 +37,7 @@ from creditloom.llm.common import components, store
 from creditloom.llm.filters import contains, dealt, labels, packed, repeated
 from creditloom.llm.minhash import MinHash, band_keys
 from creditloom.llm.ngram_join import least_linked, overlaps, whole_groups
-from creditloom.llm.text import SPACED, Spans, Texts, mix, ranges, run_starts, signed, slices
+from creditloom.llm.text import SPACED, Spans, Texts, mix, ranges, run_starts, signed, slices, tidy
 
 MIN_WORDS = 5
 BYTES = 8
@@ -112,7 +112,7 @@ def _shared_keys(docs: DataFrame, buckets: int, min_words: int, characters: int)
                 lines = Lines(rows.column("text"), min_words, characters)
                 yield packed(lines.keys(hashes)[1].ravel(), buckets)
 
-    return repeated(docs.select("text").mapInArrow(run, "bucket long, keys binary"))
+    return repeated(docs.select("text").mapInArrow(tidy(run), "bucket long, keys binary"))
 
 
 def _candidates(docs: DataFrame, shared: np.ndarray, buckets: int, min_words: int, characters: int) -> DataFrame:
@@ -138,7 +138,7 @@ def _candidates(docs: DataFrame, shared: np.ndarray, buckets: int, min_words: in
                     ["line", "keys", "body"],
                 )
 
-    return docs.select("text").mapInArrow(run, "line long, keys array<long>, body binary")
+    return docs.select("text").mapInArrow(tidy(run), "line long, keys array<long>, body binary")
 
 
 def _places(docs: DataFrame, min_words: int, characters: int) -> DataFrame:
@@ -155,7 +155,7 @@ def _places(docs: DataFrame, min_words: int, characters: int) -> DataFrame:
                     [pa.array(signed(lines.hash)), pa.array(d[owner]), pa.array(crc[owner], pa.int64()), pa.array(lines.index, pa.int32())], ["line", "d", "crc", "index"]
                 )
 
-    return docs.select("d", "text").mapInArrow(run, "line long, d long, crc long, index int")
+    return docs.select("d", "text").mapInArrow(tidy(run), "line long, d long, crc long, index int")
 
 
 def _grams(body: bytes, characters: int) -> np.ndarray:
@@ -191,7 +191,7 @@ def _verified(pairs: DataFrame, bodies: DataFrame, characters: int) -> DataFrame
 
     x = bodies.select(F.col("line").alias("a"), F.col("body").alias("x"))
     y = bodies.select(F.col("line").alias("b"), F.col("body").alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(tidy(run), "a long, b long")
 
 
 def _tile(rows: pd.DataFrame, characters: int) -> pd.DataFrame:
@@ -241,7 +241,7 @@ def near_lines(docs: DataFrame, min_words: int = MIN_WORDS, characters: int = 0)
         "key", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), (F.col("mine") > F.col("other")).cast("int").alias("side"), "line", "root"
     )
     sent = tiles.join(bodies, "line").repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
-    more = store(sent.mapInArrow(partial(_tiles, characters=characters), "a long, b long"), "pairs")
+    more = store(sent.mapInArrow(tidy(partial(_tiles, characters=characters)), "a long, b long"), "pairs")
     if more.isEmpty():
         return roots
     return store(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more), "stars"), "roots")
@@ -283,4 +283,4 @@ def deduplicate(docs: DataFrame, min_words: int = MIN_WORDS, characters: int = 0
         F.coalesce(F.crc32(F.encode(F.col("text").cast("string"), "utf-8")), F.lit(0)).alias("crc"),
     )
     schema = T.StructType().add("doc", docs.schema, False).add("n_lines", "long").add("n_removed", "long").add("kept", "string")
-    return keyed.join(gone, ["d", "crc"], "left").select("doc", "text", "gone").mapInArrow(run, schema)
+    return keyed.join(gone, ["d", "crc"], "left").select("doc", "text", "gone").mapInArrow(tidy(run), schema)

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from creditloom.llm.common import components, documents_only, rank_within, store
 from creditloom.llm.filters import collect, contains
 from creditloom.llm.minhash import MinHash, band_keys, prune
-from creditloom.llm.text import SPACED, Texts, mix, run_starts, signed, slices, window_hashes
+from creditloom.llm.text import SPACED, Texts, mix, run_starts, signed, slices, tidy, window_hashes
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -90,7 +90,7 @@ def _signed_documents(docs: DataFrame) -> DataFrame:
                     ["doc_id", "node", "keys"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, node long, keys array<long>")
+    return docs.mapInArrow(tidy(run), "doc_id long, node long, keys array<long>")
 
 
 def _mixed(node: np.ndarray, d: np.ndarray) -> np.ndarray:
@@ -104,7 +104,7 @@ def _wanted(reps: DataFrame) -> np.ndarray:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array(signed(_mixed(batch.column("node").to_numpy(), batch.column("d").to_numpy())))], ["h"])
 
-    return collect(reps.select("node", "d").mapInArrow(run, "h long"))
+    return collect(reps.select("node", "d").mapInArrow(tidy(run), "h long"))
 
 
 def _payloads(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
@@ -128,7 +128,7 @@ def _payloads(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
                     ["node", "d", "shingles", "signature"],
                 )
 
-    return docs.select("d", "text").mapInArrow(run, "node long, d long, shingles binary, signature binary")
+    return docs.select("d", "text").mapInArrow(tidy(run), "node long, d long, shingles binary, signature binary")
 
 
 def overlaps(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -244,7 +244,7 @@ def join(docs: DataFrame) -> DataFrame:
         .select("node", "weight", "root", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), (F.col("block") > F.col("other")).cast("int").alias("side"))
     )
     sent = tiles.join(payload.select("node", "shingles", "signature"), "node").repartition("root", "low", "high").sortWithinPartitions("root", "low", "high")
-    linked = store(sent.mapInArrow(_tiles, "node long, links long, hub long"), "links")
+    linked = store(sent.mapInArrow(tidy(_tiles), "node long, links long, hub long"), "links")
     counts = linked.groupBy("node").agg(F.sum("links").alias("links"))
     roots = components(linked.select(F.col("node").alias("a"), F.col("hub").alias("b")), "classes")
     least = roots.join(classes, "node").groupBy("root").agg(F.min("d").alias("least"))

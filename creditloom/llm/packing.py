@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from creditloom.llm.common import documents_only, store
-from creditloom.llm.text import slices
+from creditloom.llm.text import slices, tidy
 from creditloom.llm.tokens import encoder
 
 SIZE = 1024
@@ -102,7 +102,7 @@ def pieces(docs: DataFrame, tokenizer: str, end: int, size: int = SIZE, keep_ids
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, local long"
-    return documents_only(docs).mapInArrow(run, schema + (", ids binary" if keep_ids else ""))
+    return documents_only(docs).mapInArrow(tidy(run), schema + (", ids binary" if keep_ids else ""))
 
 
 def pack(docs: DataFrame, tokenizer: str, end: int, size: int = SIZE, keep_ids: bool = False) -> DataFrame:

@@ -6,8 +6,9 @@ all non-ASCII characters alike are exact on UTF-8 bytes.
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,23 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
+def tidy(run: Callable) -> Callable:
+    """``run`` over batches, after which the worker gives freed memory back to the system.
+
+    Workers stay for later tasks and stages; without this each keeps the most that any of its tasks ever needed.
+    """
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # not every C library has it
+            pass
+
+    return wrapped
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(30))) * _M2
     h = (h ^ (h >> np.uint64(27))) * _M3

@@ -22,7 +22,7 @@ from creditloom.llm.text import Spans, Texts, ranges
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-_KEPT = 3_000_000  # pieces that a worker remembers (about 100 MB); beyond, it starts anew
+_KEPT = 1_000_000  # pieces that a worker remembers (about 40 MB); beyond, it starts anew
 _SPACE = np.zeros(256, bool)
 _SPACE[:0x21] = True
 _BREAK = np.zeros(256, bool)

@@ -419,8 +419,11 @@ def long_values(names: list[str], source: str, where: str = "TRUE", keep: str =
 
 sql(
     "unseen_categories", ["clean"],
-    f"""SELECT * FROM (({long_values(Q.SEEN_COLUMNS, 'clean', f'NOT ({IN_TRAIN})')}) EXCEPT ({long_values(Q.SEEN_COLUMNS, 'clean', IN_TRAIN)})) u
-    WHERE "value" IS NOT NULL""",
+    " UNION ALL ".join(
+        f"""SELECT '{name}' AS split, * FROM (({long_values(Q.SEEN_COLUMNS, 'clean', f'"quarter" IN {quarters}')}) EXCEPT ({long_values(Q.SEEN_COLUMNS, 'clean', IN_TRAIN)})) u
+        WHERE "value" IS NOT NULL"""
+        for name, quarters in (("valid", VALID), ("test", TEST))
+    ),
 )
 sql(
     "ordinal_encode", ["prepared"],
@@ -476,7 +479,7 @@ sql("target_distribution", ["lab"], f"""SELECT stress_level, count(*) AS "count"
 sql("value_counts_nulls", ["clean"], f"""SELECT msa, count(*) AS "count", {r6('count(*) / (SELECT count(*) FROM clean)::DOUBLE', 'pct')} FROM clean GROUP BY msa""")
 sql("stress_rate_by_quarter", ["labelled"], f"""SELECT "quarter", count(*) AS "rows", {r6('avg(stress_flag)', 'avg_stress_flag')} FROM labelled GROUP BY "quarter" """)
 sql("bss_by_quarter", ["normed"], f"""SELECT "quarter", count(*) AS "rows", {r6('avg(bss)', 'avg_bss')} FROM normed GROUP BY "quarter" """)
-sql("features_by_bssi", ["labelled"], 'SELECT bssi, count(*) AS "rows", ' + ", ".join(r6(f"avg({c})", f"avg_{c}") for c in ("credit_score", "dti", "ltv", "interest_rate")) + " FROM labelled GROUP BY bssi")
+sql("features_by_bssi", ["loans"], 'SELECT bssi, count(*) AS "rows", ' + ", ".join(r6(f"avg({c})", f"avg_{c}") for c in LOAN_NUMERIC if c != "bssi") + " FROM loans GROUP BY bssi")
 _DESCRIBE = (
     'count({c}) AS "count", ' + r6("avg({c})", '"mean"') + ", " + r6("stddev_samp({c})", '"std"') + ", "
     + r6("CAST(min({c}) AS DOUBLE)", '"min"') + ", "
@@ -484,10 +487,10 @@ _DESCRIBE = (
     + ", " + r6("CAST(max({c}) AS DOUBLE)", '"max"')
 )
 sql(
-    "describe_by_group", ["labelled"],
+    "describe_by_group", ["loans"],
     " UNION ALL ".join(
-        f"""SELECT stress_flag, '{c}' AS "column", {_DESCRIBE.format(c=c)} FROM labelled GROUP BY stress_flag"""
-        for c in ("credit_score", "dti", "ltv", "interest_rate")
+        f"""SELECT stress_flag, '{c}' AS "column", {_DESCRIBE.format(c=c)} FROM loans GROUP BY stress_flag"""
+        for c in LOAN_NUMERIC if c != "stress_flag"
     ),
 )
 sql("numeric_summary", ["loans"], per_column(LOAN_NUMERIC, "loans", _DESCRIBE))
@@ -529,7 +532,7 @@ sql(
         "joint": " UNION ALL ".join(
             f"""SELECT '{c}' AS feature, len(list_filter(edges, lambda e: coalesce(CAST({c} AS DOUBLE), med) > e)) AS bin, stress_level, count(*)::DOUBLE AS n
             FROM loans, (SELECT list_distinct([{_EDGES.format(c=c)}]) AS edges, median({c}) AS med FROM loans) q GROUP BY ALL"""
-            for c in Q.MI_FEATURES
+            for c in LOAN_NUMERIC if c != "stress_level"
         )
     },
 )
@@ -568,12 +571,23 @@ sql(
     LEFT JOIN (SELECT least(floor((bss - lo) / (hi - lo) * 30), 29) AS bin FROM normed, (SELECT min(bss) AS lo, max(bss) AS hi FROM normed) x WHERE bss IS NOT NULL) v
     ON v.bin = b.bin GROUP BY b.bin, lo, hi""",
 )
-_SPARK_TYPES = {c: {"int": "int", "bigint": "bigint", "double": "double", "string": "string"}[t] for c, t in S.ORIGINATION_FIELDS.items()} | {"loan_identifier": "bigint", "quarter": "string"}
+_SPARK_TYPES = S.ORIGINATION_FIELDS | {c: "double" for c in S.ROLLUP_FEATURES} | {
+    "loan_identifier": "bigint", "quarter": "string", "ever_ra": "boolean", "bssi": "int", "stress_flag": "int", "stress_level": "int",
+    "months_delinquent": "bigint", "loan_age_max": "int", "ever_modified": "int", "modification_count": "bigint", "ever_assistance": "int",
+    "assistance_count": "bigint", "ever_zero_balance": "int",
+}
+sql(
+    "column_inventory", ["loans"],
+    " UNION ALL ".join(
+        f"""SELECT '{c}' AS "column", '{_SPARK_TYPES[c]}' AS dtype, count("{c}") AS non_null, count(DISTINCT "{c}") AS distinct_values FROM loans"""
+        for c in LOAN_COLUMNS
+    ),
+)
 sql(
-    "column_inventory", ["clean"],
+    "code_census", ["orig"],
     " UNION ALL ".join(
-        f"""SELECT '{c}' AS "column", '{_SPARK_TYPES[c]}' AS dtype, count("{c}") AS non_null, count(DISTINCT "{c}") AS distinct_values FROM clean"""
-        for c in [*ORIG_COLUMNS, "quarter"]
+        f"""SELECT '{c}' AS "column", count(*) FILTER (WHERE {c} IN {tuple(Q.CODES)}) AS code_count, {r6(f'count(*) FILTER (WHERE {c} IN {tuple(Q.CODES)}) * 100.0::DOUBLE / count(*)', 'code_pct')} FROM orig"""
+        for c in S.SENTINELS
     ),
 )
 _HIGH = "avg(stress_flag) FILTER (WHERE bss_bucket = 'Very Low')"
@@ -658,7 +672,7 @@ sql(
     "impute_mode", ["orig"],
     "SELECT loan_identifier, " + ", ".join(
         f"coalesce(CAST({c} AS VARCHAR), (SELECT CAST({c} AS VARCHAR) AS v FROM orig WHERE {IN_TRAIN} AND {c} IS NOT NULL GROUP BY v ORDER BY count(*) DESC, v LIMIT 1)) AS {c}"
-        for c in ("msa", "super_conforming_flag", "channel")
+        for c in Q.MODE_COLUMNS
     ) + " FROM orig",
 )
 

@@ -402,14 +402,15 @@ def reconcile_keys(spark, sf):
     return quality.reconcile_keys(loan_origination(spark, sf, [ID]), loan_performance(spark, sf))
 
 
-SEEN_COLUMNS = ["property_state", "seller_name", "msa", "channel", "quarter"]
+#: Every text column of a cleaned origination record, and the area code.
+SEEN_COLUMNS = [c for c, t in S.ORIGINATION_FIELDS.items() if t == "string" and c not in (ID, *S.UNUSED_ORIGINATION)] + ["msa", "quarter"]
 
 
 @query
 def unseen_categories(spark, sf):
     df = clean(spark, sf, [ID, *SEEN_COLUMNS])
-    train = df.where(F.col("quarter").isin(TRAIN_QUARTERS))
-    return quality.unseen_categories(train, df.where(~F.col("quarter").isin(TRAIN_QUARTERS)), SEEN_COLUMNS)
+    train, valid, test = (df.where(F.col("quarter").isin(q)) for q in (TRAIN_QUARTERS, VALID_QUARTERS, TEST_QUARTERS))
+    return quality.unseen_categories(train, {"valid": valid, "test": test}, SEEN_COLUMNS)
 
 
 @query
@@ -420,7 +421,7 @@ def ordinal_encode(spark, sf):
     return out.select(ID, *[F.col(f"{c}_code").cast("int").alias(f"{c}_code") for c in S.LENDING_CATEGORICAL])
 
 
-ENCODED = ["property_state", "msa", "channel", "quarter"]
+ENCODED = S.LENDING_CATEGORICAL
 
 
 @query
@@ -475,15 +476,14 @@ def bss_by_quarter(spark, sf):
 
 @query
 def features_by_bssi(spark, sf):
-    names = ["credit_score", "dti", "ltv", "interest_rate"]
-    return rounded(profile.group_means(labelled(spark, sf, [ID, *names]), ["bssi"], names))
+    df = loan_table(spark, sf)
+    return rounded(profile.group_means(df, ["bssi"], [c for c in wide_numeric(df) if c != "bssi"]))
 
 
 @query
 def describe_by_group(spark, sf):
-    names = ["credit_score", "dti", "ltv", "interest_rate"]
-    df = runtime.materialize(labelled(spark, sf, [ID, *names]), "describe")
-    return rounded(profile.numeric_summary(df, names, ["stress_flag"]))
+    df = runtime.materialize(loan_table(spark, sf), "describe")
+    return rounded(profile.numeric_summary(df, [c for c in wide_numeric(df) if c != "stress_flag"], ["stress_flag"]))
 
 
 @query
@@ -514,13 +514,11 @@ def outlier_summary(spark, sf):
     return rounded(profile.outlier_summary(df, wide_numeric(df)))
 
 
-MI_FEATURES = ["credit_score", "dti", "ltv", "cltv", "interest_rate", "num_borrowers", "original_upb", "avg_delinquency", "estimated_ltv_avg"]
-
-
 @query
 def mutual_information(spark, sf):
-    df = loan_table(spark, sf).select(ID, *MI_FEATURES, "stress_level")
-    return rounded(profile.mutual_information(runtime.materialize(df, "relevance"), MI_FEATURES, "stress_level"))
+    """All numeric columns but the label, on equal-frequency bins."""
+    df = runtime.materialize(loan_table(spark, sf), "relevance")
+    return rounded(profile.mutual_information(df, [c for c in wide_numeric(df) if c != "stress_level"], "stress_level"))
 
 
 @query
@@ -549,15 +547,23 @@ def sentinel_census(spark, sf):
     return rounded(quality.sentinel_census(loan_origination(spark, sf, [ID, *S.SENTINELS])))
 
 
+CODES = [999, 9999]
+
+
+@query
+def code_census(spark, sf):
+    return rounded(quality.code_census(loan_origination(spark, sf, [ID, *S.SENTINELS]), list(S.SENTINELS), CODES))
+
+
 @query
 def histogram(spark, sf):
-    narrow = labelled(spark, sf, [ID, "quarter", *S.BSS_COMPONENTS])
+    narrow = runtime.materialize(labelled(spark, sf, [ID, "quarter", *S.BSS_COMPONENTS]), "histogram")
     return rounded(profile.histogram(loans.add_norms(narrow).withColumn("bss", R.weighted_bss()), "bss", 30))
 
 
 @query
 def column_inventory(spark, sf):
-    return profile.column_inventory(clean(spark, sf))
+    return profile.column_inventory(loan_table(spark, sf))
 
 
 @query
@@ -611,8 +617,10 @@ def topk_coefficients(spark, sf):
 @query
 def union_quarters(spark, sf):
     df = clean(spark, sf, [ID, "quarter", "credit_score"])
-    years = ["1995", "1996", "1997", "1998", "1999", "2000", "2001"]
-    united = loans.union_quarters([df.where(F.col("quarter").startswith(y)) for y in years])
+    year = F.substring("quarter", 1, 4)
+    # as many rows as there are years in the data; loans without a quarter are a part, too
+    years = [r["y"] for r in df.select(year.alias("y")).distinct().collect()]
+    united = loans.union_quarters([df.where(year.eqNullSafe(F.lit(y))) for y in years])
     return loans.join_labels(united, labels(spark, sf))
 
 
@@ -658,14 +666,17 @@ def impute_scale(spark, sf):
     return rounded(scaler.transform(df).drop("quarter"))
 
 
+#: Every text column of an origination record, and the area code.
+MODE_COLUMNS = [c for c, t in S.ORIGINATION_FIELDS.items() if t == "string" and c != ID] + ["msa"]
+
+
 @query
 def impute_mode(spark, sf):
-    names = ["msa", "super_conforming_flag", "channel"]
-    df = loan_origination(spark, sf, [ID, "quarter", *names])
-    return encoders.impute_mode(df.where(F.col("quarter").isin(TRAIN_QUARTERS)), df, names).drop("quarter")
+    df = loan_origination(spark, sf, [ID, "quarter", *MODE_COLUMNS])
+    return encoders.impute_mode(df.where(F.col("quarter").isin(TRAIN_QUARTERS)), df, MODE_COLUMNS).drop("quarter")
 
 
-HOT_COLUMNS = ["property_state", "channel", "occupancy_status", "quarter"]
+HOT_COLUMNS = S.LENDING_CATEGORICAL
 
 
 @query

@@ -37,18 +37,17 @@ def require_same_keys(left: DataFrame, right: DataFrame, key: str = S.ID_COLUMN,
         raise ValueError(f"loan mismatch, the two tables hold different loans: {row.asDict()}")
 
 
-def unseen_categories(train: DataFrame, other: DataFrame, columns: list[str]) -> DataFrame:
-    """Category values of ``other`` that ``train`` does not have, per column: one shuffle of distinct values."""
+def unseen_categories(train: DataFrame, others: dict[str, DataFrame], columns: list[str]) -> DataFrame:
+    """Category values of each other split that ``train`` does not have, per column: one shuffle of distinct values."""
 
     pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns])
-    tagged = train.select(F.lit(1).alias("known"), F.inline(pairs)).unionByName(
-        other.select(F.lit(0).alias("known"), F.inline(pairs))
-    )
-    return (
-        tagged.where(F.col("value").isNotNull())
-        .groupBy("column", "value").agg(F.max("known").alias("known"))
-        .where(F.col("known") == 0).drop("known")
+    tagged = train.select(F.lit(None).cast("string").alias("split"), F.inline(pairs))
+    for name, df in others.items():
+        tagged = tagged.unionByName(df.select(F.lit(name).alias("split"), F.inline(pairs)))
+    values = tagged.where(F.col("value").isNotNull()).groupBy("column", "value").agg(
+        F.max(F.col("split").isNull()).alias("known"), F.collect_set("split").alias("splits")  # as many as there are splits
     )
+    return values.where(~F.col("known")).select(F.explode("splits").alias("split"), "column", "value")
 
 
 def validate_master(df: DataFrame, required: list[str] = S.MASTER_REQUIRED) -> DataFrame:
@@ -117,5 +116,12 @@ def sentinel_census(df: DataFrame, sentinels: dict[str, int] = S.SENTINELS) -> D
     )
 
 
+def code_census(df: DataFrame, columns: list[str], codes: list[int]) -> DataFrame:
+    """How many values of each column are any of the codes, whichever column a code belongs to."""
+    row = df.agg(F.count("*").alias("__n"), *[F.count_if(F.col(c).isin(codes)).alias(c) for c in columns])
+    records = [{"column": quoted(c), "code_count": ident(c), "code_pct": f"try_divide({ident(c)} * 100D, __n)"} for c in columns]
+    return to_long(row, records)
+
+
 def split_drift(df: DataFrame, target: str, by: list[str]) -> DataFrame:
     return df.groupBy(*by).agg(F.count("*").alias("rows"), F.avg(target).alias("rate"))

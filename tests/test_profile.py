@@ -96,5 +96,12 @@ def test_quality_reports(spark):
     assert census["sentinel_count"] == 2 and census["sentinel_pct"] == pytest.approx(200 / 3)
     leak = {r["feature"]: r["present"] for r in quality.leakage_check(df.withColumnRenamed("credit_score", "max_delinquency"), "t").collect()}
     assert leak["max_delinquency"] and not leak["avg_delinquency"]
-    unseen = quality.unseen_categories(df.where("t = 1"), df, ["f"]).collect()
-    assert [tuple(r) for r in unseen] == [("f", "X")]
+    unseen = quality.unseen_categories(df.where("t = 1"), {"valid": df}, ["f"]).collect()
+    assert [tuple(r) for r in unseen] == [("valid", "f", "X")]
+
+
+def test_unseen_by_split_and_codes_of_other_columns(spark):
+    df = spark.createDataFrame([("a", 999), ("b", 9999), ("c", 7), ("c", 999), (None, None)], "f string, n int")
+    got = quality.unseen_categories(df.where("f = 'a'"), {"valid": df.where("f = 'b' OR f IS NULL"), "test": df}, ["f"]).collect()
+    assert sorted((r.split, r.column, r.value) for r in got) == [("test", "f", "b"), ("test", "f", "c"), ("valid", "f", "b")]
+    assert quality.code_census(df, ["n"], [999, 9999]).first() == ("n", 3, 60.0)

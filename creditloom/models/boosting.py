@@ -13,7 +13,7 @@ to date every few rounds, and the lineage is cut by a checkpoint in the shared f
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -260,46 +260,68 @@ class Boosting:
         rounds: list[list[Tree]] = []
         gains: list[np.ndarray] = []
         curve: list[float] = []
-        recent, best, updates = 0, 0, 0
+        recent, best, updates, done = 0, 0, 0, False
+        whole = blocks.getNumPartitions() == 1
         try:
-            while True:
-                trees = [Tree.empty(self.depth) for _ in base]
-                gain = np.zeros(len(edges))
-                measured = None
-                for level in range(self.depth):
-                    found, sums = self._level(blocks, rounds[len(rounds) - recent :], trees, level, len(edges), validate and level == 0)
-                    if level == 0:
-                        measured = sums
-                        if validate:
-                            curve.append(_score(self.metric, sums))
-                            if curve[-1] > curve[best]:
-                                best = len(rounds)
-                            if self.patience and len(rounds) - best >= self.patience:
-                                found = None
-                        if len(rounds) >= self.rounds:
-                            found = None
-                        if found is None:
-                            break
-                    if not found:
+            while not done:
+                for trees, gain, measured in self._rounds_of_one_task(blocks, len(base), len(edges), validate) if whole else [
+                    self._round(len(base), len(edges), lambda t, n: self._level(blocks, rounds[len(rounds) - recent :], t, n, len(edges), validate and n == 0))
+                ]:
+                    if validate:
+                        curve.append(_score(self.metric, measured))
+                        if curve[-1] > curve[best]:
+                            best = len(rounds)
+                    done = trees is None or len(rounds) >= self.rounds or bool(self.patience and len(rounds) - best >= self.patience)
+                    if done:
                         break
-                    for k, node, g, f, cut, left, right in found:
-                        trees[k].feature[node], trees[k].cut[node] = f, cut
-                        for child, s in ((2 * node + 1, left), (2 * node + 2, right)):
-                            trees[k].value[child] = -self.rate * s[0] / (s[1] + self.l2)
-                        gain[f] += g
-                if found is None or not any((t.feature >= 0).any() for t in trees):
-                    break
-                rounds.append(trees)
-                gains.append(gain)
-                recent += 1
-                if recent == _REFRESH:
-                    blocks, recent, updates = self._refresh(blocks, rounds[-_REFRESH:], updates + 1), 0, updates + 1
+                    rounds.append(trees)
+                    gains.append(gain)
+                    recent += 1
+                if recent >= _REFRESH and not done:
+                    blocks, recent, updates = self._refresh(blocks, rounds[-recent:], updates + 1), 0, updates + 1
         finally:
             blocks.unpersist()
         kept = best if validate else len(rounds)
         total = np.sum(gains[:kept], axis=0) if kept else np.zeros(len(edges))
         return BoostedModel(self.loss, base, edges, rounds[:kept], total, curve)
 
+    def _round(self, classes: int, width: int, level: Callable) -> tuple[list[Tree] | None, np.ndarray, np.ndarray | None]:
+        """The trees of one round (None: no split helps), gains by feature, and validation sums before the round."""
+        trees = [Tree.empty(self.depth) for _ in range(classes)]
+        gain, measured = np.zeros(width), None
+        for n in range(self.depth):
+            found, sums = level(trees, n)
+            if n == 0:
+                measured = sums
+            if not found:
+                break
+            for k, node, g, f, cut, left, right in found:
+                trees[k].feature[node], trees[k].cut[node] = f, cut
+                for child, s in ((2 * node + 1, left), (2 * node + 2, right)):
+                    trees[k].value[child] = -self.rate * s[0] / (s[1] + self.l2)
+                gain[f] += g
+        return (trees if any((t.feature >= 0).any() for t in trees) else None), gain, measured
+
+    def _rounds_of_one_task(self, blocks, classes: int, width: int, validate: bool) -> list[tuple]:
+        """The next rounds of a table that is one task's: its sums are the sums of all, so one job grows whole trees."""
+        settings = self
+
+        def run(part) -> Iterator[list[tuple]]:
+            here, out = list(part), []
+            for _ in range(_REFRESH):
+
+                def level(trees: list[Tree], n: int) -> tuple[list[tuple], np.ndarray | None]:
+                    return settings._merged([settings._best(n, item) for item in settings._sums(here, [], trees, n, width, validate and n == 0)], validate and n == 0)
+
+                made = settings._round(classes, width, level)
+                out.append(made)
+                if made[0] is None:
+                    break
+                here = [(*b[:4], _add(b[4], [made[0]], b[0])) for b in here]
+            yield out
+
+        return blocks.mapPartitions(run).collect()[0]
+
     def _refresh(self, blocks, rounds: list[list[Tree]], updates: int):
         """Blocks whose margins hold ``rounds``, too."""
         new = blocks.map(lambda b: (*b[:4], _add(b[4], rounds, b[0]))).persist(StorageLevel.MEMORY_AND_DISK)
@@ -311,47 +333,51 @@ class Boosting:
 
     def _level(self, blocks, recent: list[list[Tree]], trees: list[Tree], level: int, width: int, measure: bool) -> tuple[list[tuple], np.ndarray | None]:
         """Best splits (class, node, gain, feature, cut, left, right) of the nodes of one level, and validation sums."""
-        loss, metric, l2, least, bins = self.loss, self.metric, self.l2, self.least, self.bins
-        first, size = (1 << level) - 1, 1 << level
-
-        def sums(part) -> Iterator[tuple]:
-            held: dict[tuple, np.ndarray] = {}
-            for x, y, w, valid, margin in part:
-                margin = _add(margin, recent, x)
-                if measure and valid.any():
-                    m = _measure(metric, loss, margin[valid], y[valid], w[valid])
-                    held["measure", 0] = held.get(("measure", 0), 0) + m
-                learn = np.flatnonzero(~valid)
-                g, h = _derivatives(loss, margin[learn], y[learn])
-                xs, ws = x[learn], w[learn]
-                for k, tree in enumerate(trees):
-                    node = tree.nodes(xs, level) - first
-                    at = np.flatnonzero(node >= 0)
-                    if not len(at):
-                        continue
-                    chunk = node[at] // _NODES
-                    for c in np.unique(chunk).tolist():
-                        mine = at[chunk == c]
-                        flat = (((node[mine] - c * _NODES)[:, None] * width + np.arange(width)) * bins + xs[mine]).ravel()
-                        n = min(_NODES, size) * width * bins
-                        made = [np.bincount(flat, np.repeat(ws[mine] * d[mine, k], width), n) for d in (g, h)]
-                        made = np.stack(made, -1).reshape(-1, width, bins, 2)
-                        held[k, c] = held[k, c] + made if (k, c) in held else made
-            yield from held.items()
-
-        def best(item: tuple) -> tuple:
-            (k, c), total = item
-            if k == "measure":
-                return k, total
-            return k, [(k, first + c * _NODES + node, *rest) for node, *rest in _splits(total, l2, least)]
+        settings = self
+        groups = min(blocks.getNumPartitions(), len(trees) * -(-(1 << level) // _NODES))
+        sums = blocks.mapPartitions(lambda part: settings._sums(part, recent, trees, level, width, measure)).reduceByKey(np.add, groups)
+        return self._merged(sums.map(lambda item: settings._best(level, item)).collect(), measure)
 
+    def _sums(self, part, recent: list[list[Tree]], trees: list[Tree], level: int, width: int, measure: bool) -> Iterator[tuple]:
+        """Gradient sums of the blocks' rows by (class, group of nodes), and their validation sums."""
+        first, size = (1 << level) - 1, 1 << level
+        held: dict[tuple, np.ndarray] = {}
+        for x, y, w, valid, margin in part:
+            margin = _add(margin, recent, x)
+            if measure and valid.any():
+                m = _measure(self.metric, self.loss, margin[valid], y[valid], w[valid])
+                held["measure", 0] = held.get(("measure", 0), 0) + m
+            learn = np.flatnonzero(~valid)
+            g, h = _derivatives(self.loss, margin[learn], y[learn])
+            xs, ws = x[learn], w[learn]
+            for k, tree in enumerate(trees):
+                node = tree.nodes(xs, level) - first
+                at = np.flatnonzero(node >= 0)
+                if not len(at):
+                    continue
+                chunk = node[at] // _NODES
+                for c in np.unique(chunk).tolist():
+                    mine = at[chunk == c]
+                    flat = (((node[mine] - c * _NODES)[:, None] * width + np.arange(width)) * self.bins + xs[mine]).ravel()
+                    n = min(_NODES, size) * width * self.bins
+                    made = [np.bincount(flat, np.repeat(ws[mine] * d[mine, k], width), n) for d in (g, h)]
+                    made = np.stack(made, -1).reshape(-1, width, self.bins, 2)
+                    held[k, c] = held[k, c] + made if (k, c) in held else made
+        yield from held.items()
+
+    def _best(self, level: int, item: tuple) -> tuple:
+        (k, c), total = item
+        if k == "measure":
+            return k, total
+        return k, [(k, (1 << level) - 1 + c * _NODES + node, *rest) for node, *rest in _splits(total, self.l2, self.least)]
+
+    def _merged(self, parts: list[tuple], measure: bool) -> tuple[list[tuple], np.ndarray | None]:
         found, measured = [], None
-        groups = min(blocks.getNumPartitions(), len(trees) * -(-size // _NODES))
-        for k, value in blocks.mapPartitions(sums).reduceByKey(np.add, groups).map(best).collect():
+        for k, value in parts:
             if k == "measure":
                 measured = value
             else:
                 found += value
         if measure and measured is None:
-            measured = np.zeros((2, _BUCKETS)) if metric == "auc" else np.zeros(2)
+            measured = np.zeros((2, _BUCKETS)) if self.metric == "auc" else np.zeros(2)
         return sorted(found), measured

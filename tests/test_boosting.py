@@ -42,8 +42,10 @@ def plain(x, y, loss, rounds, depth, rate, edges, base, classes=1, l2=1.0):
     return margin
 
 
-@pytest.mark.parametrize("loss", ["squared", "logistic", "softmax"])
-def test_equals_plain_boosting(spark, loss):
+@pytest.mark.parametrize("loss, rows", [("squared", 100), ("squared", 20_000), ("logistic", 20_000), ("softmax", 100)])
+def test_equals_plain_boosting(spark, monkeypatch, loss, rows):
+    """In several tasks, a job for each level, and in one."""
+    monkeypatch.setattr(B, "_TASK_ROWS", rows)
     rng = np.random.default_rng(1)
     x = np.round(rng.normal(0, 1, (300, 3)), 1)
     z = x[:, 0] + (x[:, 1] > 0.3) * 2 + rng.normal(0, 0.3, 300)

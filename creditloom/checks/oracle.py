@@ -698,6 +698,12 @@ sql(
     ) + " UNION ALL " + f'SELECT loan_identifier, feature, {r6("value")} FROM ({hot(S.LENDING_CATEGORICAL, 20)}) h',
     {"meds": _NUM_MEDS, "moments": _NUM_MOMENTS},
 )
+sql(
+    "ridge_optimum", ["prepared"],
+    " UNION ALL ".join(f"SELECT '{c}' AS feature, 0.0::DOUBLE AS gradient" for c in S.LENDING_NUMERIC)
+    + f" UNION ALL SELECT DISTINCT feature, 0.0::DOUBLE FROM ({hot(S.LENDING_CATEGORICAL, 20)}) h",
+)
+sql("logistic_optimum", [], "SELECT 0.0::DOUBLE AS largest_gradient", {"one": "SELECT 1"})
 sql(
     "preproc_tree", ["prepared"],
     " UNION ALL ".join(f"SELECT loan_identifier, '{c}' AS feature, {r6(f'coalesce({c}, {c}_med)', 'value')} FROM prepared, meds" for c in S.LENDING_NUMERIC)

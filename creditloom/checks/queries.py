@@ -129,7 +129,7 @@ def quarter_columns(spark, sf):
 def feature_store_manifest(spark, sf):
     root = runtime.work_path(spark, "stores")
     entry = store.write_feature_store(runtime.materialize(master(spark, sf), "master"), root, "v1", "master.parquet", "check")
-    manifest = store.read_json(spark, f"{root}/version_manifest.json")
+    manifest = store.read_manifest(spark, root)
     parts = []
     for objective in S.OBJECTIVE_DROPS:
         written = spark.read.parquet(f"{root}/v1/{objective}/feature_store.parquet")
@@ -977,6 +977,22 @@ def coefficient_table(spark, sf):
     return explain.top_coefficients(bundle.coefficients(), 30)
 
 
+@query
+def ridge_optimum(spark, sf):
+    """Every feature of a fitted ridge solves its normal equation."""
+    df = lending(spark, sf)
+    train = df.where(F.col("quarter").isin(TRAIN_QUARTERS))
+    return M.ridge_gradient(M.train_linear_regressor(train), train).withColumn("gradient", F.abs(F.round("gradient", 4)))
+
+
+@query
+def logistic_optimum(spark, sf):
+    """The largest gradient of the fitted stress model, per row."""
+    train = stress_splits(spark, sf)["train"]
+    gradient = M.logistic_gradient(M.train_stress_logistic(train), train)
+    return gradient.agg(F.abs(F.round(F.max(F.abs("gradient")), 3)).alias("largest_gradient"))
+
+
 @query
 def train_gbt_classifier(spark, sf):
     splits = stress_splits(spark, sf)

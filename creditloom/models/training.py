@@ -268,6 +268,38 @@ def term_class_target(df: DataFrame) -> DataFrame:
     return df.withColumn("target", serving.term_class(F.col("target").cast("int")))
 
 
+# --- proof of the optimum ------------------------------------------------------------------------------
+
+
+def _gradient(bundle: Bundle, ready: DataFrame, penalty: float) -> DataFrame:
+    """feature, gradient: sums of value x ``__slope`` over all rows, plus ``penalty`` x coefficient, by row count.
+
+    ``ready`` has the raw columns and each row's derivative of the loss in ``__slope``. Zero at the optimum.
+    """
+    entries = bundle.preprocessor.transform_long(ready, ["__slope"])
+    sums = entries.groupBy("feature").agg(F.sum(F.col("value") * F.col("__slope")).alias("s"))
+    n = ready.count()
+    return bundle.coefficients().join(sums, "feature", "left").select(
+        "feature", ((F.coalesce("s", F.lit(0.0)) + F.lit(penalty) * F.col("coefficient")) / F.lit(float(n))).alias("gradient")
+    )
+
+
+def ridge_gradient(bundle: Bundle, train: DataFrame, alpha: float = 10.0) -> DataFrame:
+    """What the normal equations of a fitted ridge leave over, per feature and row."""
+    residual = bundle.predict(train, "__fit").withColumn("__slope", F.col("__fit") - F.col("target"))
+    return _gradient(bundle, materialize(residual, "residuals"), alpha)
+
+
+def logistic_gradient(bundle: Bundle, train: DataFrame, label: str = "stress_flag", c: float = 1.0) -> DataFrame:
+    """The gradient of the balanced, penalised log loss of a fitted stress model, per feature and row."""
+    frame, _, _ = stress_frame(train, label)
+    weights = {r[label]: r["weight"] for r in class_weights(frame, label).collect()}  # one row per class
+    scored = bundle.model.transform(bundle.preprocessor.assemble(frame))
+    weight = F.create_map(*[x for k, w in weights.items() for x in (F.lit(k), F.lit(w))])[F.col(label)]
+    slope = weight * (vector_to_array("probability")[1] - F.col(label))
+    return _gradient(bundle, materialize(scored.select(*frame.columns, slope.alias("__slope")), "slopes"), 1.0 / c)
+
+
 # --- stacking ------------------------------------------------------------------------------------------
 
 ENGINEERED_NUMERIC = [*S.LENDING_NUMERIC, "dti_ltv_interaction", "credit_risk_multiplier"]

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable
 from datetime import datetime, timezone
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,27 +57,72 @@ def read_json(spark: SparkSession, path: str) -> dict | None:
     return json.loads(spark.read.text(path, wholetext=True).first()["value"])
 
 
-def write_json(spark: SparkSession, path: str, content: dict) -> None:
-    """Replace a small file. The new content is complete before the old one goes."""
+def _put(spark: SparkSession, path: str, content: dict, replace: bool) -> bool:
+    """Write a small file that appears whole or not at all; without ``replace`` False if it is there already."""
+    jvm = spark.sparkContext._jvm
     fs, target = _fs_path(spark, path)
-    _, fresh = _fs_path(spark, f"{path}.new")
-    stream = fs.create(fresh, True)
+    name = target.getName()
+    _, fresh = _fs_path(spark, f"{path[: -len(name)]}.{name}.{uuid.uuid4().hex}")
+    stream = fs.create(fresh, False)
     try:
         stream.write(bytearray(json.dumps(content, indent=4), "utf-8"))
     finally:
         stream.close()
-    fs.delete(target, False)
-    fs.rename(fresh, target)
+    try:
+        if not replace and fs.getScheme() == "file":
+            # a local rename looks first and then acts; a link is refused by the system itself
+            paths = [jvm.java.nio.file.Paths.get(fs.makeQualified(p).toUri()) for p in (target, fresh)]
+            jvm.java.nio.file.Files.createLink(*paths)
+            fs.delete(fresh, False)
+        else:
+            rename = jvm.org.apache.hadoop.fs.Options.Rename
+            how = spark.sparkContext._gateway.new_array(rename, 1)
+            how[0] = rename.OVERWRITE if replace else rename.NONE
+            conf = spark.sparkContext._jsc.hadoopConfiguration()
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.makeQualified(fresh).toUri(), conf).rename(fresh, target, how)
+    except Py4JJavaError as e:
+        fs.delete(fresh, False)
+        if not replace and "FileAlreadyExists" in str(e.java_exception):
+            return False
+        raise
+    return True
+
+
+def write_json(spark: SparkSession, path: str, content: dict) -> None:
+    """Write or replace a small file; readers see the old or the new content."""
+    _put(spark, path, content, True)
+
+
+def _commits(spark: SparkSession, root: str) -> list[int]:
+    """Numbers of the complete commits; what a stopped writer left has another kind of name."""
+    fs, folder = _fs_path(spark, f"{root}/manifest")
+    if not fs.exists(folder):
+        return []
+    names = [str(f.getPath().getName()) for f in fs.listStatus(folder)]
+    return sorted(int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit())
+
+
+def read_manifest(spark: SparkSession, root: str) -> dict | None:
+    """The newest manifest of a store: latest_version and versions."""
+    commits = _commits(spark, root)
+    return read_json(spark, f"{root}/manifest/{commits[-1]:09d}.json") if commits else None
 
 
 def register_version(spark: SparkSession, root: str, version: str, entry: dict) -> dict:
-    """Insert or replace one version in the manifest and make it the latest."""
-    path = f"{root}/version_manifest.json"
-    manifest = read_json(spark, path) or {"latest_version": version, "versions": {}}
-    manifest["latest_version"] = version
-    manifest["versions"][version] = entry
-    write_json(spark, path, manifest)
-    return manifest
+    """Insert or replace one version in the manifest and make it the latest.
+
+    Every change is a commit of its own, a numbered file that is created only if it is absent. Whoever comes second
+    reads the first one's commit and takes the next number, so no entry is lost; a writer that stops leaves nothing.
+    """
+    fs, folder = _fs_path(spark, f"{root}/manifest")
+    fs.mkdirs(folder)
+    while True:
+        number = max(_commits(spark, root), default=0)
+        manifest = read_json(spark, f"{root}/manifest/{number:09d}.json") if number else {"latest_version": version, "versions": {}}
+        manifest["latest_version"] = version
+        manifest["versions"][version] = entry
+        if _put(spark, f"{root}/manifest/{number + 1:09d}.json", manifest, False):
+            return manifest
 
 
 # --- writers -----------------------------------------------------------------------------------

@@ -1,3 +1,5 @@
+import threading
+
 import pytest
 
 from creditloom import schemas as S
@@ -50,11 +52,48 @@ def test_manifest_upsert(spark, tmp_path):
     store.register_version(spark, root, "v1", {"rows": 1})
     store.register_version(spark, root, "v2", {"rows": 2})
     store.register_version(spark, root, "v1", {"rows": 3})
-    manifest = store.read_json(spark, f"{root}/version_manifest.json")
+    manifest = store.read_manifest(spark, root)
     assert manifest["latest_version"] == "v1"
     assert {v: e["rows"] for v, e in manifest["versions"].items()} == {"v1": 3, "v2": 2}
 
 
+def test_manifest_after_a_stopped_writer(spark, tmp_path, monkeypatch):
+    root = str(tmp_path)
+    assert store.read_manifest(spark, root) is None
+    store.register_version(spark, root, "v1", {"rows": 1})
+    # stopped before the file got its name
+    (tmp_path / "manifest" / ".000000002.json.abc").write_text('{"latest_ver')
+    assert store.read_manifest(spark, root)["versions"] == {"v1": {"rows": 1}}
+    store.register_version(spark, root, "v2", {"rows": 2})
+    assert sorted(store.read_manifest(spark, root)["versions"]) == ["v1", "v2"]
+    # another writer commits between our reading and our writing
+    real, seen = store._commits, []
+
+    def late(session, where):
+        found = real(session, where)
+        if not seen:
+            seen.append(1)
+            store.register_version(session, where, "other", {"rows": 9})
+        return found
+
+    monkeypatch.setattr(store, "_commits", late)
+    store.register_version(spark, root, "v3", {"rows": 3})
+    assert sorted(store.read_manifest(spark, root)["versions"]) == ["other", "v1", "v2", "v3"]
+
+
+def test_manifest_with_concurrent_writers(spark, tmp_path):
+    root = str(tmp_path)
+    writers = [threading.Thread(target=store.register_version, args=(spark, root, f"v{i}", {"rows": i})) for i in range(6)]
+    for t in writers:
+        t.start()
+    for t in writers:
+        t.join()
+    assert sorted(store.read_manifest(spark, root)["versions"]) == [f"v{i}" for i in range(6)]
+    store.write_json(spark, f"{root}/metadata.json", {"a": 1})
+    store.write_json(spark, f"{root}/metadata.json", {"a": 2})
+    assert store.read_json(spark, f"{root}/metadata.json") == {"a": 2}
+
+
 def test_objective_store_ignores_absent_columns(spark):
     df = spark.createDataFrame([(1, 2, 3)], "loan_identifier int, bssi int, dti int")
     assert store.objective_store(df, "stress_severity").columns == ["dti"]

@@ -1,5 +1,3 @@
-import json
-import os
 
 import pytest
 
@@ -65,8 +63,7 @@ def test_stores_splits_and_reports(spark, master, tmp_path):
     root, reports = str(tmp_path / "store"), str(tmp_path / "reports")
     entry = stages.build_risk_stores(master, root, "v2", "/data/master.parquet", QUARTERS[:2], QUARTERS[2:3], QUARTERS[3:])
     assert (entry["rows"], entry["columns"], entry["source_dataset"]) == (240, 66, "master.parquet")
-    with open(os.path.join(root, "version_manifest.json")) as f:
-        assert json.load(f)["latest_version"] == "v2"
+    assert store.read_manifest(spark, root)["latest_version"] == "v2"
     widths = {"stress_prediction": 37, "stress_severity": 60, "serviceability": 60}
     for objective, width in widths.items():
         splits = store.load_splits(spark, f"{root}/v2/{objective}")

@@ -33,11 +33,18 @@ def deduplicate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents connected by near-duplicate links, the one with the least doc_id stays, once."""
-    made = ngram_join.join(docs)
-    keep = made.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_keep")).distinct()
-    kept = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "text"])
+    """Of documents connected by near-duplicate links, the one with the least doc_id stays, once.
+
+    Rows are known by a hash of doc_id and text, so several texts under one doc_id, or under none, are judged one by
+    one; of equal rows one stays. A null doc_id counts as the largest.
+    """
+    row = F.xxhash64("doc_id", F.col("doc_id").isNull(), "text")
+    rows = docs.withColumn("_row", row)
+    classes = ngram_join.join(rows.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "class_id")
+    known = classes.join(rows.select("_row", "doc_id").distinct(), "_row").groupBy("class_id").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("first")
+    )
+    return rows.join(known.select(F.col("first._row").alias("_row")), "_row", "left_semi").dropDuplicates(["_row"]).drop("_row")
 
 
 def remove_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +62,7 @@ STAGES = [
     ("benchmark", remove_leaks), ("packing", pack),
 ]
 
-#: Trained models, fuzzy components and tokenizers are beyond SQL; tests hold every stage against brute force.
+#: Trained models, fuzzy components and tokenizers are beyond SQL; a test holds run() against a brute-force version.
 ORACLE_SQL = None
 
 

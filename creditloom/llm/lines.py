@@ -21,7 +21,6 @@ cannot clash.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from functools import partial
 
@@ -29,7 +28,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -142,20 +141,20 @@ def _candidates(docs: DataFrame, shared: np.ndarray, buckets: int, min_words: in
 
 
 def _places(docs: DataFrame, min_words: int, characters: int) -> DataFrame:
-    """line, d, crc (of the text), index (of the line in its text) of every line that takes part."""
+    """line, d, mark (of the text), index (of the line in its text) of every line that takes part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows in slices(batch, "text", SLICE):
                 lines = Lines(rows.column("text"), min_words, characters)
                 owner = lines.spans.owner
-                crc = np.array([zlib.crc32(x.as_buffer()) if x.is_valid else 0 for x in rows.column("text").cast(pa.binary())], np.int64)
+                mark = rows.column("mark").to_numpy(zero_copy_only=False)
                 d = rows.column("d").to_numpy(zero_copy_only=False)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(signed(lines.hash)), pa.array(d[owner]), pa.array(crc[owner], pa.int64()), pa.array(lines.index, pa.int32())], ["line", "d", "crc", "index"]
+                    [pa.array(signed(lines.hash)), pa.array(d[owner]), pa.array(mark[owner]), pa.array(lines.index, pa.int32())], ["line", "d", "mark", "index"]
                 )
 
-    return docs.select("d", "text").mapInArrow(tidy(run), "line long, d long, crc long, index int")
+    return docs.select("d", "text", "mark").mapInArrow(tidy(run), "line long, d long, mark long, index int")
 
 
 def _grams(body: bytes, characters: int) -> np.ndarray:
@@ -247,20 +246,25 @@ def near_lines(docs: DataFrame, min_words: int = MIN_WORDS, characters: int = 0)
     return store(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more), "stars"), "roots")
 
 
+def _mark(doc_id: Column, text: Column) -> Column:
+    return F.xxhash64(doc_id.isNull(), text)
+
+
 def deduplicate(docs: DataFrame, min_words: int = MIN_WORDS, characters: int = 0) -> DataFrame:
     """Every document (struct ``doc``) with ``n_lines``, ``n_removed`` and ``kept``, its text without the removed lines."""
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    plain = plain.select(F.coalesce("doc_id", F.lit(_LAST)).alias("d"), "text")
+    # rows of one doc_id are told apart by a 64-bit hash of their text, salted by whether there is an id at all
+    plain = plain.select(F.coalesce("doc_id", F.lit(_LAST)).alias("d"), "text", _mark(F.col("doc_id"), F.col("text")).alias("mark"))
     places = store(_places(plain, min_words, characters), "places")
     roots = near_lines(plain, min_words, characters).select(F.col("node").alias("line"), "root")
-    spot = F.struct("d", "crc", "index")
+    spot = F.struct("d", "mark", "index")
     lines = places.groupBy("line").agg(F.min(spot).alias("spot"), F.max(spot).alias("last"))
     lines = lines.join(roots, "line", "left")
     # lines alone of their kind are done
     alone = lines.where("root is null and spot < last").select("line", "spot")
     kinds = lines.where("root is not null")
     keepers = kinds.join(kinds.groupBy("root").agg(F.min("spot").alias("keeper")), "root").select("line", F.col("keeper").alias("spot"))
-    gone = places.join(alone.unionByName(keepers), "line").where(spot != F.col("spot")).groupBy("d", "crc").agg(F.collect_set("index").alias("gone"))
+    gone = places.join(alone.unionByName(keepers), "line").where(spot != F.col("spot")).groupBy("d", "mark").agg(F.collect_set("index").alias("gone"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -280,7 +284,7 @@ def deduplicate(docs: DataFrame, min_words: int = MIN_WORDS, characters: int = 0
 
     keyed = docs.select(
         F.struct("*").alias("doc"), F.col("text").cast("string").alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("d"),
-        F.coalesce(F.crc32(F.encode(F.col("text").cast("string"), "utf-8")), F.lit(0)).alias("crc"),
+        _mark(F.col("doc_id"), F.col("text").cast("string")).alias("mark"),
     )
     schema = T.StructType().add("doc", docs.schema, False).add("n_lines", "long").add("n_removed", "long").add("kept", "string")
-    return keyed.join(gone, ["d", "crc"], "left").select("doc", "text", "gone").mapInArrow(tidy(run), schema)
+    return keyed.join(gone, ["d", "mark"], "left").select("doc", "text", "gone").mapInArrow(tidy(run), schema)

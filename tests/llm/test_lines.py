@@ -1,5 +1,6 @@
 import hashlib
 import itertools
+import zlib
 
 import numpy as np
 
@@ -45,3 +46,14 @@ def test_shingles_are_runs_of_characters(spark, frame, tmp_path):
     frame(list(enumerate(kinds))).write.parquet(f"{tmp_path}/documents.parquet")
     got = queries.op8_line_dedup(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in got if r.n_removed == 0} == set(label)
+
+
+def test_texts_of_one_id_with_equal_checksums(spark, frame, tmp_path):
+    """plumless and buckeroo have the same crc32; what one text loses must not be taken from the other."""
+    assert zlib.crc32(b"plumless") == zlib.crc32(b"buckeroo")
+    rows = [(None, "plumless"), (None, "buckeroo"), (1, "plumless\nown words of the first"), (2, "buckeroo"), (2, "plumless"), ((1 << 63) - 1, "the last id")]
+    frame(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.n_removed, r.kept_sha256) for r in queries.op8_line_dedup(spark, str(tmp_path)).collect())
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    want = [(False, 1, 0, sha(rows[2][1])), (False, 2, 0, sha("buckeroo")), (False, 2, 1, sha("")), (False, (1 << 63) - 1, 0, sha("the last id")), (True, 0, 1, sha("")), (True, 0, 1, sha(""))]
+    assert got == sorted(want)

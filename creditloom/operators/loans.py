@@ -204,13 +204,32 @@ def loan_table(origination: DataFrame, performance: DataFrame) -> DataFrame:
     return join_labels(clean_origination(origination), loan_rollup(performance))
 
 
-def build_master(origination: DataFrame, performance: DataFrame) -> DataFrame:
+def checked_loan_table(origination: DataFrame, performance: DataFrame) -> DataFrame:
+    """:func:`loan_table`, written, with an error unless both sides have as many loans.
+
+    Loans of one side only are written with the others and told apart by a flag, so the records are read once and the
+    counts come from the written flags. Origination has one row per loan; rows without an id are not loans.
+    """
+    left = clean_origination(origination).withColumn("__left", F.lit(True))
+    right = loan_rollup(performance).withColumn("__right", F.lit(True))
+    both = materialize(left.join(right, S.ID_COLUMN, "full_outer").where(F.col(S.ID_COLUMN).isNotNull()), "loans")
+    seen = both.agg(
+        F.count("__left").alias("left_keys"), F.count("__right").alias("right_keys"),
+        F.count_if(F.col("__right").isNull()).alias("left_only"), F.count_if(F.col("__left").isNull()).alias("right_only"),
+    ).first()
+    if seen["left_keys"] != seen["right_keys"]:
+        raise ValueError(f"loan mismatch, the two tables hold different loans: {seen.asDict()}")
+    return both.where(F.col("__left") & F.col("__right")).drop("__left", "__right")
+
+
+def build_master(origination: DataFrame, performance: DataFrame, check_keys: bool = False) -> DataFrame:
     """The 66-column master table of all quarters.
 
     ``origination`` carries its ``quarter``. The joined loan table is written once, because the
-    score bounds and the bucket edges each need another pass over it.
+    score bounds and the bucket edges each need another pass over it. ``check_keys`` compares the loans of both sides
+    in the same pass.
     """
-    joined = materialize(loan_table(origination, performance), "loans")
+    joined = checked_loan_table(origination, performance) if check_keys else materialize(loan_table(origination, performance), "loans")
     master = R.performance_ratios(add_bss(joined))
     master = R.quarter_columns(master, F.col("quarter"))
     return master.withColumn("serviceability_score", R.serviceability_score())

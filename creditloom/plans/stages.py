@@ -1,4 +1,4 @@
-"""The batch run, stage by stage: raw files -> master -> stores and splits -> reports -> models.
+"""The batch run, stage by stage: raw files -> master -> stores and splits -> reports -> models -> comparison.
 
 Every stage reads what the previous one wrote, so a run can be resumed at any stage.
 """
@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from creditloom import schemas as S
 from creditloom.functions import rules as R
 from creditloom.models import training as M
-from creditloom.operators import loans, metrics, profile, quality, ranking
+from creditloom.models.persistence import save_bundle
+from creditloom.operators import explain, loans, metrics, profile, quality, ranking
 from creditloom.runtime import materialize
 from creditloom.sources import feature_store as store
 from creditloom.sources.raw_text import quarter_paths, read_origination, read_performance
@@ -22,9 +23,7 @@ def build_master(spark: SparkSession, raw_folder: str, quarters: list[str], out:
     paths = quarter_paths(spark, raw_folder, quarters)
     origination = read_origination(spark, paths["origination"], with_quarter=True).drop("year", "quarter_num")
     performance = read_performance(spark, paths["performance"])
-    if check_keys:
-        quality.require_same_keys(origination, performance)
-    master = quality.validate_master(loans.build_master(origination, performance))
+    master = quality.validate_master(loans.build_master(origination, performance, check_keys))
     store.write_table(master, out, ["quarter"])
     return spark.read.parquet(out)
 
@@ -105,3 +104,59 @@ def lending_suite(
             table = row if table is None else table.unionByName(row)
         out[objective] = ({b.name: b for b in models}, table)
     return out
+
+
+# --- models from written splits ------------------------------------------------------------------
+
+
+def train_stress_models(spark: SparkSession, root: str, version: str, model_root: str, report_root: str, rounds: int = 500, depth: int = 10) -> None:
+    """Fit both stress models on the written splits, save them and write their reports."""
+    splits = store.load_splits(spark, f"{root}/{version}/stress_prediction")
+    fitted = {
+        "logistic": M.train_stress_logistic(splits["train"]),
+        "boosting": M.train_stress_boosting(splits["train"], splits["valid"], rounds=rounds, depth=depth),
+    }
+    for name, bundle in fitted.items():
+        save_bundle(bundle, f"{model_root}/{version}/stress_prediction/{name}")
+        for report, table in stress_report(bundle, splits["test"]).items():
+            store.write_report(table, f"{report_root}/{version}/stress_prediction/{name}_{report}")
+    store.write_report(fitted["boosting"].feature_importance(), f"{report_root}/{version}/stress_prediction/feature_importance")
+    store.write_report(explain.top_coefficients(fitted["logistic"].coefficients()), f"{report_root}/{version}/stress_prediction/coefficients")
+
+
+def train_lending_models(spark: SparkSession, root: str, version: str, model_root: str, report_root: str, **settings) -> dict[str, M.ModelSet]:
+    """Fit two models for each lending target on the written splits, save them and write their test metrics.
+
+    Returns the model sets by name; ``settings`` are those of :func:`lending_suite`.
+    """
+    splits = {o: store.load_splits(spark, f"{root}/{version}/{o}") for o in S.LENDING_TARGETS}
+    suite = lending_suite(splits, **settings)
+    for objective, (bundles, table) in suite.items():
+        store.write_report(table, f"{report_root}/{version}/{objective}/model_metrics")
+        for name, bundle in bundles.items():
+            save_bundle(bundle, f"{model_root}/{version}/{objective}/{name}")
+    names = list(suite["loan_amount"][0])
+    return {n: M.ModelSet(*(suite[o][0][n] for o in ("loan_amount", "loan_term", "interest_rate"))) for n in names}
+
+
+# --- comparison of fitted models -----------------------------------------------------------------
+
+
+def compare_models(sets: dict[str, M.ModelSet], tests: dict[str, DataFrame]) -> DataFrame:
+    """Regression metrics of every model set on the test frames of loan_amount and interest_rate."""
+    scored = []
+    for name, models in sets.items():
+        for objective, bundle in (("loan_amount", models.amount), ("interest_rate", models.rate)):
+            scored.append(({"model_key": name, "target": objective}, bundle.predict(tests[objective]).select("target", "prediction")))
+    return metrics.model_comparison(scored, "target", "prediction")
+
+
+def model_impacts(sets: dict[str, M.ModelSet], tests: dict[str, DataFrame], key: list[str], features: list[str] = S.LENDING_FEATURES) -> DataFrame:
+    """Permutation impact of every feature on every fitted amount and rate model."""
+    out = None
+    for name, models in sets.items():
+        for objective, bundle in (("loan_amount", models.amount), ("interest_rate", models.rate)):
+            impact = explain.model_permutation_impact(tests[objective].select(*key, *features), bundle.predict, "prediction", features, key)
+            part = impact.select(F.lit(name).alias("model_key"), F.lit(objective).alias("target"), "feature", "mean_absolute_impact", "mean_signed_impact")
+            out = part if out is None else out.unionByName(part)
+    return out

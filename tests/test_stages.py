@@ -1,7 +1,10 @@
 
 import pytest
+from pyspark.sql import functions as F
 
 from creditloom import schemas as S
+from creditloom.models import training as M
+from creditloom.models.persistence import load_bundle
 from creditloom.plans import stages
 from creditloom.sources import feature_store as store
 
@@ -90,3 +93,24 @@ def test_mismatching_loans_stop_the_run(spark, tmp_path):
     path.write_text("\n".join(path.read_text().splitlines()[1:]) + "\n")
     with pytest.raises(ValueError, match="mismatch"):
         stages.build_master(spark, str(tmp_path), QUARTERS, str(tmp_path / "master"))
+
+
+def test_models_from_written_splits(spark, master, tmp_path):
+    """Stores are read, models saved and loaded, reports written, every model compared."""
+    root, models, reports = (str(tmp_path / n) for n in ("store", "models", "reports"))
+    stages.build_lending_stores(master, root, "v3")
+    sets = stages.train_lending_models(spark, root, "v3", models, reports, rounds=3, term_rounds=3, depth=2)
+    assert list(sets) == ["fast_linear", "smart_tree"]
+    for objective in S.LENDING_TARGETS:
+        table = spark.read.csv(f"{reports}/v3/{objective}/model_metrics", header=True).collect()
+        assert sorted(r["model"] for r in table) == ["fast_linear", "smart_tree"]
+    tests = {o: store.load_splits(spark, f"{root}/v3/{o}")["test"].withColumn("id", F.monotonically_increasing_id()) for o in ("loan_amount", "interest_rate")}
+    loaded = {n: M.ModelSet(*(load_bundle(spark, f"{models}/v3/{o}/{n}") for o in ("loan_amount", "loan_term", "interest_rate"))) for n in sets}
+    assert sorted(stages.compare_models(sets, tests).collect()) == sorted(stages.compare_models(loaded, tests).collect())
+    assert stages.compare_models(loaded, tests).count() == 4
+    impacts = stages.model_impacts({"smart_tree": loaded["smart_tree"]}, tests, ["id"]).collect()
+    assert {(r["model_key"], r["target"]) for r in impacts} == {("smart_tree", "loan_amount"), ("smart_tree", "interest_rate")} and len(impacts) == 2 * len(S.LENDING_FEATURES)
+    stages.build_risk_stores(master, root, "v2", "master", QUARTERS[:2], QUARTERS[2:3], QUARTERS[3:])
+    stages.train_stress_models(spark, root, "v2", models, reports, rounds=3, depth=2)
+    assert spark.read.csv(f"{reports}/v2/stress_prediction/boosting_metrics", header=True).count() == 1
+    assert load_bundle(spark, f"{models}/v2/stress_prediction/logistic").predict(store.load_splits(spark, f"{root}/v2/stress_prediction")["test"]).count() == 60

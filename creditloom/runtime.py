@@ -38,7 +38,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = work_path(spark, label)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)  # intermediates share the disk with the shuffles
     return spark.read.schema(df.schema).parquet(path)
 
 

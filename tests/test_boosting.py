@@ -101,3 +101,25 @@ def test_constant_and_tiny_tables(spark):
     assert model.transform(frame(spark, x, np.arange(20.0)).where("id < 0")).count() == 0
     with pytest.raises(ValueError):
         B.Boosting().fit(frame(spark, x, np.arange(20.0)).where("id < 0"))
+
+
+def test_tasks_follow_the_cores_not_the_files(spark, monkeypatch):
+    """Jobs of milliseconds: no more tasks than cores, though the rows allow more, and no fewer because of few files."""
+    monkeypatch.setattr(B, "_TASK_ROWS", 10)
+    rng = np.random.default_rng(4)
+    x, cores = rng.normal(0, 1, (600, 2)), spark.sparkContext.defaultParallelism
+    valid = np.arange(600) % 5 == 0
+    rows = frame(spark, x, x[:, 0], valid).selectExpr("id", "features", "label AS y", "1D AS w", "v").coalesce(1)
+    rows = rows.select(B.vector_to_array("features").alias("x"), "y", "w", "v")
+    edges = [np.array([-0.5, 0.0, 0.5])] * 2
+    blocks = B.Boosting()._blocks(rows, edges, np.zeros(1))
+    assert blocks.getNumPartitions() == min(60, cores)
+    got = blocks.collect()
+    assert sum(len(b[1]) for b in got if b[3]) == valid.sum() and sum(len(b[1]) for b in got) == 600
+    blocks.unpersist()
+    # sums that come back directly and sums that meet in a shuffle make the same trees
+    fitted = []
+    for most in (1 << 30, 0):
+        monkeypatch.setattr(B, "_AT_ONCE", most)
+        fitted.append(B.Boosting(rounds=4, depth=6, patience=9).fit(frame(spark, x, x[:, 0] * x[:, 1], valid), validation="v"))
+    np.testing.assert_allclose(fitted[0].scores(x), fitted[1].scores(x), atol=1e-9)

@@ -1081,4 +1081,5 @@ def model_pdp_curve(spark, sf):
 def model_permutation_impact(spark, sf):
     splits = lending_splits(spark, sf, "loan_amount")
     bundle = published_regressor(spark, sf, "loan_amount")
-    return explain.model_permutation_impact(splits["test"], bundle.predict, "prediction", S.LENDING_FEATURES, [ID])
+    encoded = (bundle.preprocessor.assemble, bundle.model.scores, bundle.preprocessor.feature_names)
+    return explain.model_permutation_impact(splits["test"], bundle.predict, "prediction", S.LENDING_FEATURES, [ID], encoded=encoded)

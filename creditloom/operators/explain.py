@@ -112,11 +112,16 @@ def model_permutation_impact(
     features: list[str],
     key: list[str],
     seed: int = 2027,
+    encoded: tuple[Callable[[DataFrame], DataFrame], Callable[[np.ndarray], np.ndarray], list[str]] | None = None,
 ) -> DataFrame:
     """Permutation impact of a fitted model: every row is scored once per permuted feature.
 
     The plain prediction comes first and travels with the row, so nothing has to be brought together afterwards.
+    ``encoded`` names a model that scores arrays: how a frame gets its vector ``features``, the scores, and the names of
+    the vector's places. A value's code does not depend on its row, so values are encoded once and codes permuted.
     """
+    if encoded:
+        return _encoded_impact(df, *encoded, features, key, seed)
     mixed = predict(permute_columns(df, features, key, seed)).withColumnRenamed(prediction, "__base")
     versions = mixed.select(*key, "__base", F.inline(_versions(features, features)))
     scored = predict(versions.withColumnRenamed("feature", "__feature"))
@@ -126,6 +131,38 @@ def model_permutation_impact(
     )
 
 
+def _encoded_impact(
+    df: DataFrame, assemble: Callable[[DataFrame], DataFrame], scores: Callable[[np.ndarray], np.ndarray], names: list[str],
+    features: list[str], key: list[str], seed: int,
+) -> DataFrame:
+    vector = assemble(df).select(*key, vector_to_array("features").alias("__x"))
+    codes = vector.select(*key, *[F.get("__x", F.lit(i)).alias(c) for i, c in enumerate(names)])
+    mixed = permute_columns(codes, features, key, seed)
+    sent = df.sparkSession.sparkContext.broadcast((scores, [names.index(c) for c in features]))
+
+    @F.pandas_udf("array<double>")
+    def changes(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        scores, places = sent.value
+        for plain, moved in batches:
+            if not len(plain):
+                yield pd.Series([], dtype=object)
+                continue
+            x, other = np.stack(plain.to_numpy()), np.stack(moved.to_numpy())
+            base, out = scores(x)[:, 0], np.empty(other.shape)
+            for i, place in enumerate(places):
+                version = x.copy()
+                version[:, place] = other[:, i]
+                out[:, i] = scores(version)[:, 0] - base
+            yield pd.Series(list(out), dtype=object)
+
+    delta = changes(F.array(*[F.col(c) for c in names]), F.array(*[F.col(f"{c}__permuted") for c in features]))
+    each = mixed.select(F.posexplode(delta).alias("i", "delta")).groupBy("i").agg(
+        F.avg(F.abs("delta")).alias("mean_absolute_impact"), F.avg("delta").alias("mean_signed_impact")
+    )
+    labels = F.array(*[F.lit(c) for c in features])
+    return each.select(F.get(labels, "i").alias("feature"), "mean_absolute_impact", "mean_signed_impact")
+
+
 def top_impacts(impacts: DataFrame, k: int = 5) -> DataFrame:
     return top_per_group(
         impacts, ["model_key", "target"], [F.desc("mean_absolute_impact"), F.asc("feature")], k

@@ -874,7 +874,8 @@ def pdp_curve(spark, sf):
 
 
 def _explained(spark, sf) -> tuple[DataFrame, explain.LinearScorer, DataFrame]:
-    frame = lending_frame(spark, sf)
+    # the sample, its averages and the contributions read it
+    frame = runtime.materialize(lending_frame(spark, sf), "explained")
     scorer = explain.LinearScorer(*LINEAR_MODELS["model_a", "loan_amount"])
     return frame, scorer, ranking.sample_cap(frame, [ID], 100)
 

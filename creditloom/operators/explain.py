@@ -22,6 +22,8 @@ from creditloom.runtime import local_table, quoted, to_long
 # a model as a column expression: feature name -> Column  =>  prediction
 Scorer = Callable[[dict[str, Column]], Column]
 
+_TASK_CONTRIBUTIONS = 500_000
+
 
 @dataclass
 class LinearScorer:
@@ -250,8 +252,13 @@ def base_feature(name: Column) -> Column:
 
 
 def attribution_rollup(contributions: DataFrame, key: list[str], k: int = 5) -> DataFrame:
-    """Strongest ``k`` base features per row, with readable label and direction."""
-    summed = contributions.groupBy(*key, base_feature(F.col("feature")).alias("feature")).agg(
+    """Strongest ``k`` base features per row, with readable label and direction.
+
+    A row's contributions are brought together once, for the sums and the ranking. Nearly every contribution is a group
+    of its own, so the number of tasks follows their count and a task's groups stay few.
+    """
+    tasks = max(1, -(-contributions.count() // _TASK_CONTRIBUTIONS))
+    summed = contributions.repartition(tasks, *key).groupBy(*key, base_feature(F.col("feature")).alias("feature")).agg(
         F.sum("contribution").alias("score")
     )
     ranked = top_per_group(summed, key, [F.abs("score").desc(), F.asc("feature")], k)

@@ -18,6 +18,17 @@ def rows(spark):
     return spark.range(200).selectExpr("id AS k", "CAST(id % 7 AS DOUBLE) AS a", "CAST(id * 37 % 11 AS DOUBLE) AS b").cache()
 
 
+def test_rollup_tasks_follow_the_contributions(spark, monkeypatch):
+    monkeypatch.setattr(explain, "_TASK_CONTRIBUTIONS", 50)
+    parts = spark.range(100).selectExpr(
+        "IF(id < 10, NULL, id) AS k", "inline(array(named_struct('feature', 'x__1', 'contribution', id * 1D), named_struct('feature', 'x__2', 'contribution', 1D), named_struct('feature', 'y', 'contribution', -2D * id)))"
+    )
+    out = explain.attribution_rollup(parts, ["k"], 1)
+    assert out.rdd.getNumPartitions() == 6
+    got = {r["k"]: (r["feature"], r["value"]) for r in out.collect()}
+    assert len(got) == 91 and got[50] == ("y", -100.0) and got[None] == ("y", -90.0)
+
+
 def boosted():
     tree = B.Tree(np.array([1, 0, -1] + [-1] * 4, np.int32), np.array([1, 2, 0] + [0] * 4, np.int32), np.array([0.0, 0.0, 4.0, 1.0, -2.0, 0.0, 0.0]))
     return B.BoostedModel("squared", np.array([0.5]), [np.array([1.0, 2.0, 4.0]), np.array([3.0, 6.0])], [[tree]], np.ones(2))

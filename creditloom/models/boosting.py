@@ -166,8 +166,14 @@ class BoostedModel:
 
     def scores(self, x: np.ndarray) -> np.ndarray:
         """The prediction of a regression, the probabilities of all classes of a classification."""
-        margin = np.tile(self.base, (len(x), 1))
-        p = _probability(self.loss, _add(margin, self.rounds, _binned(x, self.edges))) if len(x) else margin
+        return self.binned_scores(self.binned(x))
+
+    def binned(self, x: np.ndarray) -> np.ndarray:
+        return _binned(x, self.edges)
+
+    def binned_scores(self, bins: np.ndarray) -> np.ndarray:
+        margin = np.tile(self.base, (len(bins), 1))
+        p = _probability(self.loss, _add(margin, self.rounds, bins)) if len(bins) else margin
         return np.column_stack([1.0 - p, p]) if self.loss == "logistic" else p
 
     def transform(self, df: DataFrame, features: str = "features", prediction: str = "prediction") -> DataFrame:

@@ -70,7 +70,7 @@ class Bundle:
         """Additive contributions of a boosted model, one row per (row, feature), against a bounded background sample."""
         prep = self.preprocessor
         sample = prep.assemble(background).select(vector_to_array("features").alias("x"))
-        return explain.array_attribution(prep.assemble(df), sample, self.model.scores, prep.feature_names, keep)
+        return explain.array_attribution(prep.assemble(df), sample, self.model.binned_scores, prep.feature_names, keep, prepare=self.model.binned)
 
     def coefficients(self) -> DataFrame:
         names = self.preprocessor.feature_names

@@ -324,30 +324,31 @@ def sampled_attribution(
 
 def array_attribution(
     df: DataFrame, background: DataFrame, scores: Callable[[np.ndarray], np.ndarray], names: list[str], keep: list[str],
-    features: str = "features", background_rows: int = 100,
+    features: str = "features", background_rows: int = 100, prepare: Callable[[np.ndarray], np.ndarray] = np.asarray,
 ) -> DataFrame:
     """The attribution of :func:`sampled_attribution` for a model that scores arrays, one row per (row, feature).
 
     ``df`` has the model vector in ``features``, ``background`` the bounded sample as arrays ``x``. All switched
     versions of a row are scored as one array within its Arrow batch and only the contributions leave it: no shuffle.
+    ``prepare`` turns values into what ``scores`` reads, each by itself, so it is applied before the switching.
     """
     sample = background.limit(background_rows + 1).collect()
     if not 0 < len(sample) <= background_rows:
         raise ValueError(f"the background sample must have 1 to {background_rows} rows")
-    z = np.array([r["x"] for r in sample], float)
+    z = prepare(np.array([r["x"] for r in sample], float))
     n = z.shape[1]
     # which features come from the row, after 0, 1, 2 ... steps forwards and backwards
     taken = np.tri(n + 1, n, -1, dtype=bool)
     taken = np.stack([taken, taken[:, ::-1]])
-    sent = df.sparkSession.sparkContext.broadcast((z, taken, scores))
+    sent = df.sparkSession.sparkContext.broadcast((z, taken, scores, prepare))
 
     @F.pandas_udf("array<double>")
     def contributions(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        z, taken, scores = sent.value
+        z, taken, scores, prepare = sent.value
         for batch in batches:
             out = []
-            for x in batch:
-                versions = np.where(taken[:, :, None, :], np.asarray(x), z)
+            for x in prepare(np.stack(batch.to_numpy())) if len(batch) else ():
+                versions = np.where(taken[:, :, None, :], x, z)
                 p = scores(versions.reshape(-1, z.shape[1]))[:, 0].reshape(versions.shape[:3]).mean(axis=2)
                 steps = np.diff(p, axis=1)
                 out.append((steps[0] + steps[1, ::-1]) / 2)

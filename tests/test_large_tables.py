@@ -34,6 +34,16 @@ def boosted():
     return B.BoostedModel("squared", np.array([0.5]), [np.array([1.0, 2.0, 4.0]), np.array([3.0, 6.0])], [[tree]], np.ones(2))
 
 
+def test_attribution_switches_bins(spark, rows):
+    model = boosted()
+    df = rows.select("k", array_to_vector(F.array("a", "b")).alias("features"))
+    sample = rows.where("k < 5").select(F.array("a", "b").alias("x"))
+    plain = explain.array_attribution(df, sample, model.scores, ["a", "b"], ["k"])
+    bins = explain.array_attribution(df, sample, model.binned_scores, ["a", "b"], ["k"], prepare=model.binned)
+    p, q = ({(r["k"], r["feature"]): r["contribution"] for r in d.collect()} for d in (plain, bins))
+    assert p == q and len(p) == 400 and len(set(p.values())) > 5
+
+
 def test_impact_of_codes_equals_impact_of_values(rows):
     model = boosted()
 

@@ -83,8 +83,14 @@ def _session() -> SparkSession:
 
 
 def _cached_fit(estimator, df: DataFrame):
-    """Fit on a cached copy: every iteration scans the data, and lost blocks are recomputed."""
+    """Fit on a cached copy: every iteration scans the data, and lost blocks are recomputed.
+
+    Logistic regression caches its own blocks of rows; a second copy of the vectors would only push them out of memory,
+    so its input is written instead.
+    """
     checkpoint_root(df.sparkSession)  # long tree lineages are cut in the shared folder
+    if isinstance(estimator, LogisticRegression):
+        return estimator.fit(materialize(df, "fit"))
     df = df.persist()
     try:
         return estimator.fit(df)

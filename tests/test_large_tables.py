@@ -58,3 +58,12 @@ def test_impact_of_codes_equals_impact_of_values(rows):
     want = {r["feature"]: tuple(r[1:]) for r in plain}
     assert len(codes) == 2 and all(tuple(r[1:]) == pytest.approx(want[r["feature"]]) for r in codes)
     assert all(r["mean_absolute_impact"] > 0 for r in codes)
+
+
+def test_logistic_input_is_not_cached_twice(rows, monkeypatch):
+    cached = []
+    fit = LogisticRegression.fit
+    monkeypatch.setattr(LogisticRegression, "fit", lambda self, df: cached.append(df.storageLevel.useMemory) or fit(self, df))
+    ready = rows.select(array_to_vector(F.array("a", "b")).alias("features"), (F.col("a") > F.col("b")).cast("double").alias("label"))
+    model = M._cached_fit(LogisticRegression(maxIter=5), ready)
+    assert cached == [False] and model.numFeatures == 2

@@ -34,7 +34,12 @@ def ordered_bits(value: str) -> str:
     # the logarithm may be off by one next to a power of two
     guess = f"floor(log2({size}))"
     exponent = f"({guess} + CASE WHEN {size} < pow(2D, {guess}) THEN -1 WHEN {size} >= 2 * pow(2D, {guess}) THEN 1 ELSE 0 END)"
-    normal = f"shiftleft(CAST({exponent} + 1023 AS BIGINT), 52) + CAST(({size} / pow(2D, {exponent}) - 1) * 4503599627370496D AS BIGINT)"
+    return _ordered_bits(value, exponent, f"pow(2D, {exponent})")
+
+
+def _ordered_bits(value: str, exponent: str, scale: str) -> str:
+    size = f"abs({value})"
+    normal = f"shiftleft(CAST({exponent} + 1023 AS BIGINT), 52) + CAST(({size} / ({scale}) - 1) * 4503599627370496D AS BIGINT)"
     small = f"CAST({size} * {2.0**537!r}D * {2.0**537!r}D AS BIGINT)"
     pattern = (
         f"CASE WHEN isnan({value}) THEN shiftleft(2047L, 52) + 1 WHEN {size} = double('infinity') THEN shiftleft(2047L, 52) "
@@ -52,7 +57,11 @@ def _values(df: DataFrame, columns: list[str], by: list[str], used: list[int]) -
     """(g, c, v, key): the non-null values of the columns with the numbers ``used``."""
     cells = ", ".join(f"named_struct('c', {i}, 'v', CAST({ident(columns[i])} AS DOUBLE))" for i in used)
     long = df.select(_group(by).alias("g"), F.expr(f"inline(array({cells}))")).where("v IS NOT NULL")
-    return long.withColumn("key", F.expr(ordered_bits("v")))
+    # one logarithm and one power for each value, in columns of their own, instead of one wherever they are needed
+    steps = long.withColumn("__guess", F.expr("floor(log2(abs(v)))")).withColumn("__power", F.expr("pow(2D, __guess)"))
+    steps = steps.withColumn("__off", F.expr("CASE WHEN abs(v) < __power THEN -1 WHEN abs(v) >= 2 * __power THEN 1 ELSE 0 END"))
+    scale = "CASE WHEN __off = 0 THEN __power ELSE pow(2D, __guess + __off) END"
+    return steps.withColumn("key", F.expr(_ordered_bits("v", "(__guess + __off)", scale))).drop("__guess", "__power", "__off")
 
 
 def _marks(probs: list[float]) -> str:

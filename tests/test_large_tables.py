@@ -67,3 +67,8 @@ def test_logistic_input_is_not_cached_twice(rows, monkeypatch):
     ready = rows.select(array_to_vector(F.array("a", "b")).alias("features"), (F.col("a") > F.col("b")).cast("double").alias("label"))
     model = M._cached_fit(LogisticRegression(maxIter=5), ready)
     assert cached == [False] and model.numFeatures == 2
+
+
+def test_quantile_keys_take_one_logarithm(rows):
+    plan = quantiles._values(rows, ["a", "b"], [], [0, 1])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("log2(") == 1

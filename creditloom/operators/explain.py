@@ -183,9 +183,17 @@ def pdp_curve(
     """Average prediction with the ``moved`` features set to each grid point in turn.
 
     ``predict`` is a scorer, or with ``prediction`` named a fitted model's scoring function. The grid
-    is a short fixed list; rows are expanded by it and averaged map-side.
+    is a short fixed list; rows are expanded by it and averaged map-side. In a linear model the terms that stay are
+    added up once for each row, before it is expanded.
     """
     points = F.array(*[F.struct(F.lit(i).alias("point"), F.lit(float(g)).alias("value")) for i, g in enumerate(grid)])
+    if prediction is None and isinstance(predict, LinearScorer):
+        stay = [predict.term(n, F.col(n)) for n in predict.features if n not in moved]
+        rest = df.select(reduce(lambda a, b: a + b, stay, F.lit(predict.intercept)).alias("__rest"))
+        steps = [predict.term(n, F.col("value")) for n in predict.features if n in moved]
+        total = reduce(lambda a, b: a + b, steps, F.col("__rest"))
+        scored = rest.select("__rest", F.inline(points)).withColumn("__prediction", predict.link(total))
+        return scored.groupBy("point", "value").agg(F.avg("__prediction").alias("prediction"))
     expanded = df.drop(*moved).select("*", F.inline(points)).withColumns({c: F.col("value") for c in moved})
     if prediction is None:
         prediction = "__prediction"

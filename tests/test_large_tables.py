@@ -60,6 +60,19 @@ def test_impact_of_codes_equals_impact_of_values(rows):
     assert all(r["mean_absolute_impact"] > 0 for r in codes)
 
 
+def test_pdp_of_a_linear_model_expands_one_number(rows):
+    scorer = explain.LinearScorer(1.0, {"a": 2.0, "b": -1.0, "c": 0.5}, {"t": {"x": 3.0}}, F.expm1)
+    df = rows.selectExpr("k", "a / 10 AS a", "b / 10 AS b", "a / 7 AS c", "IF(k % 3 = 0, 'x', NULL) AS t")
+    grid = [0.0, 0.5, 1.0]
+    fast = explain.pdp_curve(df, scorer, ["a", "b"], grid)
+    slow = explain.pdp_curve(df, lambda c: scorer(c), ["a", "b"], grid)
+    want = {r["point"]: r["prediction"] for r in slow.collect()}
+    assert {r["point"]: pytest.approx(r["prediction"]) for r in fast.collect()} == want and len(want) == 3
+    generate = [line for line in fast._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Generate" in line]
+    assert len(generate) == 1
+    assert sum("element_at" in line for line in fast._jdf.queryExecution().optimizedPlan().toString().splitlines()) == 1
+
+
 def test_logistic_input_is_not_cached_twice(rows, monkeypatch):
     cached = []
     fit = LogisticRegression.fit

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from creditloom import schemas as S
+from creditloom.runtime import materialize
 from creditloom.sources.raw_text import require_paths
 
 SPLITS = ("train", "valid", "test")
@@ -138,10 +139,15 @@ def write_feature_store(
     master: DataFrame, root: str, version: str, source: str, description: str = "",
     clock: Callable[[], datetime] = lambda: datetime.now(timezone.utc),
 ) -> dict:
-    """Write the four objective stores, partitioned by quarter, with metadata and manifest."""
+    """Write the four objective stores, partitioned by quarter, with metadata and manifest.
+
+    The rows are gathered by quarter once, for all four.
+    """
     spark = master.sparkSession
+    gathered = materialize(master.drop(S.ID_COLUMN).hint("rebalance", "quarter"), "gathered")
     for objective in S.OBJECTIVE_DROPS:
-        write_table(objective_store(master, objective), f"{root}/{version}/{objective}/feature_store.parquet", ["quarter"])
+        path = f"{root}/{version}/{objective}/feature_store.parquet"
+        objective_store(gathered, objective).write.mode("overwrite").option("compression", "zstd").partitionBy("quarter").parquet(path)
     rows = spark.read.parquet(f"{root}/{version}/explainability/feature_store.parquet").count()
     entry = {
         "version": version,

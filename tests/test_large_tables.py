@@ -85,3 +85,17 @@ def test_logistic_input_is_not_cached_twice(rows, monkeypatch):
 def test_quantile_keys_take_one_logarithm(rows):
     plan = quantiles._values(rows, ["a", "b"], [], [0, 1])._jdf.queryExecution().optimizedPlan().toString()
     assert plan.lower().count("log2(") == 1
+
+
+def test_feature_stores_gather_their_rows_once(spark, tmp_path, monkeypatch):
+    hints = []
+    columns = sorted({c for drops in S.OBJECTIVE_DROPS.values() for c in drops} - {S.ID_COLUMN, "quarter"})
+    df = spark.range(40).selectExpr(f"id AS {S.ID_COLUMN}", "IF(id % 5 = 0, NULL, concat('1999Q', id % 4 + 1)) AS quarter", "id AS kept", *[f"id AS `{c}`" for c in columns])
+    hint = type(df).hint
+    monkeypatch.setattr(type(df), "hint", lambda self, *a: hints.append(a) or hint(self, *a))
+    store.write_feature_store(df, str(tmp_path), "v1", "m.parquet")
+    assert hints == [("rebalance", "quarter")]
+    for objective, drops in S.OBJECTIVE_DROPS.items():
+        got = spark.read.parquet(f"{tmp_path}/v1/{objective}/feature_store.parquet")
+        assert set(got.columns) == set(df.columns) - set(drops) - {S.ID_COLUMN}
+        assert sorted(r["kept"] for r in got.select("kept").collect()) == list(range(40))

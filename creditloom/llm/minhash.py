@@ -42,6 +42,56 @@ class MinHash:
         return out
 
 
+class Sketch:
+    """``size`` MinHash values of a set in a few passes over it (fast similarity sketching of Dahlgaard, Knudsen and Thorup).
+
+    A round throws every shingle into one of ``size`` bins; a bin keeps the least value of the first round that reaches it.
+    Round ``size`` + i fills bin i. Bins of two sets are equal with the probability of their Jaccard similarity, as with a
+    hash function for each value, but a set of n shingles takes some size * ln(size) / n rounds instead of ``size``."""
+
+    _EMPTY = np.uint64((1 << 64) - 1)
+
+    def __init__(self, size: int, seed: int = 1):
+        self.size = size
+        self.odd = mix(np.arange(1, 2 * size + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed)) | np.uint64(1)
+
+    def values(self, x: np.ndarray, number: np.ndarray) -> np.ndarray:
+        """One row of 64-bit values for each set; set i has the next number[i] > 0 shingles of ``x`` (well mixed 64-bit hashes).
+
+        All sets share the rounds, so sets of similar size should come together."""
+        out = np.full((len(number), self.size), self._EMPTY, np.uint64)
+        if not len(number):
+            return out
+        flat, half, size = out.reshape(-1), np.uint64(32), np.uint64(self.size)
+        base = np.repeat(np.arange(len(number)) * self.size, number)
+        todo = np.arange(len(number))
+        for r in range(2 * self.size):
+            h = x * self.odd[r]
+            h >>= half
+            h *= size
+            if r < self.size:
+                at = (h >> half).view(np.int64)
+                at += base
+            else:
+                at = base + (r - self.size)
+            h &= np.uint64(0xFFFFFFFF)
+            if r:
+                h |= np.uint64(r << 32)
+            np.minimum.at(flat, at, h)
+            left = (out[todo] == self._EMPTY).any(1)
+            if not left.any():
+                break
+            if left.mean() < 0.8:
+                open_ = np.repeat(left, number[todo])
+                x, base, todo = x[open_], base[open_], todo[left]
+        return out
+
+
+def sketch_bits(values: np.ndarray) -> np.ndarray:
+    """One bit of each of the first 128 values, as two 64-bit numbers."""
+    return np.packbits(((values[:, :128] >> np.uint64(16)) & np.uint64(1)).astype(np.uint8), axis=1).view(np.int64).reshape(-1, 2)
+
+
 def narrow(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(32)).astype(np.uint32)
 

@@ -5,7 +5,8 @@ import zlib
 import numpy as np
 
 import corpus_pipeline
-from creditloom.llm import lines, queries
+from creditloom.llm import lines, minhash, queries
+from creditloom.llm.text import mix
 
 
 def test_every_line_that_is_not_blank_takes_part(spark, frame, tmp_path):
@@ -57,3 +58,38 @@ def test_texts_of_one_id_with_equal_checksums(spark, frame, tmp_path):
     sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
     want = [(False, 1, 0, sha(rows[2][1])), (False, 2, 0, sha("buckeroo")), (False, 2, 1, sha("")), (False, (1 << 63) - 1, 0, sha("the last id")), (True, 0, 1, sha("")), (True, 0, 1, sha(""))]
     assert got == sorted(want)
+
+
+def test_sketches_of_equal_share(spark):
+    """Values are equal as often as Jaccard similarity says, for sets smaller and larger than the sketch."""
+    rng = np.random.default_rng(7)
+    sketch = minhash.Sketch(lines.ROWS * lines.BANDS)
+    for common, own in ((8, 1), (80, 10), (800, 100)):
+        sets = []
+        for _ in range(300):
+            x = rng.integers(1, 1 << 62, common + 2 * own).astype(np.uint64)
+            sets += [x[: common + own], np.append(x[:common], x[common + own :])]
+        made = sketch.values(mix(np.concatenate(sets)), np.full(len(sets), common + own))
+        assert (made < 2 * sketch.size << 32).all() and (made == sketch.values(mix(np.concatenate([x[::-1] for x in sets])), np.full(len(sets), common + own))).all()
+        assert abs((made[::2] == made[1::2]).mean() - 0.8) < 0.02
+        bits = minhash.sketch_bits(made).view(np.uint64)
+        assert np.bitwise_count(bits[::2] ^ bits[1::2]).sum(1).max() <= lines.DIFFER
+
+
+def test_unlike_lines_of_one_vocabulary_are_hardly_compared(spark, frame):
+    """Their chance pairs grow with the square of the number of lines; repeats and near copies are all found."""
+    rng = np.random.default_rng(8)
+    words = [f"w{i:02d}" for i in range(60)]
+    kinds = [" ".join(words[i] for i in rng.integers(0, 60, 60)) for _ in range(600)]
+    rows = list(enumerate(kinds)) + [(1000 + i, x + " end") for i, x in enumerate(kinds[:100])] + [(2000 + i, x) for i, x in enumerate(kinds[50:150])]
+    docs = frame(rows).selectExpr("doc_id AS d", "text", "xxhash64(false, text) AS mark")
+    kind = {r.kind: r["count"] for r in lines._scanned(docs, 1, 5).groupBy("kind").count().collect()}
+    assert kind[lines.LINE] == 700 and kind[lines.GONE] == 100 and lines.MEMBER not in kind
+    assert lines.near_lines(docs, 1, 5).count() == 200
+    got = {r.doc.doc_id: r.n_removed for r in lines.deduplicate(frame(rows), 1, 5).collect()}
+    assert got == {i: int(i >= 1000) for i, _ in rows}
+
+
+def test_texts_are_shuffled_once_and_not_sorted(spark, frame, tmp_path):
+    plan = lines.deduplicate(frame([(1, "one line of words\none line of words")]), 1, 5)._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin [d" not in plan

@@ -115,15 +115,18 @@ def model_permutation_impact(
     key: list[str],
     seed: int = 2027,
     encoded: tuple[Callable[[DataFrame], DataFrame], Callable[[np.ndarray], np.ndarray], list[str]] | None = None,
+    changes: Callable[[np.ndarray, np.ndarray, list[int]], np.ndarray] | None = None,
 ) -> DataFrame:
     """Permutation impact of a fitted model: every row is scored once per permuted feature.
 
     The plain prediction comes first and travels with the row, so nothing has to be brought together afterwards.
     ``encoded`` names a model that scores arrays: how a frame gets its vector ``features``, the scores, and the names of
     the vector's places. A value's code does not depend on its row, so values are encoded once and codes permuted.
+    ``changes`` is for models that find the changes of the first score in fewer steps than scoring all versions: of rows,
+    the other values of the features, and the places of these.
     """
     if encoded:
-        return _encoded_impact(df, *encoded, features, key, seed)
+        return _encoded_impact(df, *encoded, features, key, seed, changes)
     mixed = predict(permute_columns(df, features, key, seed)).withColumnRenamed(prediction, "__base")
     versions = mixed.select(*key, "__base", F.inline(_versions(features, features)))
     scored = predict(versions.withColumnRenamed("feature", "__feature"))
@@ -135,21 +138,24 @@ def model_permutation_impact(
 
 def _encoded_impact(
     df: DataFrame, assemble: Callable[[DataFrame], DataFrame], scores: Callable[[np.ndarray], np.ndarray], names: list[str],
-    features: list[str], key: list[str], seed: int,
+    features: list[str], key: list[str], seed: int, changed: Callable[[np.ndarray, np.ndarray, list[int]], np.ndarray] | None,
 ) -> DataFrame:
     vector = assemble(df).select(*key, vector_to_array("features").alias("__x"))
     codes = vector.select(*key, *[F.get("__x", F.lit(i)).alias(c) for i, c in enumerate(names)])
     mixed = permute_columns(codes, features, key, seed)
-    sent = df.sparkSession.sparkContext.broadcast((scores, [names.index(c) for c in features]))
+    sent = df.sparkSession.sparkContext.broadcast((scores, changed, [names.index(c) for c in features]))
 
     @F.pandas_udf("array<double>")
     def changes(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        scores, places = sent.value
+        scores, changed, places = sent.value
         for plain, moved in batches:
             if not len(plain):
                 yield pd.Series([], dtype=object)
                 continue
             x, other = np.stack(plain.to_numpy()), np.stack(moved.to_numpy())
+            if changed:
+                yield pd.Series(list(changed(x, other, places)), dtype=object)
+                continue
             base, out = scores(x)[:, 0], np.empty(other.shape)
             for i, place in enumerate(places):
                 version = x.copy()
@@ -333,12 +339,15 @@ def sampled_attribution(
 def array_attribution(
     df: DataFrame, background: DataFrame, scores: Callable[[np.ndarray], np.ndarray], names: list[str], keep: list[str],
     features: str = "features", background_rows: int = 100, prepare: Callable[[np.ndarray], np.ndarray] = np.asarray,
+    switched: Callable[[np.ndarray], Callable[[np.ndarray], np.ndarray]] | None = None,
 ) -> DataFrame:
     """The attribution of :func:`sampled_attribution` for a model that scores arrays, one row per (row, feature).
 
     ``df`` has the model vector in ``features``, ``background`` the bounded sample as arrays ``x``. All switched
     versions of a row are scored as one array within its Arrow batch and only the contributions leave it: no shuffle.
     ``prepare`` turns values into what ``scores`` reads, each by itself, so it is applied before the switching.
+    ``switched`` is for models that know what their features add without scoring switched versions: of the prepared
+    background it makes a function of prepared rows.
     """
     sample = background.limit(background_rows + 1).collect()
     if not 0 < len(sample) <= background_rows:
@@ -348,13 +357,16 @@ def array_attribution(
     # which features come from the row, after 0, 1, 2 ... steps forwards and backwards
     taken = np.tri(n + 1, n, -1, dtype=bool)
     taken = np.stack([taken, taken[:, ::-1]])
-    sent = df.sparkSession.sparkContext.broadcast((z, taken, scores, prepare))
+    sent = df.sparkSession.sparkContext.broadcast((z, taken, scores, prepare, switched(z) if switched else None))
 
     @F.pandas_udf("array<double>")
     def contributions(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        z, taken, scores, prepare = sent.value
+        z, taken, scores, prepare, added = sent.value
         for batch in batches:
             out = []
+            if added and len(batch):
+                yield pd.Series(list(added(prepare(np.stack(batch.to_numpy())))), dtype=object)
+                continue
             for x in prepare(np.stack(batch.to_numpy())) if len(batch) else ():
                 versions = np.where(taken[:, :, None, :], x, z)
                 p = scores(versions.reshape(-1, z.shape[1]))[:, 0].reshape(versions.shape[:3]).mean(axis=2)

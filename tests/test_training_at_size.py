@@ -126,3 +126,13 @@ def test_jobs_run_side_by_side(spark):
 
     with pytest.raises(ValueError):
         runtime.side_by_side(spark, [fails, lambda: 1])
+
+
+@pytest.mark.parametrize("rows", [10, 1_000_000])
+def test_of_equal_splits_the_first_feature_takes_all(spark, monkeypatch, rows):
+    """The same rows lie on the two sides of both features' cuts, so only rounding could tell them apart."""
+    monkeypatch.setattr(B, "_TASK_ROWS", rows)
+    df = spark.range(900).selectExpr("id", "CAST(id * 37 % 101 AS DOUBLE) / 7 AS a", "IF(id % 37 = 0, 2D, 1D) AS b", "IF(id % 37 = 0, 1D, 7D) AS c")
+    df = df.select("id", array_to_vector(F.array("a", "b", "c")).alias("features"), F.expr("sin(a) + 3 * b + cos(id) / 3 AS label"))
+    model = B.Boosting(rounds=12, depth=4).fit(df)
+    assert model.importances[1] > 0 and model.importances[2] == 0
